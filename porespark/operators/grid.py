@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 AXES = ("x", "y", "z")
 
@@ -187,7 +188,7 @@ def dilate(vox: DataFrame, mask: Column) -> DataFrame:
 
 # --- exact Euclidean distance transform (K13) --------------------------------
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _lower_envelope(coords: pd.Series, values: pd.Series) -> pd.Series:
     """min over b of values[b] + (coord[a]-coord[b])^2 along one grid line."""
     out = []
