@@ -11,6 +11,8 @@ from porespark.operators import graph
 from porespark.operators.grid import AXES
 from porespark.operators.solve import solve_potentials
 
+DROP_FLOOR = 1e-12
+
 
 def with_conductance(flat: DataFrame, sigma: float = 1.0) -> DataFrame:
     """Series resistances and conductance of every throat."""
@@ -60,15 +62,20 @@ def network_potentials(flat: DataFrame, bodies: DataFrame, delta_v: float = 1.0,
             .withColumn("phi", F.coalesce(held, "phi", F.lit(0.0))))
 
 
-def with_currents(flat: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Throat currents, end potentials and interface potentials."""
+def with_currents(flat: DataFrame, bodies: DataFrame, delta_v: float = 1.0) -> DataFrame:
+    """Throat currents, end potentials and interface potentials.
+
+    A drop below DROP_FLOOR of the applied one is solver rounding and counts as
+    zero, so a network that does not percolate carries exactly no current.
+    """
     end = bodies.select("ms_id", "body_id", "phi", "is_inlet", "is_outlet")
     t = flat
     for k, e in (("i", "i"), ("j", "j")):
         t = t.join(end.select("ms_id", F.col("body_id").alias(e), F.col("phi").alias(f"phi_{k}"),
                               F.col("is_inlet").alias(f"inlet_{k}"), F.col("is_outlet").alias(f"outlet_{k}")),
                    ["ms_id", e], "left")
-    current = F.coalesce(F.col("g") * (F.col("phi_i") - F.col("phi_j")), F.lit(0.0))
+    drop = F.col("phi_i") - F.col("phi_j")
+    current = F.when(F.abs(drop) > DROP_FLOOR * abs(delta_v), F.col("g") * drop).otherwise(0.0)
     t = t.withColumn("current", current)
     live = F.col("i").isNotNull() & F.col("j").isNotNull() & (F.abs("current") >= 1e-30)
     return (t.withColumn("phi_1t", F.when(live, F.col("phi_i") - F.col("current") * F.col("r1")))
@@ -156,7 +163,7 @@ def inlet_consistency(currents: DataFrame) -> DataFrame:
 def conducting_bodies(currents: DataFrame, tot: DataFrame) -> DataFrame:
     """Bodies at either end of a throat with |I| >= threshold, and their coordination."""
     live = (currents.filter("i is not null").join(tot.select("ms_id", "i_threshold"), "ms_id")
-            .filter(F.abs("current") >= F.col("i_threshold")))
+            .filter((F.abs("current") >= F.col("i_threshold")) & (F.col("current") != 0)))
     return (live.select("ms_id", F.explode(F.array("i", "j")).alias("body_id"))
             .groupBy("ms_id", "body_id").agg(F.count(F.lit(1)).alias("z_coordination")))
 

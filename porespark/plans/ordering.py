@@ -52,6 +52,19 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
             .drop("_part", "_row", "_first", "_offset"))
 
 
+def with_positions(df: DataFrame, keys: Sequence[str], orders: dict[str, Sequence[Column]],
+                   window_rows: int | None = None) -> DataFrame:
+    """Several positions at once; one size check, one exchange on the window path."""
+    limit = WINDOW_ROWS if window_rows is None else window_rows
+    if largest_group(df, keys) <= limit:
+        for name, order in orders.items():
+            df = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+        return df
+    for name, order in orders.items():
+        df = with_position(df, keys, order, name, window_rows=0)
+    return df
+
+
 def with_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                      value: str, out: str, window_rows: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` in each group under a total order."""
