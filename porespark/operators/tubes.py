@@ -25,6 +25,7 @@ from porespark.plans.packing import split_by_size
 
 SOURCE, SINK = -1, -2
 LEDGER = 9  # kind of the one bookkeeping row per sample
+DRAINED = 8  # kind of a row for current drained from an edge that leads nowhere
 
 STEP_COLUMNS = ["ms_id", "path_id", "step", "up", "dn", "kind", "edge_id", "i_gamma", "seg_len", "dphi"]
 DAG_COLUMNS = ["ms_id", "up", "dn", "flow", "dphi", "kind", "edge_id", "seg_len", "ord", "seq", "phi_up", "thr"]
@@ -95,6 +96,7 @@ class _Flow:
         self.up, self.dn = part["up"].tolist(), part["dn"].tolist()
         self.left = part["flow"].tolist()
         self.thr = float(part["thr"].iloc[0])
+        self.drained = []
         into = {}
         for e, head in enumerate(self.dn):
             into.setdefault(head, []).append(e)
@@ -196,13 +198,13 @@ def _inlet_greedy(f: _Flow):
     """Inlet node with the largest remaining outflow, then strongest unvisited successor."""
     inlets = [f.dn[e] for e in f.out.get(SOURCE, ())]
     outlets = {f.up[e] for e, head in enumerate(f.dn) if head == SINK}
-    whole = list(f.left)
     paths, stuck, lost = [], 0, 0.0
 
     def drain(e):
         nonlocal lost
         if f.left[e] > f.thr:
-            lost += f.left[e] / whole[e] * 1.0
+            f.drained.append((e, f.left[e]))
+            lost += f.left[e]
         f.left[e] = 0.0
 
     while True:
@@ -255,6 +257,11 @@ def _pack_decomposer(method: str):
                 "up": rows["up"].to_numpy(), "dn": rows["dn"].to_numpy(), "kind": rows["kind"].to_numpy(),
                 "edge_id": rows["edge_id"].to_numpy(), "i_gamma": np.repeat([a for a, _ in paths], lens).astype(float),
                 "seg_len": rows["seg_len"].to_numpy(), "dphi": rows["dphi"].to_numpy()}))
+            gone = flow.rows.iloc[[e for e, _ in flow.drained]]
+            out.append(pd.DataFrame({
+                "ms_id": ms, "path_id": -1, "step": np.arange(len(gone)), "up": gone["up"].to_numpy(), "dn": gone["dn"].to_numpy(),
+                "kind": DRAINED, "edge_id": gone["edge_id"].to_numpy(), "i_gamma": [float(a) for _, a in flow.drained],
+                "seg_len": gone["seg_len"].to_numpy(), "dphi": gone["dphi"].to_numpy()}))
             out.append(pd.DataFrame({"ms_id": [ms], "path_id": [-1], "step": [ledger[0]], "up": [0], "dn": [0], "kind": [LEDGER],
                                      "edge_id": [-1], "i_gamma": [float(ledger[1])], "seg_len": [0.0], "dphi": [float(ledger[2])]}))
         return pd.concat(out)[STEP_COLUMNS]
@@ -398,6 +405,14 @@ def ledger(steps: DataFrame) -> DataFrame:
         "ms_id", F.col("step").alias("n_stuck"), F.col("i_gamma").alias("current_dropped"), F.col("dphi").alias("current_unmatched"))
 
 
+def stuck_volume(steps: DataFrame, iota: DataFrame) -> DataFrame:
+    """Throat volume behind drained current, per sample."""
+    gone = steps.filter(F.col("kind") == DRAINED).select("ms_id", "edge_id", "i_gamma")
+    size = iota.select("ms_id", F.col("throat_id").cast("long").alias("edge_id"), F.abs("current").alias("size"), "v_total", "i_threshold")
+    v = F.when(F.col("size") > F.col("i_threshold"), F.col("i_gamma") / F.nullif("size", F.lit(0.0)) * F.col("v_total")).otherwise(0.0)
+    return gone.join(size, ["ms_id", "edge_id"]).groupBy("ms_id").agg(F.sum(v).alias("v_stuck_total"))
+
+
 def all_simple_paths(dag: DataFrame, tot: DataFrame) -> DataFrame:
     """Every inlet -> outlet path with full-mixing weights (K7), as path steps.
 
@@ -444,7 +459,7 @@ def node_volume_shares(steps: DataFrame, node_volume: float) -> DataFrame:
 def voxel_tubes(steps: DataFrame, transport: DataFrame, cfg: VoxelConfig) -> DataFrame:
     """One row per streamtube: current, length, volume, tortuosity, constriction."""
     seg = F.col("seg_len")
-    geo = steps.filter(F.col("kind") != LEDGER).groupBy("ms_id", "path_id").agg(
+    geo = steps.filter(F.col("path_id") >= 0).groupBy("ms_id", "path_id").agg(
         F.max("i_gamma").alias("i_gamma"), F.sum(seg).alias("l_gamma_raw"),
         F.sum(seg * seg / F.greatest("dphi", F.lit(1e-300))).alias("sum_l2_over_dphi"), F.count(F.lit(1)).alias("n_segments"))
     vol = node_volume_shares(steps, cfg.dx ** 3).groupBy("ms_id", "path_id").agg(F.sum("share").alias("v_gamma"))

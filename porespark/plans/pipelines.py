@@ -118,10 +118,8 @@ def network_metrics(run: NetworkRun, cfg: NetworkConfig) -> DataFrame:
     summary = tubes.network_summary(tube, run.iota, cfg.delta_v)
     n_bodies = run.bodies.groupBy("ms_id").agg(F.count(F.lit(1)).alias("n_bodies"))
     out = (n_bodies.join(run.totals.drop("i_max"), "ms_id", "left").join(run.factors, "ms_id", "left").join(summary, "ms_id", "left"))
-    if cfg.streamtube_method == "flow_decomposition":
-        out = out.join(tubes.ledger(steps).select("ms_id", F.col("current_dropped").alias("v_stuck_total")), "ms_id", "left")
-    else:
-        out = out.withColumn("v_stuck_total", F.lit(0.0))
+    out = (out.join(tubes.stuck_volume(steps, run.iota), "ms_id", "left")
+           .withColumn("v_stuck_total", F.coalesce("v_stuck_total", F.lit(0.0))))
     return (out.withColumn("solve_failed", F.col("n_streamtubes").isNull())
             .withColumn("inv_tau_sq_c", F.try_divide(F.lit(1.0), F.col("tau_sq_c")))
             .withColumn("inv_c_c", F.try_divide(F.lit(1.0), F.col("c_c")))
