@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from porespark.plans.lineage import cut
+from porespark.plans.lineage import cut, release
 from porespark.plans.packing import split_by_size
 
 RELATIVE_TOL = 1e-13
@@ -119,9 +119,12 @@ def _distributed(links: DataFrame, tol: float, max_rounds: int = 100_000) -> Dat
             F.coalesce(F.try_divide(F.sum(F.col("r") * F.col("r") / F.col("diag")), F.max("rz")), F.lit(0.0)).alias("beta"),
             F.sum(F.col("r") * F.col("r")).alias("rr"))
         open_ = after.join(goal, "ms_id").filter("rr > goal").isEmpty()
-        state = moved.join(after, "ms_id").select(
+        nxt = moved.join(after, "ms_id").select(
             *key, "diag", "x", "r", (F.col("r") / F.col("diag") + F.col("beta") * F.col("p")).alias("p"))
-        state = cut(state)
+        nxt = cut(nxt)
+        for old in (state, step, moved):
+            release(old)
+        state = nxt
         if open_:
             break
     return state.select("ms_id", "node_id", F.col("x").alias("phi"))

@@ -1,20 +1,23 @@
 """Lineage cuts on reliable storage.
 
-Iterative operators (components, reachability, distributed solves) re-read
-their own output every round.  ``cut`` stores the round's result under the
-cluster's ``spark.checkpoint.dir`` so a lost executor costs one round and the
-plan does not grow.
+Operators that read a result several times, and loops that re-read their own
+output, store it as a table under the cluster's ``spark.checkpoint.dir``.  A
+lost executor then costs one step, the plan does not grow, and the planner sees
+real file sizes, so a join broadcasts a side only when its measured size is
+under the session's threshold.  (An RDD checkpoint keeps the size *estimates* of
+the plan it replaces, which multiply from round to round.)
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's checkpoint folder; fall back to a temp dir only locally."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one only in local mode."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -25,10 +28,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="run-")
     sc.setCheckpointDir(configured)
-    return configured
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and drop its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store ``df`` as a table in the checkpoint folder and read it back."""
+    path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Drop a table made by ``cut`` that a later round has replaced."""
+    files = df.inputFiles()
+    if not files:
+        return
+    folder = files[0].rsplit("/", 1)[0]
+    if "/cut-" not in folder:
+        raise ValueError("not a stored cut")
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
