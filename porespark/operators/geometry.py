@@ -31,17 +31,16 @@ def plane_basis(n: pd.Series, m: pd.DataFrame) -> pd.Series:
     covariance, whose smallest eigenvector is the normal.  Fewer than three
     points give (0, 0, 1).
     """
-    out = []
-    for count, (xx, xy, xz, yy, yz, zz) in zip(n, m.to_numpy(float)):
-        normal = np.array([0.0, 0.0, 1.0])
-        if count >= 3:
-            normal = np.linalg.eigh([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]])[1][:, 0]
-        ref = np.array([1.0, 0, 0]) if abs(normal[0]) < 0.9 else np.array([0, 1.0, 0])
-        e1 = ref - ref.dot(normal) * normal
-        e1 /= np.linalg.norm(e1)
-        e2 = np.cross(normal, e1)
-        out.append(np.concatenate([normal, e1, e2 / np.linalg.norm(e2)]))
-    return pd.Series(out)
+    xx, xy, xz, yy, yz, zz = m.to_numpy(float).T
+    cov = np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2)
+    normal = np.linalg.eigh(cov)[1][:, :, 0]
+    normal[n.to_numpy() < 3] = (0.0, 0.0, 1.0)
+    ref = np.where(np.abs(normal[:, :1]) < 0.9, [[1.0, 0.0, 0.0]], [[0.0, 1.0, 0.0]])
+    e1 = ref - (ref * normal).sum(1, keepdims=True) * normal
+    e1 /= np.linalg.norm(e1, axis=1, keepdims=True)
+    e2 = np.cross(normal, e1)
+    e2 /= np.linalg.norm(e2, axis=1, keepdims=True)
+    return pd.Series(list(np.concatenate([normal, e1, e2], axis=1)))
 
 
 def with_plane(throats: DataFrame, count: str = "volume_voxels") -> DataFrame:

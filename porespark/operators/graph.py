@@ -5,6 +5,8 @@ Loops run on whole tables of ``(ms_id, u, v)`` and cut lineage once per round.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from porespark.operators.grid import AXES, node_id
 from porespark.plans.lineage import cut
+from porespark.plans.packing import PACK_ROWS
 
 TILE_EDGE = 32
 
@@ -56,50 +59,56 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select("ms_id", F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Components inside one tile (at most TILE_EDGE^3 voxels)."""
-    xyz = pdf[list(AXES)].to_numpy()
-    xyz = xyz - xyz.min(axis=0)
-    order = np.lexsort((xyz[:, 2], xyz[:, 1], xyz[:, 0]))
-    grid = np.full(tuple(xyz.max(axis=0) + 1), -1)
-    xyz = xyz[order]
-    grid[tuple(xyz.T)] = np.arange(len(xyz))
-    ends = []
-    for axis in range(3):
-        a = np.moveaxis(grid, axis, 0)
-        lower, upper = a[:-1].ravel(), a[1:].ravel()
-        both = (lower >= 0) & (upper >= 0)
-        ends.append(np.stack([lower[both], upper[both]]))
-    u, v = np.concatenate(ends, axis=1)
-    label = np.arange(len(xyz))
-    while True:
-        low = np.minimum(label[u], label[v])
-        nxt = label.copy()
-        np.minimum.at(nxt, label[u], low)
-        np.minimum.at(nxt, label[v], low)
-        nxt = nxt[nxt]
-        if np.array_equal(nxt, label):
-            break
-        label = nxt
-    ids = pdf["node_id"].to_numpy()[order]
-    return pd.DataFrame({"ms_id": pdf["ms_id"].to_numpy()[order], "x": pdf["x"].to_numpy()[order],
-                         "y": pdf["y"].to_numpy()[order], "z": pdf["z"].to_numpy()[order],
-                         "node_id": ids, "root": ids[label]})
+def _tile_labeller(tile: int):
+    """Components inside every tile of a pack, all tiles in one array pass."""
+    side = tile + 1  # one empty layer keeps a step from reaching the next row or tile
+
+    def label_tiles(pdf: pd.DataFrame) -> pd.DataFrame:
+        which = pdf.groupby(["ms_id", "tx", "ty", "tz"], sort=False).ngroup().to_numpy().astype("int64")
+        code = which
+        for axis in AXES:
+            code = code * side + pdf[axis].to_numpy() % tile
+        order = np.argsort(code)
+        code = code[order]
+        u, v = [], []
+        for step in (side * side, side, 1):
+            at = np.searchsorted(code, code + step)
+            hit = at < len(code)
+            hit[hit] = code[at[hit]] == code[hit.nonzero()[0]] + step
+            u.append(hit.nonzero()[0])
+            v.append(at[hit])
+        u, v = np.concatenate(u), np.concatenate(v)
+        label = np.arange(len(code))
+        while True:
+            low = np.minimum(label[u], label[v])
+            nxt = label.copy()
+            np.minimum.at(nxt, label[u], low)
+            np.minimum.at(nxt, label[v], low)
+            nxt = nxt[nxt]
+            if np.array_equal(nxt, label):
+                break
+            label = nxt
+        out = pdf[["ms_id", *AXES, "node_id"]].iloc[order].copy()
+        out["root"] = out["node_id"].to_numpy()[label]
+        return out
+    return label_tiles
 
 
 def grid_components(pore: DataFrame, tile: int = TILE_EDGE) -> DataFrame:
     """Components of the 6-connected pore grid: ``(ms_id, node_id, component)``.
 
-    Voxels are labelled inside fixed-size tiles first, so a group is bounded by
-    the tile, never by the sample.  Only tile-face contacts between the labels
-    go through the distributed contraction.
+    Voxels are labelled inside fixed-size tiles first, so the work of a task is
+    bounded by tiles, never by the sample: tiles are hashed to packs of about
+    PACK_ROWS voxels.  Only tile-face contacts between the labels go through the
+    distributed contraction.
     """
     ms_type = pore.schema["ms_id"].dataType.simpleString()
     tiles = [F.floor(F.col(a) / tile).cast("int").alias(f"t{a}") for a in AXES]
-    labelled = (pore.select("ms_id", *AXES, node_id().alias("node_id"), *tiles)
-                .groupBy("ms_id", "tx", "ty", "tz")
-                .applyInPandas(_label_tile, f"ms_id {ms_type}, x int, y int, z int, "
-                                            "node_id long, root long"))
+    packs = max(int(pore.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pore.count() / PACK_ROWS))
+    pack = F.pmod(F.xxhash64("ms_id", "tx", "ty", "tz"), F.lit(packs)).alias("pack")
+    labelled = (pore.select("ms_id", *AXES, node_id().alias("node_id"), *tiles).select("*", pack)
+                .repartition(packs, "pack").groupBy("pack")
+                .applyInPandas(_tile_labeller(tile), f"ms_id {ms_type}, x int, y int, z int, node_id long, root long"))
     labelled = cut(labelled)
     contacts = None
     for axis in AXES:
