@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from porespark.operators.grid import AXES
 
-STRIP = 4.0
+STRIP = 16.0
 
 # The unit-cube corners.
 CORNERS = np.array([[i, j, k] for i in (0.0, 1.0) for j in (0.0, 1.0) for k in (0.0, 1.0)])
@@ -97,7 +97,8 @@ def strip_union_area(px, py, e1, e2, y0: float, y1: float) -> float:
     """
     hull = _hull(np.stack([CORNERS @ np.asarray(e1), CORNERS @ np.asarray(e2)], axis=1))
     ys, left, right = _chains(hull)
-    px, py = np.asarray(px, float), np.asarray(py, float)
+    # voxels stacked along the normal cast the same shadow
+    px, py = np.unique(np.round(np.stack([px, py], axis=1).astype(float), 9), axis=0).T
     levels = np.unique(np.round(np.concatenate([(py[:, None] + ys[None, :]).ravel(), [y0, y1]]), 10))
     levels = levels[(levels >= y0) & (levels <= y1)]
     area = 0.0
@@ -125,8 +126,15 @@ def strip_union_area(px, py, e1, e2, y0: float, y1: float) -> float:
 
 @F.pandas_udf(DoubleType())
 def _strip_area(px: pd.Series, py: pd.Series, plane: pd.Series, strip: pd.Series) -> pd.Series:
-    return pd.Series([strip_union_area(x, y, p[3:6], p[6:9], s * STRIP, (s + 1) * STRIP)
-                      for x, y, p, s in zip(px, py, plane, strip)], dtype=float)
+    seen: dict = {}  # small throats repeat a few shapes; one entry per shape and batch
+    out = []
+    for x, y, p, s in zip(px, py, plane, strip):
+        pts = np.unique(np.round(np.stack([x, y], axis=1), 9), axis=0)
+        key = (pts.tobytes(), np.round(p, 9).tobytes(), s)
+        if key not in seen:
+            seen[key] = strip_union_area(pts[:, 0], pts[:, 1], p[3:6], p[6:9], s * STRIP, (s + 1) * STRIP)
+        out.append(seen[key])
+    return pd.Series(out, dtype=float)
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -139,12 +147,13 @@ def footprint_areas(voxels: DataFrame, planes: DataFrame, keys: list[str]) -> Da
 
     The plane is cut into strips; a voxel goes to the one to three strips its
     shadow meets, and each (throat, strip) is a group bounded by the image
-    width, so a throat of any size spreads over many tasks.
+    width, so a throat of any size spreads over many tasks.  Coordinates are taken
+    from the throat centre ``tx, ty, tz`` of ``planes``.
     """
-    basis = planes.select(*keys, "plane").withColumn("_span", _shadow_range("plane"))
+    basis = planes.select(*keys, "plane", "tx", "ty", "tz").withColumn("_span", _shadow_range("plane"))
     pts = (voxels.select(*keys, *AXES).distinct().join(basis, keys)
-           .withColumn("px", sum((F.col(a) * F.element_at("plane", 4 + i) for i, a in enumerate(AXES)), F.lit(0.0)))
-           .withColumn("py", sum((F.col(a) * F.element_at("plane", 7 + i) for i, a in enumerate(AXES)), F.lit(0.0))))
+           .withColumn("px", sum(((F.col(a) - F.col(f"t{a}")) * F.element_at("plane", 4 + i) for i, a in enumerate(AXES)), F.lit(0.0)))
+           .withColumn("py", sum(((F.col(a) - F.col(f"t{a}")) * F.element_at("plane", 7 + i) for i, a in enumerate(AXES)), F.lit(STRIP / 2))))
     lo = F.floor((F.col("py") + F.element_at("_span", 1)) / STRIP)
     hi = F.floor((F.col("py") + F.element_at("_span", 2)) / STRIP)
     strips = pts.select(*keys, "px", "py", "plane", F.explode(F.sequence(lo, hi)).alias("strip"))

@@ -62,7 +62,7 @@ def extract_throats(vox: DataFrame, bodies: DataFrame, cfg: NetworkConfig,
     n = F.col("volume_voxels").cast("double")
     tiny = F.col("volume_voxels") < 3
     if with_footprint:
-        big = agg.filter(~tiny).select("ms_id", "b1", "b2", "plane")
+        big = agg.filter(~tiny).select("ms_id", "b1", "b2", "plane", "tx", "ty", "tz")
         agg = agg.join(geometry.footprint_areas(tv, big, ["ms_id", "b1", "b2"]), ["ms_id", "b1", "b2"], "left")
     else:
         agg = agg.withColumn("footprint", F.lit(None).cast("double"))

@@ -510,7 +510,7 @@ def _table(spark, d) -> DataFrame:
     t = (t.join(tot, "ms_id").withColumn("f", F.col("current_raw") / F.col("_i")).withColumn("f_voxel", F.col("flux_raw") / F.col("_v")))
     sq = F.col("current_raw") * F.col("current_raw")
     t = t.withColumn("p_edge", sq * F.col("r_edge")).withColumn("p_throat_only", sq * F.col("r_throat_res"))
-    return analysis.shares_and_class(t.drop("_i", "_v"))
+    return cut(analysis.shares_and_class(t.drop("_i", "_v")))
 
 
 @query("ms_id:l throat_id:l class:s")
@@ -569,7 +569,8 @@ def mannwhitney_u(spark, d):
 def _collated(spark, d) -> DataFrame:
     names = derived.size_classes(spark, d)
     acct = derived.table(spark, d, "supplier").select(F.col("s_suppkey").alias("ms_id"), F.col("s_acctbal").alias("porosity"))
-    return collate.collate(_table(spark, d), names, acct, analysis.overlap_report(_table(spark, d)))
+    table = _table(spark, d)
+    return collate.collate(table, names, acct, analysis.overlap_report(table))
 
 
 @query("ms_id:l ms_name:s size_class:s n_throats:l median_c:d6 median_c_geomean:d6 frac_bottleneck_class:d6 frac_highway_class:d6 "
