@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from porespark.operators.grid import AXES
+from porespark.plans.packing import spread
 
 STRIP = 16.0
 
@@ -157,7 +158,7 @@ def footprint_areas(voxels: DataFrame, planes: DataFrame, keys: list[str]) -> Da
     lo = F.floor((F.col("py") + F.element_at("_span", 1)) / STRIP)
     hi = F.floor((F.col("py") + F.element_at("_span", 2)) / STRIP)
     strips = pts.select(*keys, "px", "py", "plane", F.explode(F.sequence(lo, hi)).alias("strip"))
-    grouped = strips.groupBy(*keys, "strip").agg(
+    grouped = spread(strips, [*keys, "strip"]).groupBy(*keys, "strip").agg(
         F.collect_list(F.struct("px", "py")).alias("p"), F.first("plane").alias("plane"))
     areas = grouped.withColumn("area", _strip_area(F.col("p.px"), F.col("p.py"), F.col("plane"), F.col("strip")))
     return areas.groupBy(*keys).agg(F.sum("area").alias("footprint"))

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from porespark.plans.packing import spread
+
 AXES = ("x", "y", "z")
 
 # node ids pack (x, y, z) into 21 bits each, so they sort in C order.
@@ -205,7 +207,7 @@ def _lower_envelope(coords: pd.Series, values: pd.Series) -> pd.Series:
 def _envelope_along(df: DataFrame, axis: str, keep: Sequence[str]) -> DataFrame:
     """One min-plus pass; a group is one grid line, so its size is the image edge."""
     keys = ["ms_id", *[a for a in AXES if a != axis]]
-    packed = df.groupBy(*keys).agg(F.collect_list(F.struct(axis, "_d2", *keep)).alias("_line"))
+    packed = spread(df, keys).groupBy(*keys).agg(F.collect_list(F.struct(axis, "_d2", *keep)).alias("_line"))
     solved = packed.withColumn("_best", _lower_envelope(F.col(f"_line.{axis}"), F.col("_line._d2")))
     return (solved.select(*keys, F.explode(F.arrays_zip("_line", "_best")).alias("_e"))
             .select(*keys, F.col(f"_e._line.{axis}").alias(axis), F.col("_e._best").alias("_d2"),

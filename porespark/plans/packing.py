@@ -16,6 +16,15 @@ KERNEL_ROWS = 4_000_000
 PACK_ROWS = 400_000
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash by ``keys`` to the full shuffle width ahead of Python work.
+
+    Adaptive coalescing sizes partitions by bytes; Python stages cost more per
+    byte, so their width is kept.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def split_by_size(df: DataFrame, limit: int | None = None,
                   target: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """``(small rows with a pack column, large rows)``; either may be None."""
