@@ -14,15 +14,15 @@ sets AS (
   FROM words),
 each AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 pairs AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n_a, any_value(b.n) AS n_b, count(*) AS both
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n_a, any_value(b.n) AS n_b, count(*) AS shared
   FROM each a JOIN each b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT a, b FROM pairs WHERE 100 * both >= 80 * (n_a + n_b - both)),
+links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 80 * (n_a + n_b - shared)),
 two AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(node, at) AS (
+reach(node, far) AS (
   SELECT doc_id, doc_id FROM documents
   UNION
-  SELECT r.node, t.b FROM reach r JOIN two t ON r.at = t.a),
-root AS (SELECT node, min(at) AS component_id FROM reach GROUP BY node)
+  SELECT r.node, t.b FROM reach r JOIN two t ON r.far = t.a),
+root AS (SELECT node, min(far) AS component_id FROM reach GROUP BY node)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id, s.doc_id = r.component_id AS kept
 FROM sets s JOIN root r ON r.node = s.doc_id
 """
@@ -43,10 +43,10 @@ filled AS (
          sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
   FROM placed),
 level AS (
-  SELECT min_by((1.5::DOUBLE * (SELECT sum(source_size) FROM totals) - held) / open, ratio) AS lambda
+  SELECT min_by((1.5::DOUBLE * (SELECT sum(source_size) FROM totals) - held) / open, ratio) AS lvl
   FROM filled WHERE ratio >= (1.5::DOUBLE * (SELECT sum(source_size) FROM totals) - held) / open),
 goal AS (
-  SELECT source, source_size, CASE WHEN cap < lambda * w THEN cap ELSE lambda * w END AS target FROM placed, level),
+  SELECT source, source_size, CASE WHEN cap < lvl * w THEN cap ELSE lvl * w END AS target FROM placed, level),
 cut AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS whole FROM goal),
 run AS (
@@ -68,11 +68,11 @@ links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
     ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id < b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
 two AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(node, at) AS (
+reach(node, far) AS (
   SELECT vec_id, vec_id FROM embeddings
   UNION
-  SELECT r.node, t.b FROM reach r JOIN two t ON r.at = t.a),
-root AS (SELECT node, min(at) AS component_id FROM reach GROUP BY node),
+  SELECT r.node, t.b FROM reach r JOIN two t ON r.far = t.a),
+root AS (SELECT node, min(far) AS component_id FROM reach GROUP BY node),
 degree AS (SELECT a, count(*) AS n FROM two GROUP BY a)
 SELECT r.node AS vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, r.component_id, r.node = r.component_id AS kept
 FROM root r LEFT JOIN degree d ON d.a = r.node
