@@ -22,11 +22,11 @@ from porespark.plans.lineage import cut
 
 
 def deal(rows: DataFrame, group: Sequence[str], row_id: str, per_block: Column) -> DataFrame:
-    """Rows with ``pair`` and ``side`` (0 or 1), one copy for each pair their block is in.
+    """Rows with ``pair`` and ``side``, one copy for each pair their block is in.
 
     ``rows`` must be stored and have the columns ``group``, ``class`` and
     ``row_id``; ``per_block`` is the number of rows a block of a class may hold.
-    A block is also paired with itself, then with side 0 only.
+    A side is 0 or 1; a block that is paired with itself has side 2.
     """
     keys = [*group, "class"]
     sizes = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -37,8 +37,9 @@ def deal(rows: DataFrame, group: Sequence[str], row_id: str, per_block: Column)
                 .filter(((F.col("class") == F.col("_class")) & (F.col("_block") <= F.col("_other")))
                         | (F.col("class") + 1 == F.col("_class")))
                 .withColumn("pair", F.monotonically_increasing_id()))
-    first = pairs.select(*keys, "_block", "pair", F.lit(0).alias("side"))
-    second = (pairs.filter((F.col("class") != F.col("_class")) | (F.col("_block") != F.col("_other")))
+    itself = (F.col("class") == F.col("_class")) & (F.col("_block") == F.col("_other"))
+    first = pairs.select(*keys, "_block", "pair", F.when(itself, 2).otherwise(0).alias("side"))
+    second = (pairs.filter(~itself)
               .select(*group, F.col("_class").alias("class"), F.col("_other").alias("_block"), "pair", F.lit(1).alias("side")))
     placed = (rows.join(sizes.select(*keys, "_blocks"), keys)
               .withColumn("_block", F.pmod(F.xxhash64(row_id), F.col("_blocks"))).drop("_blocks"))
@@ -52,11 +53,14 @@ def together(dealt: DataFrame) -> DataFrame:
 
 
 def per_pair(compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]):
-    """For ``mapInPandas`` on ``together``'s rows: calls ``compare`` with the two sides of each pair; both are the block when it is paired with itself."""
+    """For ``mapInPandas`` on ``together``'s rows: calls ``compare`` with the two sides of each pair; they are one object when a block is paired with itself."""
 
-    def sides(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        return compare(left, right if len(right) else left)
+    def sides(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        left, right, itself = (rows[rows["side"] == i] for i in (0, 1, 2))
+        if len(itself):
+            yield compare(itself, itself)
+        elif len(left) and len(right):  # a block may have got no row
+            yield compare(left, right)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[pd.DataFrame] = []
@@ -65,11 +69,11 @@ def per_pair(compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]):
             for part in np.split(np.arange(len(batch)), starts) if len(batch) else []:
                 rows = batch.iloc[part]
                 if waiting and waiting[0]["pair"].iloc[0] != rows["pair"].iloc[0]:
-                    yield sides(pd.concat(waiting))
+                    yield from sides(pd.concat(waiting))
                     waiting = []
                 waiting.append(rows)
         if waiting:
-            yield sides(pd.concat(waiting))
+            yield from sides(pd.concat(waiting))
 
     return run
 

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from porespark.plans.lineage import cut
 
@@ -52,7 +53,7 @@ def features(text: str | None) -> np.ndarray:
                                     np.log1p(len(data)) / 10, np.log1p(n) / 10, min(len(data) / n, 50) / 10]])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series([features(t) for t in texts])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 EXAMPLES = 20_000       # bound of the labelled sample
 VOCABULARY = 1_000      # bound of the telling words
 NEIGHBOURS, BLOCK = 15, 64
-_RISK = 0.05            # chance that any word is picked by accident
+_FALSE_SHARE = 0.1      # share of accidental words to expect among the telling ones
 _WORDS = re.compile(r"\w+")
 
 
@@ -53,7 +53,11 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _telling(counts: DataFrame, n: int, bad: int, most: int) -> list[str]:
-    """Words whose likelihood ratio no accident among all words would reach; the strongest ``most``."""
+    """Words that go with the label, by likelihood ratio, at a bounded share of accidents; the strongest ``most``.
+
+    The share is held down by comparing the k-th smallest p-value with k times
+    the share over the number of words tried (Benjamini and Hochberg).
+    """
     share = bad / n if n else 0.0
     if not 0 < share < 1:
         return []
@@ -63,8 +67,10 @@ def _telling(counts: DataFrame, n: int, bad: int, most: int) -> list[str]:
     inside = part(F.col("bad"), F.col("n") * share) + part(F.col("n") - F.col("bad"), F.col("n") * (1 - share))
     rest, rest_bad = F.lit(n) - F.col("n"), F.lit(bad) - F.col("bad")
     outside = part(rest_bad, rest * share) + part(rest - rest_bad, rest * (1 - share))
-    strong = counts.withColumn("g", F.round(2 * (inside + outside), 6)).filter(F.col("g") >= 2 * math.log(tried / _RISK))
-    return [r["word"] for r in strong.orderBy(F.desc("g"), "word").limit(most).collect()]
+    ratio = counts.select("word", F.round(2 * (inside + outside), 6).alias("g"))
+    first = [(r["word"], r["g"]) for r in ratio.orderBy(F.desc("g"), "word").limit(most).collect()]
+    real = [k for k, (_, g) in enumerate(first, 1) if math.erfc(math.sqrt(max(g, 0.0) / 2)) <= _FALSE_SHARE * k / tried]
+    return [w for w, _ in first[:max(real, default=0)]]
 
 
 def _frequencies(known: dict[str, int]):
