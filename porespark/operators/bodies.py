@@ -162,9 +162,10 @@ def merge_map(vox: DataFrame, axis: int = 0, kernel_rows: int | None = None) ->
     """
     name = AXES[axis]
     last = vox.groupBy("ms_id").agg(F.max(name).alias("_last"))
-    info = (vox.filter("body > 0").join(last, "ms_id").groupBy("ms_id", "body")
-            .agg(F.count(F.lit(1)).alias("size"), F.bool_or(F.col(name) == 0).alias("inlet"),
-                 F.bool_or(F.col(name) == F.col("_last")).alias("outlet"))
+    # voxels are combined by body before the extent of the sample joins, so a large sample stays spread
+    info = (vox.filter("body > 0").groupBy("ms_id", "body")
+            .agg(F.count(F.lit(1)).alias("size"), F.min(name).alias("_from"), F.max(name).alias("_to"))
+            .join(last, "ms_id").withColumn("inlet", F.col("_from") == 0).withColumn("outlet", F.col("_to") == F.col("_last"))
             .select("ms_id", "body", F.lit(None).cast("long").alias("other"), "size", "inlet", "outlet"))
     links = grid.label_adjacency(vox).select(
         "ms_id", "body", F.col("other").cast("long").alias("other"), F.lit(0).cast("long").alias("size"),
@@ -180,6 +181,8 @@ def merge_map(vox: DataFrame, axis: int = 0, kernel_rows: int | None = None) ->
         parts.append(small.groupBy("pack").applyInPandas(_merge_pack, schema))
     if large is not None:
         parts.append(_merge_large(large))
+    if not parts:
+        return rows.sparkSession.createDataFrame([], schema)
     return cut(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
 
 

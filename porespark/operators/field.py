@@ -26,7 +26,7 @@ def flux_field(phi: DataFrame) -> DataFrame:
 
 
 def field_metrics(flux: DataFrame, transport: DataFrame, axis: int = 0) -> DataFrame:
-    """Porosity, D_eff, both tortuosities and constrictivity."""
+    """Porosity, D_eff, both tortuosities and constriction_factor."""
     size = F.sqrt(F.col("jx") ** 2 + F.col("jy") ** 2 + F.col("jz") ** 2)
     agg = flux.groupBy("ms_id").agg(F.avg(size).alias("flux_mean"), F.abs(F.avg(f"j{AXES[axis]}")).alias("flux_axis_mean"))
     t = transport.select("ms_id", (F.col("n_nodes") / F.col("v_domain")).alias("porosity"), F.col("one_over_f").alias("d_eff"))
@@ -34,7 +34,7 @@ def field_metrics(flux: DataFrame, transport: DataFrame, axis: int = 0) -> DataF
     return (agg.join(t, "ms_id")
             .withColumn("tau_solver", F.when(live, F.try_divide("porosity", "d_eff")))
             .withColumn("tau_reconciled", F.when(live, F.try_divide("flux_mean", "flux_axis_mean")))
-            .withColumn("constrictivity", F.try_divide(F.col("tau_reconciled") * F.col("tau_reconciled"), F.col("tau_solver"))))
+            .withColumn("constriction_factor", F.try_divide(F.col("tau_reconciled") * F.col("tau_reconciled"), F.col("tau_solver"))))
 
 
 def divergence(flux: DataFrame, vox: DataFrame) -> DataFrame:

@@ -25,7 +25,10 @@ STEP = {"x": 1 << (2 * _BITS), "y": 1 << _BITS, "z": 1}
 
 
 def node_id(x="x", y="y", z="z") -> Column:
-    return (F.shiftleft(F.col(x).cast("long"), 2 * _BITS)
+    top = (1 << _BITS) - 1
+    wide = (F.col(y) > top) | (F.col(z) > top)  # would run into the next coordinate's bits
+    first = F.when(wide, F.raise_error(F.lit(f"y and z must not exceed {top}"))).otherwise(F.col(x).cast("long"))
+    return (F.shiftleft(first, 2 * _BITS)
             + F.shiftleft(F.col(y).cast("long"), _BITS) + F.col(z).cast("long"))
 
 

@@ -100,12 +100,21 @@ def matching(runs: DataFrame, criteria: dict, defaults: dict | None = None) -> D
     defaults = NETWORK_CONFIG_DEFAULTS if defaults is None else defaults
     parsed = F.try_parse_json(F.col("config"))
     hit = F.lit(True)
+    stored = F.json_object_keys("config")
     for key, value in criteria.items():
-        # variants render scalars as JSON text, which is what the criterion is turned into
-        have = F.coalesce(F.try_variant_get(parsed, f"$.{key}", "string"),
-                          F.when(F.lit(key in defaults), F.lit(_scalar_text(defaults.get(key)))))
-        want = _scalar_text(value)
-        hit = hit & (have.eqNullSafe(F.lit(want)) if want is not None else have.isNull())
+        # numbers are compared as numbers, all else as JSON text; a default counts only where the key is absent
+        is_number = isinstance(value, (int, float)) and not isinstance(value, bool)
+        kind = "double" if is_number else "string"
+        want = float(value) if is_number else _scalar_text(value)
+        default = defaults.get(key)
+        if is_number:
+            default = float(default) if isinstance(default, (int, float)) and not isinstance(default, bool) else None
+        else:
+            default = _scalar_text(default)
+        present = F.coalesce(F.array_contains(stored, key), F.lit(False))
+        have = F.when(present, F.try_variant_get(parsed, f"$.{key}", kind)).otherwise(F.lit(default).cast(kind))
+        known = present | F.lit(key in defaults)
+        hit = hit & known & have.eqNullSafe(F.lit(want).cast(kind))
     return (runs.filter("status = 'real'").filter(hit).groupBy("ms_id", "method")
             .agg(F.max(F.struct("has_full", "version")).alias("b"))
             .select("ms_id", "method", F.col("b.version").alias("version"), F.col("b.has_full").alias("has_full")))

@@ -127,6 +127,8 @@ def _distributed(links: DataFrame, tol: float, max_rounds: int = 100_000) -> Dat
         state = nxt
         if open_:
             break
+    else:
+        raise RuntimeError(f"potentials did not converge to {tol} in {max_rounds} rounds")
     return state.select("ms_id", "node_id", F.col("x").alias("phi"))
 
 

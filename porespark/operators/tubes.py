@@ -392,6 +392,8 @@ def decompose(dag: DataFrame, method: str = "greedy_fast", kernel_rows: int | No
     parts = []
     if small is not None:
         parts.append(small.groupBy("pack").applyInPandas(_pack_decomposer(method), schema))
+    if large is not None and method == "flow_decomposition":
+        raise NotImplementedError("flow_decomposition has no plan for samples beyond kernel_rows; choose another method")
     if large is not None:
         parts.append(_topological_rounds(large) if method == "topological" else _greedy_rounds(large))
     if not parts:

@@ -178,7 +178,7 @@ def flow_dag(spark, d):
     return dag.groupBy("ms_id", "kind").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("flow").alias("flow"))
 
 
-@query("ms_id:l porosity:d6 d_eff:d6 tau_solver:d5 tau_reconciled:d5 constrictivity:d5")
+@query("ms_id:l porosity:d6 d_eff:d6 tau_solver:d5 tau_reconciled:d5 constriction_factor:d5")
 def field_metrics(spark, d):
     return pipelines.field_metrics(_images(spark, d), 1)[0]
 
@@ -599,7 +599,10 @@ def before_after_delta(spark, d):
 # --- runs --------------------------------------------------------------------------------------
 
 def _runs(spark, d) -> DataFrame:
-    req = runs.assign_versions(derived.run_requests(spark, d)).withColumn("config_hash", runs.hash_column())
+    method = F.col("method")
+    unknown = F.raise_error(F.concat(F.lit("no column for method "), method))
+    asked = derived.run_requests(spark, d).withColumn("method", F.when(method.isNull() | method.isin(*METHODS), method).otherwise(unknown))
+    req = runs.assign_versions(asked).withColumn("config_hash", runs.hash_column())
     return cut(runs.resolve_reuse(req))
 
 

@@ -48,6 +48,15 @@ def test_matching_uses_defaults(spark):
     assert pick(dilate_both=True) == [2] and pick(surface_axis=None) == [2] and pick(alpha=0.7) == []
 
 
+def test_matching_compares_numbers_as_numbers(spark):
+    configs = [{"alpha": 1.0, "k": 1e-05}, {"alpha": 1, "k": 0.00001}, {"alpha": None, "k": 2}]
+    rows = [(f"s{i}", 1, "network", "real", None, "h", False, json.dumps(c)) for i, c in enumerate(configs)]
+    df = spark.createDataFrame(rows, runstore.RUN_SCHEMA)
+    pick = lambda **c: sorted(r["ms_id"] for r in runs.matching(df, c).collect())
+    assert pick(alpha=1.0) == pick(alpha=1) == pick(k=1e-05) == ["s0", "s1"]
+    assert pick(alpha=0.5) == [] and pick(alpha=None) == ["s2"]
+
+
 def test_latest_falls_back_to_maximum(spark):
     df = spark.createDataFrame([("a", 1), ("a", 4), ("b", 2)], "ms_id string, version long")
     rec = spark.createDataFrame([("a", 1), ("b", 9)], "ms_id string, version long")
