@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 EXAMPLES = 20_000       # bound of the labelled sample
 VOCABULARY = 1_000      # bound of the telling words
 NEIGHBOURS, BLOCK = 15, 64
+_AT_ONCE = 16           # blocks that are scored between two looks at the bounds
 _FALSE_SHARE = 0.1      # share of accidental words to expect among the telling ones
 _WORDS = re.compile(r"\w+")
 
@@ -67,7 +68,8 @@ def _telling(counts: DataFrame, n: int, bad: int, most: int) -> list[str]:
     inside = part(F.col("bad"), F.col("n") * share) + part(F.col("n") - F.col("bad"), F.col("n") * (1 - share))
     rest, rest_bad = F.lit(n) - F.col("n"), F.lit(bad) - F.col("bad")
     outside = part(rest_bad, rest * share) + part(rest - rest_bad, rest * (1 - share))
-    ratio = counts.select("word", F.round(2 * (inside + outside), 6).alias("g"))
+    # words that speak against the label add nothing to the votes of those that speak for it
+    ratio = counts.filter(F.col("bad") > F.col("n") * share).select("word", F.round(2 * (inside + outside), 6).alias("g"))
     first = [(r["word"], r["g"]) for r in ratio.orderBy(F.desc("g"), "word").limit(most).collect()]
     real = [k for k, (_, g) in enumerate(first, 1) if math.erfc(math.sqrt(max(g, 0.0) / 2)) <= _FALSE_SHARE * k / tried]
     return [w for w, _ in first[:max(real, default=0)]]
@@ -136,14 +138,20 @@ class Index:
     def nearest(self, terms: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the exact nearest examples, equal cosines by position."""
         bounds = w.astype(np.float32) @ self.block_max[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == NEIGHBOURS and bounds[b] < -best[-1][0] - 1e-6:
+        order = np.argsort(-bounds, kind="stable")
+        order, postings = order[bounds[order] > 0], self.weights.reshape(len(self.known), self.n_blocks, BLOCK)
+        at, cos = np.empty(0, int), np.empty(0)
+        for start in range(0, len(order), _AT_ONCE):
+            blocks = order[start:start + _AT_ONCE]
+            if len(cos) == NEIGHBOURS and bounds[blocks[0]] < cos[-1] - 1e-6:
                 break
-            cos = w @ self.weights[terms, b * BLOCK:(b + 1) * BLOCK].astype(float)
-            best += [(-round(float(c), 9), int(b) * BLOCK + i) for i, c in enumerate(cos) if c > 0 and int(b) * BLOCK + i != without]
-            best = sorted(best)[:NEIGHBOURS]
-        return np.array([p for _, p in best], int), np.array([-c for c, _ in best])
+            here = np.round(w @ postings[np.ix_(terms, blocks)].reshape(len(terms), -1).astype(float), 9)
+            place = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            live = (here > 0) & (place != without)
+            at, cos = np.concatenate([at, place[live]]), np.concatenate([cos, here[live]])
+            best = np.lexsort((at, -cos))[:NEIGHBOURS]
+            at, cos = at[best], cos[best]
+        return at, cos
 
     def vote(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         at, cos = self.nearest(*vector, without)
@@ -162,9 +170,11 @@ class Index:
 def build(df: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY) -> Index:
     """Index of at most ``examples`` labelled documents over at most ``vocabulary`` words."""
     rows = example_rows(df, labels, examples)
-    counts = rows.select("text", "toxic").mapInPandas(_word_counts, "word string, n long, bad long").groupBy("word").agg(
+    # copies of one text are one witness for its words
+    apart = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    counts = apart.select("text", "toxic").mapInPandas(_word_counts, "word string, n long, bad long").groupBy("word").agg(
         F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)).alias("bad")).first()
+    total = apart.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)).alias("bad")).first()
     known = {w: i for i, w in enumerate(sorted(_telling(counts, total["n"], total["bad"], vocabulary)))}
     n_docs = df.count()
     seen = df.select("text").mapInPandas(_frequencies(known), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
