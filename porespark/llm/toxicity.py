@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,8 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             every.update(found)
             if toxic:
                 bad.update(found)
-        yield pd.DataFrame({"word": list(every), "n": list(every.values()), "bad": [bad[w] for w in every]})
+        if every:
+            yield pd.DataFrame({"word": np.array(list(every), object), "n": list(every.values()), "bad": [bad[w] for w in every]}).astype({"word": object})
 
 
 def _telling(counts: DataFrame, n: int, bad: int, most: int) -> list[str]:
@@ -81,7 +83,8 @@ def _frequencies(known: dict[str, int]):
             seen = Counter()
             for text in batch["text"]:
                 seen.update(known.keys() & set(words(text)))
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"word": np.array(list(seen), object), "n": list(seen.values())}).astype({"word": object})
 
     return run
 
@@ -207,20 +210,22 @@ def toxicity(df: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabul
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     index = build(docs, labels, examples, vocabulary)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[tuple, tuple] = {}
         for batch in batches:
             scored = []
-            for text in batch["text"]:
-                counts = Counter(index.known[w] for w in words(text) if w in index.known)
+            for text in batch.column(1):
+                counts = Counter(index.known[w] for w in words(text.as_py()) if w in index.known)
                 key = tuple(sorted(counts.items()))
                 if key not in memory:
                     if len(memory) > 50_000:
                         memory.clear()
                     memory[key] = index.score(counts)
                 scored.append(memory[key])
-            score = [s[0] for s in scored]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": score, "predicted": [int(s >= threshold) for s in score],
-                                "nearest": [s[2][0] if s[2] else None for s in scored], "evidence": [s[1] for s in scored]})
+            columns = [batch.column(0), pa.array([s for s, _, _ in scored], pa.float64()),
+                       pa.array([int(s >= threshold) for s, _, _ in scored], pa.int32()),
+                       pa.array([c[0] if c else None for _, _, c in scored], pa.float64()),
+                       pa.array([ids for _, ids, _ in scored], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted", "nearest", "evidence"])
 
-    return docs.mapInPandas(run, "doc_id long, score double, predicted int, nearest double, evidence array<long>")
+    return docs.mapInArrow(run, "doc_id long, score double, predicted int, nearest double, evidence array<long>")
