@@ -5,13 +5,14 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from porespark.config import AXIS_NAMES, METHODS, NetworkConfig, VoxelConfig
+from porespark.config import AXIS_NAMES, METHODS, NetworkConfig, solver_config
 from porespark.operators import runs as run_ops
 from porespark.operators import whatif
 from porespark.plans import pipelines
+from porespark.plans.lineage import cut
 from porespark.sources import npy, runstore, samples, sinks
 
 
@@ -26,6 +27,11 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--axis", type=int, default=0)
         s.add_argument("--voxel-config", type=json.loads, default={})
         s.add_argument("--network-config", type=json.loads, default={})
+        if name == "batch":
+            s.add_argument("--field-config", type=json.loads, default={})
+            s.add_argument("--override-keys", type=json.loads, default={})
+            s.add_argument("--segmented-file", default="segmented.npy")
+            s.add_argument("--body-file", default="body_array.npy")
     c = sub.add_parser("collect")
     c.add_argument("--data-dir", required=True)
     c.add_argument("--out")
@@ -37,28 +43,40 @@ def _network(args) -> NetworkConfig:
     return NetworkConfig(**{"direction": AXIS_NAMES[args.axis], **args.network_config})
 
 
+def _metrics(vox: DataFrame, method: str, config: dict) -> DataFrame:
+    """Metrics of one method for samples that share a config."""
+    cfg = solver_config(method, config)
+    if method == "field":
+        return pipelines.field_metrics(vox, cfg.phase_id, cfg.axis)[0]
+    if method == "voxel":
+        return pipelines.voxel_metrics(vox, cfg)
+    return pipelines.network_metrics(pipelines.network_run(vox, cfg), cfg)
+
+
 def batch(spark: SparkSession, args) -> None:
-    """All three methods over every sample folder, with reuse recorded per config hash.
+    """All three methods over every sample folder, each sample with its own effective config.
 
-    Manifest overrides of phase and axis enter the hash; samples are solved
-    together, one plan per method.
+    Samples that are up to date are left alone; known configs become pointers.
+    The rest is solved with one plan per distinct config, so the plans number as
+    many as there are configs, not samples.
     """
-    vox = npy.read_volumes(spark, args.data_dir)
-    wanted = samples.requested_configs(samples.manifests(spark, args.data_dir, vox), phase_id=args.phase_id, axis=args.axis,
-                                       voxel=args.voxel_config, network=args.network_config)
-    metrics = {
-        "field": pipelines.field_metrics(vox, args.phase_id, args.axis)[0],
-        "voxel": pipelines.voxel_metrics(vox, VoxelConfig(**{"phase_id": args.phase_id, "axis": args.axis, **args.voxel_config})),
-        "network": pipelines.network_metrics(pipelines.network_run(vox, _network(args)), _network(args))}
-    rows = None
-    for method, df in metrics.items():
+    vox = npy.read_volumes(spark, args.data_dir, segmented_file=args.segmented_file, body_file=args.body_file)
+    wanted = samples.requested_configs(
+        samples.manifests(spark, args.data_dir, vox), phase_id=args.phase_id, axis=args.axis, segmented_file=args.segmented_file,
+        body_file=args.body_file, field=args.field_config, voxel=args.voxel_config, network=args.network_config,
+        override_keys=args.override_keys)
+    made = cut(run_ops.plan_versions(wanted, *runstore.stored_or_empty(spark, args.out)))
+    real = made.filter("status = 'real'")
+    rows = spark.createDataFrame([], runstore.METRIC_SCHEMA)
+    for own in real.select("method", "config").distinct().orderBy("method", "config").collect():
+        config = json.loads(own["config"])
+        mine = real.filter((F.col("method") == own["method"]) & (F.col("config") == own["config"])).select("ms_id", "version")
+        files = {"segmented_file": config.get("segmented_file", args.segmented_file), "body_file": config.get("body_array_file", args.body_file)}
+        df = _metrics(npy.read_volumes(spark, args.data_dir, **files).join(mine, "ms_id", "left_semi"), own["method"], config)
         keys = [c for c in df.columns if c not in ("ms_id", "solve_failed")]
-        long = df.select("ms_id", F.lit(1).cast("long").alias("version"), F.lit(method).alias("method"),
-                         F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in keys]),
-                                                     F.array(*[F.col(k).cast("double") for k in keys]))).alias("key", "value"))
-        rows = long if rows is None else rows.unionByName(long)
-    made = wanted.select("ms_id", F.lit(1).cast("long").alias("version"), "method", F.lit("real").alias("status"),
-                         F.lit(None).cast("long").alias("points_to_version"), "config_hash", F.lit(False).alias("has_full"), "config")
+        values = F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.col(k).cast("double") for k in keys]))
+        rows = rows.unionByName(df.join(mine, "ms_id").select("ms_id", "version", F.lit(own["method"]).alias("method"),
+                                                              F.explode(values).alias("key", "value")))
     runstore.append_runs(made, rows, args.out)
 
 

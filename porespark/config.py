@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, fields
 
 # The flow axis letters.
 AXIS_NAMES = {0: "x", 1: "y", 2: "z"}
@@ -161,19 +161,50 @@ def merge_config(batch: dict | None, manifest: dict | None, defaults: dict | Non
     return merged
 
 
+# Manifest key that holds the overrides of each method, unless the caller names others.
+OVERRIDE_KEYS = {method: f"{method}_config" for method in METHODS}
+
+# Voxel settings of published configs that steer execution only.  They are hashed, not used.
+EXECUTION_KEYS = frozenset({
+    "use_pyamg", "kcl_maxiter", "progress_every", "verbose", "use_numba_decomposition", "store_legacy_path_arrays",
+    "volume_chunk", "chord_chunk",
+})
+
+# Keys that choose the data a method reads; the reader takes them, not the solver.
+INPUT_KEYS = frozenset({"segmented_file", "body_array_file"})
+
+
+def solver_config(method: str, config: dict):
+    """Typed config of a merged one.  Input and execution keys are left out, unknown ones are an error."""
+    kind = {"field": FieldConfig, "voxel": VoxelConfig, "network": NetworkConfig}[method]
+    known = {f.name for f in fields(kind)}
+    unknown = sorted(set(config) - known - INPUT_KEYS - EXECUTION_KEYS)
+    if unknown:
+        raise ValueError(f"unknown {method} settings {unknown}")
+    return kind(**{k: v for k, v in config.items() if k in known})
+
+
 def method_configs(manifest: dict, *, phase_id: int = 1, axis: int = 0,
                    segmented_file: str = "segmented.npy", body_file: str = "body_array.npy",
                    field: dict | None = None, voxel: dict | None = None,
-                   network: dict | None = None) -> dict[str, dict]:
-    """Per-method configs of one sample, with the keys every hash must cover."""
+                   network: dict | None = None, override_keys: dict[str, str] | None = None) -> dict[str, dict]:
+    """Per-method configs of one sample, with the keys every hash must cover.
+
+    ``override_keys`` names the manifest's key for each method's overrides.  A
+    manifest key that ends in ``_config`` and is none of them is an error.
+    """
+    keys = {**OVERRIDE_KEYS, **(override_keys or {})}
+    unknown = sorted(k for k in manifest if k.endswith("_config") and k not in keys.values())
+    if unknown:
+        raise ValueError(f"manifest overrides {unknown} belong to no method; name them in override_keys")
     phase_id = manifest.get("phase_id", phase_id)
     axis = manifest.get("axis", axis)
     segmented_file = manifest.get("segmented_file", segmented_file)
     body_file = manifest.get("body_array_file", body_file)
     grid_keys = {"phase_id": phase_id, "axis": axis, "segmented_file": segmented_file}
     return {
-        "field": merge_config(field, manifest.get("field_config"), grid_keys),
-        "voxel": merge_config(voxel, manifest.get("voxel_config"), grid_keys),
-        "network": merge_config(network, manifest.get("network_config"),
+        "field": merge_config(field, manifest.get(keys["field"]), grid_keys),
+        "voxel": merge_config(voxel, manifest.get(keys["voxel"]), grid_keys),
+        "network": merge_config(network, manifest.get(keys["network"]),
                                 {"direction": AXIS_NAMES[axis], "body_array_file": body_file}),
     }

@@ -22,6 +22,15 @@ def load_runs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{root}/runs"), spark.read.parquet(f"{root}/metrics")
 
 
+def stored_or_empty(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Run and metric tables of a store, each empty where the store has none yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return tuple(spark.read.parquet(f"{root}/{name}").select(*empty.columns) if path(root, name).getFileSystem(conf).exists(path(root, name))
+                 else empty for name, empty in (("runs", spark.createDataFrame([], RUN_SCHEMA)),
+                                                ("metrics", spark.createDataFrame([], METRIC_SCHEMA))))
+
+
 def _json_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     return (spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", "true").load(root)
             .select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("content").cast("string").alias("text"))
@@ -67,10 +76,11 @@ def import_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     runs = _json_files(spark, root, "config.json").mapInPandas(real, RUN_SCHEMA).unionByName(
         _json_files(spark, root, "pointer.json").mapInPandas(pointer, RUN_SCHEMA))
     metrics = _json_files(spark, root, "metrics.json").mapInPandas(
-        values, "ms_id string, version long, method string, key string, value double")
+        values, METRIC_SCHEMA)
     return runs, metrics
 
 
 RUN_COLUMNS = ["ms_id", "version", "method", "status", "points_to_version", "config_hash", "has_full", "config"]
 RUN_SCHEMA = ("ms_id string, version long, method string, status string, points_to_version long, config_hash string, "
               "has_full boolean, config string")
+METRIC_SCHEMA = "ms_id string, version long, method string, key string, value double"

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from porespark import config
+from porespark import cli, config
 from porespark.operators import collate, runs
 from porespark.sources import npy, runstore, samples
 from porespark.streaming import latest as stream
@@ -123,3 +123,40 @@ def test_report_text(spark):
     df = spark.createDataFrame(rows, "ms_id long, size_class string, cross_check_pass boolean, porosity double, tau double")
     text = collate.report(df, [("porosity", "tau", "porosity vs. tau")])
     assert "Spearman r = 1.00" in text and "- Fine: 0 samples" in text and "8 samples, 3 pass" in text
+
+
+def test_batch_solves_what_it_records(spark, tmp_path):
+    """Own axis per sample, no-op on repetition, pointers and one new run after a change."""
+    grid = np.ones((4, 4, 4), dtype=np.uint8)
+    grid[1:3, 1:3, 0] = 0  # the axes differ
+    for ms in ("s1", "s2"):
+        os.makedirs(tmp_path / "in" / ms)
+        np.save(tmp_path / "in" / ms / "segmented.npy", grid)
+        np.save(tmp_path / "in" / ms / "body_array.npy", np.repeat([1, 2], 2)[:, None, None] * grid)
+    (tmp_path / "in" / "s2" / "manifest.json").write_text(json.dumps({"axis": 2, "vox": {}, "v_config": {"kcl_maxiter": 9}}))
+    args = ["batch", "--data-dir", str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--override-keys", '{"voxel": "v_config"}']
+
+    def run(*more):
+        cli.batch(spark, cli._parser().parse_args(args + list(more)))
+        made, metrics = runstore.load_runs(spark, str(tmp_path / "out"))
+        return made.orderBy("ms_id", "version", "method").collect(), metrics.orderBy("ms_id", "version", "method", "key").collect()
+
+    made, metrics = run()
+    assert [(r["ms_id"], r["version"], r["method"], r["status"]) for r in made] == [
+        (ms, 1, m, "real") for ms in ("s1", "s2") for m in ("field", "network", "voxel")]
+    value = {r["ms_id"]: r["value"] for r in metrics if (r["method"], r["key"]) == ("field", "d_eff")}
+    assert abs(value["s1"] - value["s2"]) > 1e-6
+    assert json.loads(made[5]["config"])["kcl_maxiter"] == 9
+    assert run() == (made, metrics)
+    again, more = run("--voxel-config", '{"sigma": 2.0}')
+    assert [(r["method"], r["status"], r["points_to_version"]) for r in again if (r["ms_id"], r["version"]) == ("s1", 2)] == [
+        ("field", "pointer", 1), ("network", "pointer", 1), ("voxel", "real", None)]
+    assert {(r["version"], r["method"]) for r in more} == {(1, "field"), (1, "network"), (1, "voxel"), (2, "voxel")}
+
+
+def test_settings_are_known_or_refused():
+    with pytest.raises(ValueError):
+        config.method_configs({"other_config": {}})
+    assert config.solver_config("voxel", {"axis": 1, "kcl_maxiter": 3, "segmented_file": "a.npy"}) == config.VoxelConfig(axis=1)
+    with pytest.raises(ValueError):
+        config.solver_config("network", {"alhpa": 0.3})
