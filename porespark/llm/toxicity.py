@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from porespark.plans.lineage import cut, release
+
 EXAMPLES = 20_000       # bound of the labelled sample
 VOCABULARY = 1_000      # bound of the telling words
 NEIGHBOURS, BLOCK = 15, 64
@@ -172,11 +174,11 @@ class Index:
 
 def build(df: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY) -> Index:
     """Index of at most ``examples`` labelled documents over at most ``vocabulary`` words."""
-    rows = example_rows(df, labels, examples)
+    rows = cut(example_rows(df, labels, examples))  # read four times, bounded by examples
     # copies of one text are one witness for its words
-    apart = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    counts = apart.select("text", "toxic").mapInPandas(_word_counts, "word string, n long, bad long").groupBy("word").agg(
-        F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    apart = cut(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")))
+    counts = cut(apart.select("text", "toxic").mapInPandas(_word_counts, "word string, n long, bad long").groupBy("word").agg(
+        F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     total = apart.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)).alias("bad")).first()
     known = {w: i for i, w in enumerate(sorted(_telling(counts, total["n"], total["bad"], vocabulary)))}
     n_docs = df.count()
@@ -192,6 +194,8 @@ def build(df: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
 
     got = (rows.mapInPandas(counted, "doc_id long, toxic int, terms array<int>, times array<int>").orderBy("doc_id")
            .limit(examples).toPandas())
+    for stored in (counts, apart, rows):
+        release(stored)
     pairs = [dict(zip(map(int, t), map(int, n))) for t, n in zip(got["terms"], got["times"])]
     return Index(known, idf, got["doc_id"].to_numpy(), got["toxic"].to_numpy(), pairs)
 
