@@ -14,6 +14,8 @@ from porespark.llm.queries import END_ID, WORD_VOCABULARY
 from porespark.plans.lineage import checkpoint_dir
 
 SHINGLE_WORDS, PERCENT = 5, 80
+# A line goes at 0.5 % of its source's pages, in sources of under 1,000 pages at five of them.
+LINE_RATIO, LINE_PAGES, LINE_MOST = 0.005, 5, 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +25,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that are boilerplate of their source."""
-    return lines.line_dedup(docs, F.col("source")).select(*docs.columns)
+    """Removes lines that are boilerplate of their source; pages that are mostly such lines are left to the next stage."""
+    cleaned = lines.line_dedup(docs, F.col("source"), ratio=LINE_RATIO, min_pages=LINE_PAGES, most=LINE_MOST)
+    return cleaned.select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,14 +37,17 @@ def boilerplate(df: DataFrame, host: Column, text_col: str, ratio: float, min_pa
             .groupBy(F.col("l._host").alias("_host")).agg(F.collect_set("_digest").alias("_drop")))
 
 
-def line_dedup(df: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(df: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+               most: float = 1.0) -> DataFrame:
     """Removes boilerplate lines from ``text_col``; adds ``n_lines`` and ``n_dropped``.
 
     A page counts a line once.  Lines are compared exactly; blank ones are never
     dropped.  A line goes when it is on at least ``min_pages`` pages of the host
     and on at least ``ratio`` of them.  Every row stays, also when no line is
     left (its text is then empty); a null text stays null with 0 lines.  A null
-    host is a host.  ``n_chars``, where the table has it, is counted anew for
+    host is a host.  A page that would lose more than the share ``most`` of its
+    characters (line ends aside) is itself what is repeated, not its frame: it
+    keeps all its lines.  ``n_chars``, where the table has it, is counted anew for
     changed texts.  Existing columns named as the added ones are replaced.
     """
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
@@ -53,7 +56,11 @@ def line_dedup(df: DataFrame, host: Column, text_col: str = "text", ratio: float
     lines = _lines(F.col(text_col))
     kept = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("_drop"), _digest(line)))
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(kept)
-    out = (joined.withColumn("_kept", kept)
+    joined = joined.withColumn("_kept", kept)
+    if most < 1:
+        chars = lambda of: F.char_length(F.array_join(of, ""))
+        joined = joined.withColumn("_kept", F.when(chars(F.col("_kept")) < F.lit(1 - most) * chars(lines), lines).otherwise(F.col("_kept")))
+    out = (joined
            .withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
            .withColumn("n_dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long"))
            .withColumn(text_col, F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col))))

@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from porespark.llm import (components, embeddings, lines, minhash, mixing, oracles, packing, quality, queries, sharding, spotsigs,
                            tokens, toxicity)
 
@@ -384,6 +385,28 @@ def test_lines_that_a_host_repeats_go(hard, nothing):
     assert lines.line_dedup(nothing, F.col("source")).count() == 0
 
 
+def test_pipeline_drops_planted_lines_at_its_own_values(spark):
+    rng, rows = random.Random(6), []
+    own = lambda: "\n".join(" ".join(rng.choices(WORDS, k=9)) + f" {rng.randrange(10**9)}" for _ in range(6))
+    sizes = {"hot": 1500, "mid": 400, "small": 60, "tiny": 4}
+    planted = {"hot": {"licence line": 24, "footer of the site": 60}, "mid": {"licence line": 7, "footer of the site": 16},
+               "small": {"licence line": 5}, "tiny": {}}
+    chance = {"hot": 7, "mid": 4, "small": 4, "tiny": 4}
+    for host, n in sizes.items():
+        texts = [own() for _ in range(n)]
+        for line, times in [*planted[host].items(), ("by chance", chance[host])]:
+            for i in rng.sample(range(n), times):
+                texts[i] += "\n" + line
+        rows += [(len(rows) + i, t, "en", host, len(t)) for i, t in enumerate(texts)]
+    base = own()
+    near = [(len(rows) + i, base + f"\nedit number {i}", "en", "mid", None) for i in range(40)]
+    df = spark.createDataFrame(rows + near, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, df, "").collect()}
+    for i, text, _, host, _ in rows:
+        assert got[i] == "\n".join(x for x in text.split("\n") if x not in planted[host])
+    assert all(got[i] == text for i, text, *_ in near)
+
+
 def test_quality_separates_and_shrinks(spark, hard, nothing):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
