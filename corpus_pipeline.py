@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that are boilerplate of their source; pages that are mostly such lines are left to the next stage."""
-    cleaned = lines.line_dedup(docs, F.col("source"), ratio=LINE_RATIO, min_pages=LINE_PAGES, most=LINE_MOST)
+    cleaned = lines.line_dedup(docs, F.col("source"), ratio=LINE_RATIO, min_pages=LINE_PAGES, most=LINE_MOST, by_text=True)
     return cleaned.select(*docs.columns)
 
 

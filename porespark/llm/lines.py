@@ -25,11 +25,18 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
-def boilerplate(df: DataFrame, host: Column, text_col: str, ratio: float, min_pages: int) -> DataFrame:
-    """``(host, drop)``: the digests of each host's boilerplate lines; hosts without any are absent."""
-    pages = df.select(host.alias("_host"), F.array_distinct(_lines(F.col(text_col))).alias("_lines"))
-    lines = (pages.select("_host", F.explode("_lines").alias("_line")).filter(F.trim("_line") != "")
-             .groupBy("_host", _digest(F.col("_line")).alias("_digest")).agg(F.count(F.lit(1)).alias("_with")))
+def boilerplate(df: DataFrame, host: Column, text_col: str, ratio: float, min_pages: int, by_text: bool = False) -> DataFrame:
+    """``(host, drop)``: the digests of each host's boilerplate lines; hosts without any are absent.
+
+    With ``by_text`` pages of a host with the same text count as one; copies
+    are combined before the shuffle, so a large group of them is one row a task.
+    """
+    distinct = F.filter(F.array_distinct(_lines(F.col(text_col))), lambda line: F.trim(line) != "")
+    pages = df.select(host.alias("_host"), F.transform(distinct, _digest).alias("_digests"), *[_digest(F.col(text_col)).alias("_page")] * by_text)
+    if by_text:
+        pages = pages.distinct()
+    lines = (pages.select("_host", F.explode("_digests").alias("_digest"))
+             .groupBy("_host", "_digest").agg(F.count(F.lit(1)).alias("_with")))
     totals = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     frequent = lines.filter(F.col("_with") >= min_pages).alias("l").join(
         totals.alias("t"), F.col("l._host").eqNullSafe(F.col("t._host")))
@@ -38,12 +45,13 @@ def boilerplate(df: DataFrame, host: Column, text_col: str, ratio: float, min_pa
 
 
 def line_dedup(df: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-               most: float = 1.0) -> DataFrame:
+               most: float = 1.0, by_text: bool = False) -> DataFrame:
     """Removes boilerplate lines from ``text_col``; adds ``n_lines`` and ``n_dropped``.
 
     A page counts a line once.  Lines are compared exactly; blank ones are never
     dropped.  A line goes when it is on at least ``min_pages`` pages of the host
-    and on at least ``ratio`` of them.  Every row stays, also when no line is
+    and on at least ``ratio`` of them; with ``by_text`` copies of one page are
+    one page in both counts, so that copying alone drops no text.  Every row stays, also when no line is
     left (its text is then empty); a null text stays null with 0 lines.  A null
     host is a host.  A page that would lose more than the share ``most`` of its
     characters (line ends aside) is itself what is repeated, not its frame: it
@@ -51,7 +59,7 @@ def line_dedup(df: DataFrame, host: Column, text_col: str = "text", ratio: float
     changed texts.  Existing columns named as the added ones are replaced.
     """
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    drop = cut(boilerplate(df, host, text_col, ratio, min_pages))
+    drop = cut(boilerplate(df, host, text_col, ratio, min_pages, by_text))
     joined = df.select(*names, host.alias("_of")).join(drop, F.col("_of").eqNullSafe(F.col("_host")), "left")
     lines = _lines(F.col(text_col))
     kept = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("_drop"), _digest(line)))

@@ -407,6 +407,21 @@ def test_pipeline_drops_planted_lines_at_its_own_values(spark):
     assert all(got[i] == text for i, text, *_ in near)
 
 
+def test_copies_of_a_page_count_once(spark, tmp_path):
+    rng, rows = random.Random(8), []
+    own = lambda: "\n".join(" ".join(rng.choices(WORDS, k=9)) + f" {rng.randrange(10**9)}" for _ in range(5))
+    copied, other = own() + "\nsite line", own()
+    rows += [(i, copied, "en", "a") for i in range(100)]
+    rows += [(100 + i, own() + "\nsite line" * (i < 30) + f"\n{copied.splitlines()[0]}" * (i < 2), "en", "a") for i in range(200)]
+    rows += [(300 + i, other if i < 3 else own(), "en", "b") for i in range(30)]
+    rows += [(330 + i, None, "en", "c") for i in range(5)] + [(335 + i, own() + "\nsite line", "en", "c") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    without = {i: "\n".join(x for x in (t or "").split("\n") if x != "site line") if t is not None else None for i, t, *_ in rows}
+    for cleaned in (queries.op9_line_dedup(spark, str(tmp_path)), corpus_pipeline.line_stage(spark, df, "")):
+        assert {r["doc_id"]: r["text"] for r in cleaned.collect()} == without
+
+
 def test_quality_separates_and_shrinks(spark, hard, nothing):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
