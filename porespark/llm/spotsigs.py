@@ -3,8 +3,9 @@
 A spot is a common word (an anchor) that is followed by a content word; its
 signature is the anchor with the chain of the next content words, however many
 anchors lie between them.  Running text is full of spots, lists and boilerplate
-are not.  A document's fingerprint is the sorted set of its signatures, and two
-fingerprints are compared by Jaccard similarity.
+are not; where spots are far apart, the chains at all content words between them
+are signatures too.  A document's fingerprint is the sorted set of its
+signatures, and two fingerprints are compared by Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -26,29 +27,38 @@ ANCHORS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "he",
            "qui", "sur", "un", "une",
            "al", "como", "con", "del", "el", "es", "las", "lo", "los", "no", "para", "por", "se", "su", "y")
 CHAIN = 3
+# So many content words may lie before, between or after spots; longer stretches are fingerprinted in full.
+GAP = 8
 
 
 def with_spots(df: DataFrame, text: str, spots: str, anchors: Sequence[str] = ANCHORS, chain: int = CHAIN) -> DataFrame:
     """Adds the sorted distinct signatures of column ``text`` as ``array<int>``.
 
-    Words are runs of letters and digits, in lower case.  A text without spots
-    has the chains at all its content words; one without content words has a
-    single signature of the whole text, an empty or null text none.
+    Words are runs of letters and digits, in lower case.  A stretch of more than
+    ``GAP`` content words without a spot, and a text without any, has the chains
+    at all its content words: what a stretch has depends on no other part of the
+    text.  A text without content words has a single signature of the whole
+    text, an empty or null text none.
     """
-    words, content = f"_words_{spots}", f"_content_{spots}"
+    words, content, ends = f"_words_{spots}", f"_content_{spots}", f"_ends_{spots}"
     anchor = lambda w: w.isin(*anchors)
     split = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
     df = df.withColumn(words, split)
     pairs = F.transform(F.col(words), lambda w, i: F.struct(w.alias("w"), F.get(F.col(words), i - 1).alias("before")))
     df = df.withColumn(content, F.filter(pairs, lambda x: (x["w"] != "") & ~anchor(x["w"])))
-    later = lambda j: [F.get(F.col(content), j + k)["w"] for k in range(1, chain)]
-    found = F.array_compact(F.transform(F.col(content), lambda x, j: F.when(anchor(x["before"]), F.hash(x["before"], x["w"], *later(j)))))
-    everywhere = F.transform(F.col(content), lambda x, j: F.hash(F.lit("*"), x["w"], *later(j)))
+    at = F.array_compact(F.transform(F.col(content), lambda x, j: F.when(anchor(x["before"]), j)))
+    df = df.withColumn(ends, F.concat(F.array(F.lit(-1)), at, F.array(F.size(content))))
+    word = lambda j, k: F.get(F.col(content), j + k)["w"]
+    chain_at = lambda first, j: F.hash(first, *[word(j, k) for k in range(chain)])
+    found = F.transform(F.slice(ends, F.lit(2), F.size(ends) - 2), lambda j: chain_at(F.get(F.col(content), j)["before"], j))
     none = F.array().cast("array<int>")
-    df = df.withColumn(spots, found)
-    value = (F.when(F.size(spots) > 0, F.col(spots)).when(F.size(content) > 0, everywhere)
+    longest = F.when(F.size(ends) > 2, GAP).otherwise(0)
+    stretch = lambda j, i: F.when(F.get(F.col(ends), i + 1) - j - 1 > longest,
+                                  F.sequence(j + 1, F.get(F.col(ends), i + 1) - 1)).otherwise(none)
+    everywhere = F.transform(F.flatten(F.transform(F.col(ends), stretch)), lambda j: chain_at(F.lit("*"), j))
+    value = (F.when(F.size(content) > 0, F.concat(found, everywhere))
              .when(F.coalesce(F.col(text), F.lit("")) != "", F.array(F.hash(F.col(text)))).otherwise(none))
-    return df.withColumn(spots, F.coalesce(F.array_sort(F.array_distinct(value)), none)).drop(words, content)
+    return df.withColumn(spots, F.coalesce(F.array_sort(F.array_distinct(value)), none)).drop(words, content, ends)
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:

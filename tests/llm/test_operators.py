@@ -346,6 +346,21 @@ def test_spots_are_chains_after_anchors(spark):
     assert hashed("the", "cat", "dog", "ran") in got[3]
 
 
+def test_lists_with_one_line_of_prose_differ(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "and"]) if i % 3 == 0 else rng.choice(WORDS) + str(rng.randrange(99)) for i in range(n))
+    listed = lambda n: "\n".join(rng.choice(WORDS) + str(rng.randrange(9999)) for _ in range(n))
+    shared = "See the table of parts"
+    texts = {0: f"{listed(60)}\n{shared}\n{listed(60)}", 1: prose(300), 2: f"{shared}\n{listed(60)}", 3: f"{listed(12)}\n{shared}", 4: listed(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in spotsigs.fingerprints(df).collect()}
+    sets = {i: set(r["fingerprint"].split(",")) for i, r in rows.items()}
+    assert rows[0]["near_edited"] > 0.5 and rows[2]["near_edited"] > 0.5
+    assert all(len(sets[a] & sets[b]) < 0.1 * len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2))
+    assert [rows[i]["n_spots"] for i in (0, 2, 3, 4)] == [123, 62, 15, 40]
+    assert rows[1]["n_spots"] <= 100  # running text has its spots only
+
+
 def test_spot_matches_equal_all_pairs(spark):
     rng, rows = random.Random(4), []
     for g in range(8):
