@@ -1,10 +1,10 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine over telling words.
 
 A bounded sample of labelled documents is the memory.  Its telling words - those
 whose link with the label a likelihood-ratio test confirms - span the vectors;
-their document frequencies come from the whole corpus.  Examples lie in a
-block-max inverted index: postings by word, cut into blocks of examples with the
-largest weight of each word in each block.  A query bounds every block by these
+their document frequencies come from the whole corpus.  A text without any of them gets
+the base rate.  Examples lie in a dense matrix of words by examples, cut into
+blocks of examples with the largest weight of each word in each block.  A query bounds every block by these
 maxima and scores blocks from the best bound down, until no block left can
 change its exact nearest neighbours.  Their votes, weighted by cosine, are
 calibrated on the examples themselves, each judged by the others.
@@ -92,7 +92,7 @@ def _frequencies(known: dict[str, int]):
 
 
 class Index:
-    """Examples as unit TF-IDF vectors in a block-max inverted index."""
+    """Examples as unit TF-IDF vectors in a dense matrix with block maxima."""
 
     def __init__(self, known: dict[str, int], idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray, counts: list[dict[int, int]]):
         self.known, self.idf = known, idf
