@@ -55,7 +55,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: The classifier, the signatures and the tokenizer are beyond SQL; stages are tested against brute force.
+#: The classifier, the signatures and the tokenizer are beyond SQL; operators have tests of their own, the chain has none.
 ORACLE_SQL = None
 
 
