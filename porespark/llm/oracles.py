@@ -96,9 +96,35 @@ SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len
 FROM kept
 """
 
+_RANKING = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+sized AS (SELECT doc_id, t, len(t) AS n FROM split WHERE len(t) > 0),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_all FROM sized),
+held AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM sized) GROUP BY 1, 2, 3),
+spread AS (SELECT term, count(*) AS df FROM held GROUP BY term),
+asked AS (
+  SELECT item_id, term, count(*) AS r FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY 1, 2),
+weighed AS (
+  SELECT a.item_id, a.term, a.r * CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM asked a JOIN spread s ON a.term = s.term, total),
+scored AS (
+  SELECT q.item_id, h.doc_id,
+         CAST(sum(q.w * ((1000000000 * h.tf) // (1000 * h.tf + 8 * (25 + (75 * h.n * n_docs) // n_all)))) AS BIGINT) AS score
+  FROM weighed q JOIN held h ON q.term = h.term, total GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM placed WHERE place <= 10
+"""
+
 SQL: dict[str, str] = {
     "op1_minhash": _MINHASH,
     "op2_mixing": _MIXING,
     "op4_embeddings": _EMBEDDINGS,
     "op9_line_dedup": _LINES,
+    "op12_ranking": _RANKING,
 }
