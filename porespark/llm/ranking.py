@@ -8,8 +8,11 @@ Documents are range-partitioned by the term that weighs most in them, so that li
 documents share a task.  A task takes them in batches of bounded size and builds a
 ball tree of each: every node keeps the centroid of its documents and a radius that
 holds them all.  By Cauchy and Schwarz no document of a node scores more than the
-centroid does plus the radius times the length of the query.  The bound is computed
-in floating point and widened by more than its rounding can amount to.  A query walks
+centroid does plus the radius times the length of the query, nor more than the corner
+of the box around the ball's documents.  Both sides are scaled
+first, documents by the root of a term's weight and queries by its inverse: their
+product stays and common terms, which weigh little, widen no ball.  The bound is
+computed in floating point and widened by more than its rounding can amount to.  A query walks
 the tree best bound first and stops when the best bound is below the score of its
 k-th document so far; documents in the leaves it reaches are scored in whole numbers.
 
@@ -94,16 +97,17 @@ class Vectors:
 
 
 class Node:
-    """A ball: centroid (sparse), radius, longest row, and two smaller balls or a leaf's rows."""
-    __slots__ = ("term", "centre", "radius", "norm", "rows", "own", "sides")
+    """A ball: centroid (sparse), radius, its box's upper corner, and two smaller balls or a leaf's rows."""
+    __slots__ = ("term", "centre", "radius", "corner", "rows", "own", "sides")
 
 
 class Tree:
-    """A ball tree over non-negative sparse vectors of whole numbers, none of them empty."""
+    """A ball tree over non-negative sparse vectors of whole numbers, none of them empty; ``scale`` is positive where they are."""
 
-    def __init__(self, vectors: Vectors, n_terms: int):
-        self.dense = np.zeros(n_terms)
-        self.all, self.square = vectors, np.add.reduceat(vectors.value.astype(float) ** 2, vectors.start[:-1])
+    def __init__(self, vectors: Vectors, scale: np.ndarray):
+        self.dense, self.exact = np.zeros(len(scale)), vectors
+        self.all = Vectors(vectors.start, vectors.term, vectors.value * scale[vectors.term])
+        self.square = np.add.reduceat(self.all.value ** 2, vectors.start[:-1])
         self.root = self._node(np.arange(len(vectors.start) - 1))
 
     def _node(self, rows: np.ndarray) -> Node:
@@ -116,8 +120,9 @@ class Tree:
         self.dense[node.term] = 0
         # the differences above cancel: widened in proportion to what was subtracted
         node.radius = math.sqrt(float(away.max()) + _SLACK * float(squares.max()))
-        node.norm = math.sqrt(float(squares.max()))
-        node.rows, node.own, node.sides = rows, own, ()
+        node.corner = np.zeros(len(node.term))
+        np.maximum.at(node.corner, of, own.value)
+        node.rows, node.own, node.sides = None, None, ()
         if len(rows) > LEAF:
             one = int(away.argmax())
             far = squares + squares[one] - 2 * self._with(own, one)
@@ -126,8 +131,9 @@ class Tree:
             order = np.argsort(toward, kind="stable")
             half = int(np.searchsorted(toward[order], 0, side="right"))
             half = min(max(half, len(rows) // 8), len(rows) - len(rows) // 8)   # no side of a sliver: depth stays logarithmic
-            node.rows = node.own = None
             node.sides = (self._node(rows[order[:half]]), self._node(rows[order[half:]]))
+        else:
+            node.rows, node.own = rows, self.exact.take(rows)
         return node
 
     def _with(self, own: Vectors, row: int) -> np.ndarray:
@@ -137,16 +143,17 @@ class Tree:
         self.dense[own.term[part]] = 0
         return found
 
-    def search(self, term: np.ndarray, weight: np.ndarray, dense: np.ndarray, doc_ids: np.ndarray, best: list[tuple], k: int,
+    def search(self, dense: np.ndarray, scaled: np.ndarray, length: float, doc_ids: np.ndarray, best: list[tuple], k: int,
                floor: int) -> int:
         """Adds the rows that may be among the ``k`` best to the heap ``best``; returns the leaves read.
 
-        ``dense`` holds the query over all terms.  ``best`` has ``(score, -doc_id)``.
+        ``dense`` and ``scaled`` hold the query over all terms, ``length`` is that of the
+        scaled one.  ``best`` has ``(score, -doc_id)``.
         """
-        length = math.sqrt(float((weight.astype(float) ** 2).sum()))
 
         def bound(node: Node) -> float:
-            inner = min(float(dense[node.term] @ node.centre) + length * node.radius, length * node.norm)
+            query = scaled[node.term]
+            inner = min(float(query @ node.centre) + length * node.radius, float(query @ node.corner))
             return inner * (1 + _SLACK) + _AT_LEAST
 
         waiting, serial, read = [(-bound(self.root), 0, self.root)], 0, 0
@@ -177,7 +184,7 @@ def _searched(block, k: int, floors):
         weights, queries, n_docs, n_all = block.value
         floor = floors.value if floors is not None else {}
         best: dict[int, list] = {q: [] for q in queries}
-        dense = np.zeros(len(weights), "int64")
+        dense, scaled, scale = np.zeros(len(weights), "int64"), np.zeros(len(weights)), np.sqrt(weights)
         waiting, held = [], 0
 
         def search(rows: pd.DataFrame) -> None:
@@ -186,13 +193,12 @@ def _searched(block, k: int, floors):
             times = np.concatenate(rows["times"].to_list()).astype("int64")
             m = 25 + (75 * rows["n"].to_numpy("int64") * n_docs) // n_all
             value = (1_000_000_000 * times) // (1000 * times + 8 * np.repeat(m, size))
-            tree = Tree(Vectors(start, np.concatenate(rows["term"].to_list()), value), len(weights))
+            tree = Tree(Vectors(start, np.concatenate(rows["term"].to_list()), value), scale)
             ids = rows["doc_id"].to_numpy("int64")
             for q, (term, repeats) in queries.items():
-                weight = weights[term] * repeats
-                dense[term] = weight
-                tree.search(term, weight, dense, ids, best[q], k, max(1, floor.get(q, 1)))
-                dense[term] = 0
+                dense[term], scaled[term] = weights[term] * repeats, scale[term] * repeats
+                tree.search(dense, scaled, float(np.linalg.norm(scaled[term])), ids, best[q], k, max(1, floor.get(q, 1)))
+                dense[term] = scaled[term] = 0
 
         for batch in batches:
             for at in range(0, len(batch), 1024):
