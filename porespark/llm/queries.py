@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from porespark.llm import alignment, embeddings, lines, minhash, mixing, packing, quality, ranking, sharding, spotsigs, tokens, toxicity
-from porespark.llm.common import table
+from porespark.llm import alignment, embeddings, idfiles, lines, minhash, mixing, packing, quality, ranking, sharding, spotsigs, tokens, toxicity
+from porespark.llm.common import table, width
+from porespark.plans.lineage import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKEN_LIMIT, SHARDS, FOLDS = 1024, 24, 5
 WORD_VOCABULARY, END_ID = "word_bpe_49k.json", 1
+FILE_END_ID = 2
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
@@ -89,3 +92,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query
+def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
+    idfiles.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), FILE_END_ID, folder, width(spark))
+    return idfiles.read_ids(spark, folder, digest=True)
