@@ -7,7 +7,11 @@ largest first, the last one cut where the window ends.  A window is emitted only
 when it is full, so its length is its tier's and nothing is padded.  What is
 left at the end of a task fills windows of ever smaller powers of two.
 
-A task packs the documents it reads, pool by pool, so nothing is shuffled, no
+Steps hold windows of one length, as many tokens in every tier.  Windows are numbered
+across tasks by the counts of each task, a table of one row per task and length, so
+that all but the last step of a length are full.
+
+A task packs the documents it reads, pool by pool, so no text is shuffled, no
 group gathers rows of one source, and memory is bounded by the pool plus the
 largest document.  A lost task is repeated from its input split alone.
 """
@@ -18,20 +22,21 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
-from struct import pack as pack_uint
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from porespark.llm.tokens import encoder
+from porespark.llm.vocab import JsonIds, as_bytes, kept
+from porespark.plans.lineage import cut
 
 TIERS = (256, 512, 1024, 2048)
 POOL_TOKENS = 1 << 20   # tokens that wait for a place at one time
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
-          "tier int, step_id long")
+          "tier int, task int, nth long")
 _ID_BYTES = 4
+STEP_WINDOWS = 16       # windows of the longest tier in a step; shorter ones as many more
 
 
 @dataclass(order=True)
@@ -53,23 +58,21 @@ class Packer:
     """Packs the documents of one task; ``rows`` gathers finished pieces."""
 
     def __init__(self, task: int, tiers: tuple[int, ...]):
-        self.tiers, self.base = sorted(tiers), task << 36
+        self.tiers, self.task, self.base = sorted(tiers), task, task << 36
         self.pool: list[Part] = []
         self.waiting = self.serial = self.sequences = 0
         self.of_tier: dict[int, int] = {}
         self.rows: list[tuple] = []
 
     def _emit(self, window: list[Part]) -> None:
-        """Writes one full window.  A step holds as many tokens in every tier."""
+        """Writes one full window."""
         tier = sum(p.length for p in window)
         nth = self.of_tier.get(tier, 0)
         self.of_tier[tier] = nth + 1
-        per_step = 16 * max(1, self.tiers[-1] // tier)
-        step = self.base | (nth // per_step) << 5 | tier.bit_length()
         offset = 0
         for p in window:
             self.rows.append((p.doc_id, p.start, p.length, zlib.crc32(p.ids), p.doc_tokens, self.base | self.sequences,
-                              offset, tier, step))
+                              offset, tier, self.task, nth))
             offset += p.length
         self.sequences += 1
 
@@ -138,8 +141,17 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
 
 
-def _as_bytes(ids: list[int]) -> bytes:
-    return pack_uint(f"<{len(ids)}I", *ids)
+def with_steps(pieces: DataFrame, longest: int) -> DataFrame:
+    """Adds ``step_id`` in place of ``task`` and ``nth``, the window's number among those of its length in its task."""
+    counts = pieces.groupBy("task", "tier").agg((F.max("nth") + 1).alias("_n"))
+    earlier = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # of one row per task
+    before = counts.select("task", "tier", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    per_step = F.lit(STEP_WINDOWS) * F.greatest(F.lit(1), F.floor(F.lit(longest) / F.col("tier")))
+    step = F.floor((F.col("_before") + F.col("nth")) / per_step).cast("long")
+    # bit_count(tier - 1) is the power of two that the length is
+    return (pieces.join(before, ["task", "tier"])
+            .withColumn("step_id", F.shiftleft(step, 5).bitwiseOR(F.bit_count(F.col("tier") - 1).cast("long")))
+            .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_id"))
 
 
 def pack(df: DataFrame, path: str, end_id: int, tiers: tuple[int, ...] = TIERS, text_col: str = "text",
@@ -150,23 +162,21 @@ def pack(df: DataFrame, path: str, end_id: int, tiers: tuple[int, ...] = TIERS,
     tokens, then ``end_id``; a null or empty text is ``end_id`` alone.  Each id
     lies in exactly one piece.  ``start`` counts the document's ids before the
     piece, ``offset`` the sequence's; ``tier`` is the sequence's length, and
-    sequences of one ``step_id`` hold 16 windows' worth of the longest tier (the
-    last step of a tier in a task may hold less).  Repeated rows are packed as
+    sequences of one ``step_id`` are of one length and hold 16 windows' worth of the
+    longest tier (the last step of a length may hold less).  Repeated rows are packed as
     often as they occur, null ids are kept, other columns are ignored.  The rows
     depend on how the input is split into partitions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = encoder(path, "ids", _as_bytes), _as_bytes([end_id])
+        own, end = kept(JsonIds, path), as_bytes([end_id])
         packer = Packer(TaskContext.get().partitionId(), tiers)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for doc_id, units in zip(batch.column(0).to_pylist(), own.looked_up(texts)):
-                units.append(end)
-                packer.add(doc_id, b"".join(units))
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                packer.add(doc_id.as_py(), own.ids(text.as_py()) + end)
             yield packer.taken()
         packer.finish()
         yield packer.taken()
 
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return slim.mapInArrow(run, SCHEMA)
+    return with_steps(cut(slim.mapInArrow(run, SCHEMA)), max(tiers))
