@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from porespark.llm.vocab import UNFAITHFUL, JsonIds, PieceIds, byte_table, kept
+from porespark.llm.vocab import JsonIds, PieceIds, byte_table, is_spaced, kept
 from porespark.plans.lineage import cut
 
-CHUNK_CHARS = 4 << 20      # characters of the documents of one chunk, unless one document alone has more
+CHUNK_CHARS = 2 << 20      # characters of the documents of one chunk, unless one document alone has more
+MEMORY_BYTES = 48 << 20    # of a worker's remembered units; there are two generations
+PIECE_BYTES = 16 << 20     # of the pieces of such units
+UNIT_BYTES = 170           # what a unit takes beside its own bytes and its ids
 _INNER, _TURN, _LAST = 0, 1, 2
 _MARKS = b",|;"
 _CHUNKS = ("chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
@@ -112,14 +116,71 @@ def _digits(n_ids: int) -> np.ndarray:
 
 
 class Aligner:
-    """Encodes and aligns documents; one per worker process."""
+    """Encodes and aligns documents; one per worker process.
+
+    A text is cut at its blanks where both tokenizers may be, and what the two give for a
+    unit is remembered together: its numbers of tokens and their ids.  The memory is
+    bounded by bytes; units that no chunk has met for a generation are forgotten.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = JsonIds(path_a, plain=True), PieceIds(path_b)
+        self.a.unit.limit = PIECE_BYTES
         self.len_a = np.array([len(x) for x in byte_table(path_a)])
         self.len_b = np.array([len(x) for x in self.b.table])
         self.base = max(len(self.len_a), len(self.len_b))
         self.digits = _digits(self.base)
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def _value(self, ids_a: bytes, ids_b: bytes) -> bytes:
+        return pack("<ii", len(ids_a) // 4, len(ids_b) // 4) + ids_a + ids_b
+
+    def _learn(self, units: set[str]) -> None:
+        fresh = []
+        for u in units.difference(self.memory):
+            value = self.older.get(u)
+            if value is None:
+                fresh.append(u)
+            else:
+                self.memory[u] = value
+                self.held += 2 * len(u) + len(value) + UNIT_BYTES
+        for u, ids_b in zip(fresh, self.b.after_blanks(fresh)):
+            self.memory[u] = value = self._value(self.a.unit_after_blank(u), ids_b)
+            self.held += 2 * len(u) + len(value) + UNIT_BYTES
+
+    def encode(self, texts: list[str]):
+        """Ids of all texts by both tokenizers, and their numbers by text; none for a text that its tokens do not spell."""
+        cuts = self.a.kind == "byte" and self.b.cuts
+        parts = [t.split(" ") if t and cuts and is_spaced(t) else None for t in texts]
+        self._learn(set().union(*filter(None, parts)))
+        values, n_units = [], []
+        for text, units in zip(texts, parts):
+            if units is not None:
+                values += map(self.memory.__getitem__, units)
+            elif text:
+                values.append(self._value(self.a.ids_after_blank(text), self.b.ids_after_blank(text)))
+            n_units.append(len(units) if units is not None else int(bool(text)))
+        if self.held > MEMORY_BYTES:
+            self.memory, self.older, self.held = {}, self.memory, 0
+        sizes = np.fromiter(map(len, values), "int64", len(values)) // 4
+        stream = np.frombuffer(b"".join(values), "<i4")
+        heads = np.cumsum(sizes) - sizes
+        counts = (stream[heads], stream[heads + 1]) if len(heads) else (heads, heads)
+        text_of = np.repeat(np.arange(len(texts)), n_units)
+        starts = (heads + 2, heads + 2 + counts[0])
+        ids, n = [], []
+        for count, start in zip(counts, starts):
+            owner, place, _ = _places(count)
+            ids.append(stream[start[owner] + place].astype("int64"))
+            n.append(np.bincount(text_of, count, len(texts)).astype("int64"))
+        lost = np.unique(np.repeat(np.arange(len(texts)), n[1])[ids[1] < 0])
+        if len(lost):
+            for k in (0, 1):
+                ids[k] = ids[k][~np.isin(np.repeat(np.arange(len(texts)), n[k]), lost)]
+                n[k][lost] = 0
+        return *ids, *n
 
     def _hashes(self, ids_a, ids_b, n_a, n_b, common_a, common_b) -> list[str]:
         """The digest of each document's groups, written as ``a1,a2|b1;a3|b2``."""
@@ -145,14 +206,7 @@ class Aligner:
         return found
 
     def chunk(self, number: int, doc_ids: list, texts: list[str]) -> dict:
-        tokens = [(self.a.ids_after_blank(t), self.b.ids_after_blank(t)) if t else (b"", b"") for t in texts]
-        unfaithful = np.flatnonzero(np.frombuffer(b"".join(b for _, b in tokens), "<i4") < 0)
-        if len(unfaithful):
-            ends = np.cumsum([len(b) // 4 for _, b in tokens])
-            for nth in np.unique(np.searchsorted(ends, unfaithful, side="right")):
-                tokens[nth] = (b"", b"")
-        n_a, n_b = (np.array([len(x[i]) // 4 for x in tokens], "int64") for i in (0, 1))
-        ids_a, ids_b = (np.frombuffer(b"".join(x[i] for x in tokens), "<i4").astype("int64") for i in (0, 1))
+        ids_a, ids_b, n_a, n_b = self.encode(texts)
         common_a, common_b, link_a, link_b = intersect(np.cumsum(self.len_a[ids_a]), n_a, np.cumsum(self.len_b[ids_b]), n_b)
         doc = np.repeat(np.arange(len(texts)), n_a)
         n_groups = np.bincount(doc[common_a], minlength=len(texts))

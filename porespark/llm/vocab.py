@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from struct import pack
 
@@ -114,7 +114,6 @@ class JsonIds:
               and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex") and kinds == ["NFC", "Replace", "Lowercase"]):
             self.kind, self.split, self.ascii_split = "word", _WORDS.findall, _ASCII_WORDS.findall
         self.unit = Memory(self._unit)
-        self.word = Memory(lambda word: self._unit(" " + word))  # words after their blank
 
     def whole(self, text: str) -> bytes:
         return as_bytes(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids)
@@ -149,13 +148,15 @@ class JsonIds:
 
     def ids_after_blank(self, text: str) -> bytes:
         """``ids(" " + text)``."""
-        if self.kind != "byte" or not is_spaced(text):
-            return self.ids(" " + text)
-        return b"".join(map(self.word.__getitem__, text.split(" ")))
+        return self.ids(" " + text)
+
+    def unit_after_blank(self, unit: str) -> bytes:
+        """``ids(" " + unit)`` of a part of a text that ``is_spaced``, cut at its blanks; not remembered."""
+        return self._unit(" " + unit)
 
 
 def is_spaced(text: str) -> bool:
-    """Whether no blank of " " + text stands beside other white space, so that each opens a unit."""
+    """Whether no blank of " " + text stands beside other white space, so that each opens a unit for both kinds."""
     return not (text[:1].isspace() or "  " in text or " \n" in text or "\n " in text or " \t" in text or "\t " in text
                 or " \r" in text or "\r " in text or _RARE_BLANK.search(text))
 
@@ -181,9 +182,14 @@ class PieceIds:
         self.unit = Memory(self._unit)
 
     def _unit(self, text: str) -> bytes:
-        """The ids of ``text`` after a blank, or ``UNFAITHFUL``."""
-        ids = self.library.encode(text, num_threads=1) if text else [self.blank]
-        return as_bytes(ids) if b"".join([self.table[i] for i in ids]) == (" " + text).encode() else UNFAITHFUL
+        return next(self.after_blanks([text]))
+
+    def after_blanks(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text after a blank, or ``UNFAITHFUL``."""
+        table = self.table
+        for text, ids in zip(texts, self.library.encode(texts, num_threads=1)):
+            ids = ids if text else [self.blank]
+            yield as_bytes(ids) if b"".join([table[i] for i in ids]) == (" " + text).encode() else UNFAITHFUL
 
     def ids_after_blank(self, text: str) -> bytes:
         """The ids of a text that is not empty; -1 among them if they do not spell a blank and the text."""
