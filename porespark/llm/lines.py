@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from porespark.plans.lineage import cut
 
-RATIO, MIN_PAGES = 0.1, 3
+# A line goes at 0.5 % of its host's pages, on hosts of under 1,000 pages at five of them; pages that are mostly such lines stay.
+RATIO, MIN_PAGES, MOST = 0.005, 5, 0.5
 
 
 def _lines(text: Column) -> Column:

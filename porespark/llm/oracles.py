@@ -78,19 +78,25 @@ SELECT r.node AS vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, r.componen
 FROM root r LEFT JOIN degree d ON d.a = r.node
 """
 
+# Pages of a source with the same text count as one.
 _LINES = r"""
 WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS l FROM documents),
+apart AS (SELECT DISTINCT source, text, l FROM pages),
 counted AS (
-  SELECT source, line, count(*) AS pages FROM (SELECT source, unnest(list_distinct(l)) AS line FROM pages)
+  SELECT source, line, count(*) AS pages FROM (SELECT source, unnest(list_distinct(l)) AS line FROM apart)
   WHERE trim(line, ' ') <> '' GROUP BY source, line),
-totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+totals AS (SELECT source, count(*) AS pages FROM apart GROUP BY source),
 boiler AS (
   SELECT c.source, list(c.line) AS gone FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-  WHERE c.pages >= 3 AND c.pages >= 0.1::DOUBLE * t.pages GROUP BY c.source),
-kept AS (
+  WHERE c.pages >= 5 AND c.pages >= 0.005::DOUBLE * t.pages GROUP BY c.source),
+left_over AS (
   SELECT p.doc_id, p.text, p.l,
          list_filter(p.l, lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(b.gone, []), x)) AS k
-  FROM pages p LEFT JOIN boiler b ON p.source IS NOT DISTINCT FROM b.source)
+  FROM pages p LEFT JOIN boiler b ON p.source IS NOT DISTINCT FROM b.source),
+kept AS (
+  SELECT doc_id, text, l,
+         CASE WHEN length(array_to_string(k, '')) < 0.5::DOUBLE * length(array_to_string(l, '')) THEN l ELSE k END AS k
+  FROM left_over)
 SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l) - len(k), 0) AS BIGINT) AS n_dropped,
        CASE WHEN text IS NULL THEN NULL WHEN len(k) < len(l) THEN array_to_string(k, chr(10)) ELSE text END AS text
 FROM kept

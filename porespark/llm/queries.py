@@ -74,7 +74,7 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = lines.line_dedup(table(spark, sf_dir, "documents"), F.col("source"), by_text=True)
+    cleaned = lines.line_dedup(table(spark, sf_dir, "documents"), F.col("source"), most=lines.MOST, by_text=True)
     return cleaned.select("doc_id", "n_lines", "n_dropped", "text")
 
 
