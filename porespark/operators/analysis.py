@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from porespark.functions import stats
@@ -226,83 +224,123 @@ def body_comparison(body_df: DataFrame, flag: str, keys=("ms_id",),
 
 # --- nearest neighbours and clustering ------------------------------------------------
 
-def nearest_neighbours(points: DataFrame, keys: list[str], point_id: str, coords: list[str]) -> DataFrame:
+LEAF_POINTS = 16
+
+
+def _tree(sites: DataFrame, keys: list[str], p: list[str], leaf: int) -> tuple[list[DataFrame], DataFrame]:
+    """Cells by level and the sites with their leaf: every cell of more than ``leaf`` sites is halved in each direction.
+
+    A cell is named by its path, a digit per level, and kept with the tight box of its
+    sites.  It is halved in the middle of that box, so at least two parts hold sites and
+    a tight cluster is split as fast as a wide one, whatever lies far from it.
+    """
+    level, cells, placed = cut(sites.select(*keys, *p, F.lit("").alias("cell"))), [], None
+    while True:
+        box = cut(level.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"lo_{c}") for c in p],
+                                                   *[F.max(c).alias(f"hi_{c}") for c in p]))
+        cells.append(box)
+        full = box.filter(F.col("n") > leaf)
+        done = full.isEmpty()
+        settled = level if done else level.join(full.select(*keys, "cell"), [*keys, "cell"], "left_anti")
+        placed = settled if placed is None else placed.unionByName(settled)
+        if done:
+            return cells, placed
+        bits = sum((F.when(F.col(c) > F.col(f"lo_{c}") + (F.col(f"hi_{c}") - F.col(f"lo_{c}")) / 2, 1 << i).otherwise(0)
+                    for i, c in enumerate(p)), F.lit(0))
+        level = cut(level.join(full, [*keys, "cell"]).select(*keys, *p, F.concat("cell", bits.cast("string")).alias("cell")))
+
+
+def nearest_neighbours(points: DataFrame, keys: list[str], point_id: str, coords: list[str], leaf: int = LEAF_POINTS) -> DataFrame:
     """Distance of every point to its nearest other point in its group.
 
-    Grid-cell search with a doubling cell edge: a point is settled once its best
-    candidate is no farther than the edge, because every nearer point lies in the
-    27 cells around it.  No group is crossed with itself; coincident points are
-    settled by a count.  Points alone in their group get no row.
+    An octree with at most ``leaf`` distinct sites in a leaf is built level by level.
+    All points then go down it together: a point keeps the cells that may hold its
+    nearest neighbour - no farther than the far corner of a cell that does hold another
+    point - and looks at sites in the leaves that remain.  Groups are never crossed with
+    themselves; coincident points are settled by a count.  Points alone in their group
+    get no row.
     """
-    pts = cut(points.select(*keys, F.col(point_id).alias("pid"), *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(coords)]))
     p = [f"p{i}" for i in range(len(coords))]
-    sites = cut(pts.groupBy(*keys, *p).agg(F.count(F.lit(1)).alias("n")))
-    twins = sites.filter("n > 1").select(*keys, *p, F.lit(0.0).alias("nn"))
-    spans = [F.max(c) - F.min(c) for c in p]
-    box = sites.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.greatest(*spans).alias("span")).filter("m > 1")
-    # about one site per cell to start with
-    edge = F.col("span") / F.pow(F.col("m").cast("double"), F.lit(1.0 / len(p)))
-    open_ = cut(sites.filter("n = 1").join(box, keys).select(*keys, *p, edge.alias("h"), "span"))
-    found = [twins]
-    grid_of = box.select(*keys, edge.alias("h0"))
-    scale = 1.0
-    offsets = [[]]
-    for _ in p:
-        offsets = [o + [s] for o in offsets for s in (-1, 0, 1)]
-    while not open_.isEmpty():
-        h = F.col("h0") * F.lit(scale)
-        target = sites.join(grid_of, keys).select(*keys, *[F.floor(F.col(c) / h).alias(f"k{c}") for c in p],
-                                                  *[F.col(c).alias(f"q{c}") for c in p])
-        near = F.explode(F.array(*[F.struct(*[(F.floor(F.col(c) / (F.col("h") * F.lit(scale))) + s).alias(f"k{c}")
-                                              for c, s in zip(p, o)]) for o in offsets]))
-        probe = open_.withColumn("_k", near).select(*keys, *p, "h", "span", "_k.*")
-        d2 = sum(((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in p), F.lit(0.0))
-        best = (probe.join(target, [*keys, *[f"k{c}" for c in p]]).withColumn("d2", d2).filter("d2 > 0")
-                .groupBy(*keys, *p).agg(F.min("d2").alias("d2")))
-        tried = cut(open_.join(best, [*keys, *p], "left").withColumn("nn", F.sqrt("d2")))
-        done = F.coalesce(F.col("nn") <= F.col("h") * F.lit(scale), F.lit(False))
-        found.append(tried.filter(done).select(*keys, *p, "nn"))
-        open_ = cut(tried.filter(~done).select(*keys, *p, "h", "span"))
-        scale *= 2.0
-    out = found[0]
-    for piece in found[1:]:
-        out = out.unionByName(piece)
-    return pts.join(out, [*keys, *p]).select(*keys, F.col("pid").alias(point_id), "nn")
-
-
-def draw_positions(sizes: DataFrame, n_draws: int, seed: int | None) -> DataFrame:
-    """Positions chosen without replacement, ``n_draws`` per sample.
-
-    ``sizes``: ms_id, n_total, n_pick.  One seeded PCG64 stream per sample, so
-    the choice equals numpy's; draws leave the task one at a time.
+    pts = cut(points.select(*keys, F.col(point_id).alias("pid"), *[F.col(c).cast("double").alias(q) for q, c in zip(p, coords)]))
+    sites = cut(pts.groupBy(*keys, *p).agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("sid")))
+    cells, placed = _tree(sites, keys, p, leaf)
+    placed = cut(placed)
+    gaps = {c: F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0)) for c in p}
+    least = sum((g * g for g in gaps.values()), F.lit(0.0))
+    far = {c: F.greatest(F.abs(F.col(f"lo_{c}") - F.col(c)), F.abs(F.col(c) - F.col(f"hi_{c}"))) for c in p}
+    most = sum((g * g for g in far.values()), F.lit(0.0))
+    others = F.col("n") - F.when(F.greatest(*gaps.values()) == 0, 1).otherwise(0)  # boxes are disjoint: only its own holds a point
+    own = Window.partitionBy(*keys, "sid")
+    front = sites.filter("n = 1").select(*keys, *p, "sid", F.lit("").alias("parent"), F.lit(float("inf")).alias("reach"))
+    leaves = None
+    for depth, box in enumerate(cells):
+        below = box.withColumn("parent", F.expr(f"left(cell, {max(depth - 1, 0)})"))
+        met = (front.join(below, [*keys, "parent"]).withColumn("least", least).withColumn("most", most).filter(others > 0)
+               .withColumn("reach", F.least("reach", F.min("most").over(own)))
+               .filter(F.col("least") <= F.col("reach") * (1 + 1e-9)))
+        met = cut(met.select(*keys, *p, "sid", "cell", "n", "least", "reach"))
+        ends = met.filter(F.col("n") <= leaf).drop("n")
+        leaves = ends if leaves is None else leaves.unionByName(ends)
+        front = met.filter(F.col("n") > leaf).select(*keys, *p, "sid", F.col("cell").alias("parent"), "reach")
+    left = leaves.withColumn("reach", F.min("reach").over(own)).filter(F.col("least") <= F.col("reach") * (1 + 1e-9))
+    sought = placed.select(*keys, "cell", *[F.col(c).alias(f"q{c}") for c in p])
+    same = F.lit(True)
+    for c in p:
+        same = same & (F.col(c) == F.col(f"q{c}"))
+    d2 = sum(((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in p), F.lit(0.0))
+    found = (left.join(sought, [*keys, "cell"]).filter(~same).groupBy(*keys, "sid").agg(F.sqrt(F.min(d2)).alias("nn"))
+             .withColumnRenamed("sid", "pid"))
+    twins = pts.join(sites.filter("n > 1").select(*keys, *p), [*keys, *p], "left_semi").select(*keys, "pid", F.lit(0.0).alias("nn"))
+    return found.unionByName(twins).select(*keys, F.col("pid").alias(point_id), "nn")
+
+
+def drawn_subsets(points: DataFrame, sizes: DataFrame, point_id: str, n_draws: int = 1, seed: int = 0) -> DataFrame:
+    """``(ms_id, draw, point_id)``: ``n_pick`` points per sample and draw, without replacement.
+
+    ``sizes``: ms_id, n_total, n_pick.  A draw takes the first ``n_pick`` points in the
+    order of the MD5 digest of ``seed:draw:ms_id:id``.  Only points whose digest is below
+    a threshold, at which a few more than ``n_pick`` are expected, are shuffled and
+    ranked; a draw that gets too few is repeated with twice the threshold.  The choice
+    depends on seed, draw and ids alone, no task sees a whole sample.
     """
-    ms_type = sizes.schema["ms_id"].dataType.simpleString()
-
-    def draw(frames):
-        for frame in frames:
-            for ms, total, pick in zip(frame["ms_id"], frame["n_total"], frame["n_pick"]):
-                rng = np.random.default_rng(seed)
-                for k in range(n_draws):
-                    chosen = rng.choice(int(total), size=int(pick), replace=False)
-                    yield pd.DataFrame({"ms_id": ms, "draw": k, "pos": chosen + 1})
-    return sizes.select("ms_id", "n_total", "n_pick").mapInPandas(draw, f"ms_id {ms_type}, draw int, pos long")
-
-
-def clustering_report(annotated: DataFrame, flag: str, n_random: int = 200, seed: int = 0) -> DataFrame:
+    text = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("ms_id").cast("string"), F.col(point_id).cast("string")))
+    share = F.conv(F.substring("_h", 1, 13), 16, 10).cast("double") / float(1 << 52)
+    some = F.col("n_pick") + 4 * F.sqrt(F.col("n_pick")) + 4
+    pending = cut(sizes.filter("n_pick > 0").select("ms_id", F.least("n_pick", "n_total").alias("n_pick"), "n_total", (some / F.col("n_total")).alias("_top"),
+                                                    F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw")))
+    slim = points.select("ms_id", point_id)
+    out = None
+    while True:
+        tried = slim.join(pending, "ms_id").withColumn("_h", text).filter(share < F.col("_top"))
+        placed = with_position(tried, ["ms_id", "draw"], [F.col("_h").asc(), F.col(point_id).asc()], "_pos").filter(F.col("_pos") <= F.col("n_pick"))
+        placed = cut(placed.select("ms_id", "draw", point_id))
+        found = placed.groupBy("ms_id", "draw").agg(F.count(F.lit(1)).alias("_n"))
+        short = cut(pending.join(found, ["ms_id", "draw"], "left").filter((F.coalesce("_n", F.lit(0)) < F.col("n_pick")) & (F.col("_top") <= 1))
+                    .select("ms_id", "n_pick", "n_total", (F.col("_top") * 2).alias("_top"), "draw"))
+        done = short.isEmpty()
+        kept = placed if done else placed.join(short.select("ms_id", "draw"), ["ms_id", "draw"], "left_anti")
+        out = kept if out is None else out.unionByName(kept)
+        if done:
+            return out
+        pending = short
+
+
+def clustering_report(annotated: DataFrame, flag: str, n_random: int = 200, seed: int = 0,
+                      coords: tuple[str, ...] = ("centroid_z", "centroid_y", "centroid_x")) -> DataFrame:
     """Mean nearest-neighbour distance of marked throats against random subsets."""
-    coords = ["centroid_z", "centroid_y", "centroid_x"]
-    valid = cut(with_position(annotated.filter("c_geomean is not null").select("ms_id", "throat_id", F.col(flag).alias("marked"), *coords),
-                              ["ms_id"], [F.col("throat_id").asc()], "pos"))
+    coords = list(coords)
+    valid = cut(annotated.filter("c_geomean is not null").select("ms_id", "throat_id", F.col(flag).alias("marked"), *coords))
     sizes = valid.groupBy("ms_id").agg(F.count(F.lit(1)).alias("n_total"), F.count_if("marked").alias("n_pick"))
     tested = cut(sizes.filter("n_pick >= 3"))
     marked = valid.filter("marked").join(tested.select("ms_id"), "ms_id", "left_semi")
     seen = (nearest_neighbours(marked, ["ms_id"], "throat_id", coords).groupBy("ms_id").agg(F.avg("nn").alias("observed")))
-    width = int(annotated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = draw_positions(tested.repartition(width, "ms_id"), n_random, seed).join(valid.select("ms_id", "pos", *coords), ["ms_id", "pos"])
-    null = (nearest_neighbours(drawn, ["ms_id", "draw"], "pos", coords).groupBy("ms_id", "draw").agg(F.avg("nn").alias("m")))
+    drawn = drawn_subsets(valid, tested, "throat_id", n_random, seed).join(valid.select("ms_id", "throat_id", *coords), ["ms_id", "throat_id"])
+    null = (nearest_neighbours(drawn, ["ms_id", "draw"], "throat_id", coords).groupBy("ms_id", "draw").agg(F.avg("nn").alias("m")))
+    # means that differ by rounding only are equal
+    below = F.col("m") < F.col("observed") * (1 - 1e-12)
     agg = null.join(seen, "ms_id").groupBy("ms_id").agg(
         F.max("observed").alias("observed_mean_nn"), F.avg("m").alias("null_mean_nn"), F.stddev_pop("m").alias("null_std_nn"),
-        (F.avg((F.col("m") < F.col("observed")).cast("double")) * 100).alias("percentile"))
+        (F.avg(below.cast("double")) * 100).alias("percentile"))
     return (sizes.join(agg, "ms_id", "left").select(
         "ms_id", F.col("n_pick").alias("n_marked"), F.col("n_total").alias("n_total_valid"), "observed_mean_nn", "null_mean_nn",
         "null_std_nn", "percentile", (F.col("percentile") < 5).alias("clustered"), (F.col("percentile") > 95).alias("dispersed")))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from porespark.functions.scalar import equivalent_radius
 from porespark.operators import graph, grid
 from porespark.operators.grid import AXES
 from porespark.plans.lineage import cut
-from porespark.plans.packing import split_by_size
 
 
 def body_props(vox: DataFrame, axis: int = 0) -> DataFrame:
@@ -71,179 +69,162 @@ def candidate_pairs(boxes: DataFrame, tile: int = 16) -> DataFrame:
 
 # --- body merges (K11, K12): contractions of the small body graph --------------
 
-class _BodyGraph:
-    """Body sizes, face flags and contacts of one sample while labels merge."""
-
-    def __init__(self, sizes, inlet, outlet, contacts):
-        self.size = dict(sizes)
-        self.faces = {b: (i, o) for b, i, o in zip(self.size, inlet, outlet)}
-        self.touch = {b: set() for b in self.size}
-        for a, b in contacts:
-            self.touch[a].add(b)
-        self.renamed = {}
-
-    def on_face(self):
-        return {b for b, (i, o) in self.faces.items() if i or o}
-
-    def largest(self, labels):
-        return min(labels, key=lambda b: (-self.size[b], b))
-
-    def absorb(self, gone, into):
-        self.size[into] += self.size.pop(gone)
-        gi, go = self.faces.pop(gone)
-        ki, ko = self.faces[into]
-        self.faces[into] = (gi or ki, go or ko)
-        for other in self.touch.pop(gone):
-            self.touch[other].discard(gone)
-            if other != into:
-                self.touch[other].add(into)
-                self.touch[into].add(other)
-        self.renamed[gone] = into
-
-    def final(self, label):
-        while label in self.renamed:
-            label = self.renamed[label]
-        return label
-
-
-def _merge_face_only(g: _BodyGraph) -> None:
-    """Fold face bodies without an inner neighbour into their largest face neighbour."""
-    while True:
-        face = g.on_face()
-        todo = sorted(b for b in face if not (g.touch[b] - face))
-        merged = 0
-        for b in todo:
-            targets = g.touch[b] & face
-            if targets:
-                g.absorb(b, g.largest(targets))
-                face.discard(b)
-                merged += 1
-        if not merged:
-            return
-
-
-def _merge_short_circuit(g: _BodyGraph) -> None:
-    """Fold inner bodies whose neighbours all touch a face into the largest of them.
-
-    Neighbour sets are those of the pass start; sizes are live.
-    """
-    while True:
-        face = g.on_face()
-        before = {b: set(n) for b, n in g.touch.items()}
-        todo = sorted(b for b in before if b not in face and before[b] and before[b] <= face)
-        for b in todo:
-            g.absorb(b, g.largest(before[b]))
-        if not todo:
-            return
-
-
-def _merge_pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for ms, part in pdf.groupby("ms_id", sort=False):
-        info = part[part["other"].isna()].sort_values("body")
-        links = part[part["other"].notna()]
-        g = _BodyGraph(zip(info["body"], info["size"]), info["inlet"], info["outlet"],
-                       zip(links["body"], links["other"].astype("int64")))
-        _merge_face_only(g)
-        n_face = len(g.renamed)
-        _merge_short_circuit(g)
-        out.append(pd.DataFrame({"ms_id": ms, "body": info["body"].to_numpy(),
-                                 "merged_into": [g.final(b) for b in info["body"]],
-                                 "n_face_merged": n_face, "n_short_merged": len(g.renamed) - n_face}))
-    return pd.concat(out) if out else pd.DataFrame(
-        columns=["ms_id", "body", "merged_into", "n_face_merged", "n_short_merged"])
-
-
-def merge_map(vox: DataFrame, axis: int = 0, kernel_rows: int | None = None) -> DataFrame:
-    """``(ms_id, body, merged_into, ...)`` after both merge stages.
-
-    Only the contracted body graph (one row per body, two per contact) enters
-    the kernel.  Ties take the lowest label; a pass that merges nothing stops.
+def merge_map(vox: DataFrame, axis: int = 0) -> DataFrame:
+    """``(ms_id, body, merged_into, n_face_merged, n_short_merged)`` after both merge stages.
+
+    First, face bodies without an inner neighbour go into their largest face
+    neighbour; then inner bodies whose neighbours all touch a face go into the largest
+    of them.  The rule is sequential: within a pass labels are taken in ascending order
+    and sizes are those left by the labels before.  Ties take the lowest label; a pass
+    that merges nothing stops a stage.
+
+    Only the contracted body graph takes part, as joins and aggregates: see
+    ``_face_round`` and ``_short_round`` for the labels that a round may retire at once.
     """
     name = AXES[axis]
     last = vox.groupBy("ms_id").agg(F.max(name).alias("_last"))
     # voxels are combined by body before the extent of the sample joins, so a large sample stays spread
     info = (vox.filter("body > 0").groupBy("ms_id", "body")
             .agg(F.count(F.lit(1)).alias("size"), F.min(name).alias("_from"), F.max(name).alias("_to"))
-            .join(last, "ms_id").withColumn("inlet", F.col("_from") == 0).withColumn("outlet", F.col("_to") == F.col("_last"))
-            .select("ms_id", "body", F.lit(None).cast("long").alias("other"), "size", "inlet", "outlet"))
-    links = grid.label_adjacency(vox).select(
-        "ms_id", "body", F.col("other").cast("long").alias("other"), F.lit(0).cast("long").alias("size"),
-        F.lit(False).alias("inlet"), F.lit(False).alias("outlet"))
-    rows = cut(info.unionByName(links))
-    ms_type = rows.schema["ms_id"].dataType.simpleString()
-    body_type = rows.schema["body"].dataType.simpleString()
-    schema = (f"ms_id {ms_type}, body {body_type}, merged_into {body_type}, "
-              "n_face_merged long, n_short_merged long")
-    small, large = split_by_size(rows, kernel_rows)
-    parts = []
-    if small is not None:
-        parts.append(small.groupBy("pack").applyInPandas(_merge_pack, schema))
-    if large is not None:
-        parts.append(_merge_large(large))
-    if not parts:
-        return rows.sparkSession.createDataFrame([], schema)
-    return cut(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
-
-
-def _merge_large(rows: DataFrame) -> DataFrame:
-    """Both stages for samples beyond the kernel bound, as joins and aggregates.
-
-    Every round retires the lowest pending label of each sample, so the order
-    of merges, and with it every size comparison, is the same as in the kernel.
-    """
-    info = rows.filter("other is null").select(
-        "ms_id", F.col("body").cast("long").alias("body"), "size", "inlet", "outlet")
-    links = rows.filter("other is not null").select("ms_id", F.col("body").cast("long").alias("body"), "other")
-    mapping = cut(info.select("ms_id", "body", F.col("body").alias("merged_into")))
-    info, links = cut(info), cut(links)
-    counts = {}
-    for stage in ("face", "short"):
-        start = mapping
+            .join(last, "ms_id").withColumn("face", (F.col("_from") == 0) | (F.col("_to") == F.col("_last")))
+            .select("ms_id", "body", "size", "face"))
+    first = cut(info)
+    return merge_graph(first, grid.label_adjacency(vox).select("ms_id", "body", "other"))
+
+
+def merge_graph(first: DataFrame, links: DataFrame) -> DataFrame:
+    """``merge_map`` of bodies ``(ms_id, body, size, face)`` and contacts in both directions ``(ms_id, body, other)``."""
+    info, links = first, cut(links.distinct())
+    picks = None
+    for stage, round_of in (("face", _face_round), ("short", _short_round)):
         while True:
-            face = info.filter("inlet or outlet").select("ms_id", "body")
-            inner = (links.join(face.withColumnRenamed("body", "other"), ["ms_id", "other"], "left_anti")
-                     .select("ms_id", "body").distinct())
-            alone = links.select("ms_id", "body").distinct().join(inner, ["ms_id", "body"], "left_anti")
-            pending = cut(alone.join(face, ["ms_id", "body"], "left_semi" if stage == "face" else "left_anti"))
-            frozen = cut(links.join(face.withColumnRenamed("body", "other"), ["ms_id", "other"], "left_semi"))
-            if pending.isEmpty():
-                break
-            face = cut(face)
-            moved = False
-            while not pending.isEmpty():
-                now = cut(pending.groupBy("ms_id").agg(F.min("body").alias("body")))
-                pending = cut(pending.join(now, ["ms_id", "body"], "left_anti"))
-                options = (links if stage == "face" else frozen).join(now, ["ms_id", "body"], "left_semi")
-                options = options.join(face.withColumnRenamed("body", "other"), ["ms_id", "other"], "left_semi")
-                sized = options.join(info.select("ms_id", F.col("body").alias("other"), "size"), ["ms_id", "other"])
-                pick = cut(sized.groupBy("ms_id", "body").agg(
-                    F.max_by("other", F.struct("size", -F.col("other"))).alias("into")))
-                if pick.isEmpty():
-                    continue
-                moved = True
-                # rename the retired label everywhere it is still current
-                ren = F.coalesce("into", "body")
-                info = cut(info.join(pick, ["ms_id", "body"], "left")
-                           .groupBy("ms_id", ren.alias("body"))
-                           .agg(F.sum("size").alias("size"), F.bool_or("inlet").alias("inlet"),
-                                F.bool_or("outlet").alias("outlet")))
-                far = pick.select("ms_id", F.col("body").alias("other"), F.col("into").alias("far"))
-                links = cut(links.join(pick, ["ms_id", "body"], "left").join(far, ["ms_id", "other"], "left")
-                            .select("ms_id", ren.alias("body"), F.coalesce("far", "other").alias("other"))
-                            .filter("body <> other").distinct())
-                cur = pick.select("ms_id", F.col("body").alias("merged_into"), "into")
-                mapping = cut(mapping.join(cur, ["ms_id", "merged_into"], "left")
-                              .select("ms_id", "body", F.coalesce("into", "merged_into").alias("merged_into")))
-                face = cut(face.join(pick.select("ms_id", "body"), ["ms_id", "body"], "left_anti"))
-            if not moved:
+            state = _with_pending(info, links, stage)
+            frozen, merged = links, False
+            while not state.filter("pending").isEmpty():
+                pick = cut(round_of(state, links if stage == "face" else frozen))
+                gone = pick.filter("into is not null").select("ms_id", "body", "into", F.lit(stage).alias("stage"))
+                picks = gone if picks is None else picks.unionByName(gone)
+                merged = merged or not gone.isEmpty()
+                state = cut(_absorb(state, pick))
+                links = cut(_renamed(links, gone))
+            info = state.select("ms_id", "body", "size", "face")
+            if not merged:
                 break
-        left = info.groupBy("ms_id").agg(F.count(F.lit(1)).alias("left"))
-        was = start.groupBy("ms_id").agg(F.countDistinct("merged_into").alias("was"))
-        counts[stage] = cut(was.join(left, "ms_id").select(
-            "ms_id", (F.col("was") - F.col("left")).alias(f"n_{stage}_merged")))
-    return (mapping.join(counts["face"], "ms_id").join(counts["short"], "ms_id")
-            .select("ms_id", "body", "merged_into", "n_face_merged", "n_short_merged"))
+    if picks is None:
+        return first.select("ms_id", "body", F.col("body").alias("merged_into"), F.lit(0).cast("long").alias("n_face_merged"),
+                            F.lit(0).cast("long").alias("n_short_merged"))
+    counts = picks.groupBy("ms_id").agg(F.count_if(F.col("stage") == "face").alias("n_face_merged"),
+                                        F.count_if(F.col("stage") == "short").alias("n_short_merged"))
+    up = cut(first.select("ms_id", "body").join(picks.select("ms_id", "body", "into"), ["ms_id", "body"], "left")
+             .select("ms_id", "body", F.coalesce("into", "body").alias("merged_into")))
+    while True:  # pointers double: a label's target takes its target's place
+        nxt = up.select("ms_id", F.col("body").alias("merged_into"), F.col("merged_into").alias("_far"))
+        far = cut(up.join(nxt, ["ms_id", "merged_into"]).select("ms_id", "body", "merged_into", "_far"))
+        done = far.filter("merged_into <> _far").isEmpty()
+        up = far.select("ms_id", "body", F.col("_far").alias("merged_into"))
+        if done:
+            break
+    return (up.join(counts, "ms_id", "left").select("ms_id", "body", "merged_into", F.coalesce("n_face_merged", F.lit(0)).alias("n_face_merged"),
+                                                    F.coalesce("n_short_merged", F.lit(0)).alias("n_short_merged")))
+
+
+def _with_pending(info: DataFrame, links: DataFrame, stage: str) -> DataFrame:
+    """``info`` with the labels that a pass will take up: those with neighbours, all of them on a face."""
+    inner = links.join(info.filter("not face").select("ms_id", F.col("body").alias("other")), ["ms_id", "other"], "left_semi")
+    near = (links.select("ms_id", "body").distinct().join(inner.select("ms_id", "body").distinct(), ["ms_id", "body"], "left_anti")
+            .withColumn("alone", F.lit(True)))
+    kind = F.col("face") if stage == "face" else ~F.col("face")
+    return cut(info.join(near, ["ms_id", "body"], "left")
+               .select("ms_id", "body", "size", "face", (F.coalesce("alone", F.lit(False)) & kind).alias("pending")))
+
+
+def _options(state: DataFrame, links: DataFrame) -> DataFrame:
+    """Contacts of pending labels with the state of the other side."""
+    far = state.select("ms_id", F.col("body").alias("other"), F.col("size").alias("osize"), F.col("pending").alias("opending"))
+    mine = state.filter("pending").select("ms_id", "body", F.col("size").alias("own"))
+    return links.join(mine, ["ms_id", "body"]).join(far, ["ms_id", "other"])
+
+
+def _largest() -> Column:
+    return F.max_by("other", F.struct("osize", -F.col("other")))
+
+
+def _before_first(rated: DataFrame) -> DataFrame:
+    """Pending labels below every label of their sample that is not sure, or free of lower ones around it."""
+    unsure = rated.filter(~F.col("sure")).groupBy("ms_id").agg(F.min("body").alias("_stop"))
+    return (rated.join(unsure, "ms_id", "left").filter(F.col("free") | F.col("_stop").isNull() | (F.col("body") < F.col("_stop")))
+            .select("ms_id", "body", "into"))
+
+
+def _face_round(state: DataFrame, links: DataFrame) -> DataFrame:
+    """Face labels whose turn has come, with their target; NULL where none is left.
+
+    A label may go if no lower pending label is within two contacts of it: what it
+    sees - its neighbours and their sizes - changes only when one of those goes, and
+    they in turn see nothing of it.  It may also go if it and all lower pending labels
+    of its sample are sure of their target, the sample's largest face body: if that is
+    larger than any other by more than all pending sizes, no order of merges lets
+    another win.  So a hub with many small neighbours takes one round.
+    """
+    far = state.filter("pending").select("ms_id", F.col("body").alias("other"), F.col("body").alias("_p"))
+    # lowest pending label within one contact of every label, then within two
+    at_one = (links.join(far, ["ms_id", "other"]).select("ms_id", "body", "_p")
+              .unionByName(state.filter("pending").select("ms_id", "body", F.col("body").alias("_p")))
+              .groupBy("ms_id", "body").agg(F.min("_p").alias("_p")))
+    at_two = (links.join(at_one.withColumnRenamed("body", "other"), ["ms_id", "other"]).groupBy("ms_id", "body").agg(F.min("_p").alias("_low")))
+    top = state.filter("face").groupBy("ms_id").agg(
+        F.max_by("body", F.struct("size", -F.col("body"))).alias("_top"), F.max("size").alias("_most"),
+        F.sum(F.when(F.col("pending"), F.col("size"))).alias("_all"))
+    second = (state.filter("face").join(top.select("ms_id", "_top"), "ms_id").filter(F.col("body") != F.col("_top"))
+              .groupBy("ms_id").agg(F.max("size").alias("_next")))
+    gone_top = state.filter("pending").select("ms_id", F.col("body").alias("_top"), F.lit(True).alias("_leaves"))
+    others = F.col("_all") - F.when(F.col("_leaves"), F.col("_most")).otherwise(0)  # what may go into another than the largest
+    clear = (top.join(second, "ms_id", "left").join(gone_top, ["ms_id", "_top"], "left")
+             .filter(F.col("_most") > F.coalesce("_next", F.lit(0)) + others).select("ms_id", "_top", "_leaves"))
+    best = _options(state, links).groupBy("ms_id", "body").agg(_largest().alias("into"))
+    pending = state.filter("pending").select("ms_id", "body")
+    rated = (pending.join(best, ["ms_id", "body"], "left").join(at_two, ["ms_id", "body"], "left")
+             .join(clear, "ms_id", "left")
+             .select("ms_id", "body", "into", (F.coalesce("_low", "body") >= F.col("body")).alias("free"),
+                     F.coalesce((F.col("into") == F.col("_top")) & (F.col("_leaves").isNull() | (F.col("_top") > F.col("body"))), F.lit(False)).alias("sure")))
+    return _before_first(rated)
+
+
+def _short_round(state: DataFrame, links: DataFrame) -> DataFrame:
+    """Inner labels whose turn has come, with their target.
+
+    Targets are the neighbours at the start of the pass, face bodies that stay; only
+    their sizes change.  A label may go if no lower pending label shares a target with
+    it, or if it and all lower pending labels of its sample are sure: their largest
+    target stays ahead of each other one even if all labels around that go into it.
+    """
+    options = _options(state, links)
+    around = options.groupBy("ms_id", "other").agg(F.min("body").alias("_first"), F.sum("own").alias("_gain"))
+    seen = options.join(around, ["ms_id", "other"])
+    best = seen.groupBy("ms_id", "body").agg(_largest().alias("into"), F.max("osize").alias("_most"), F.min("_first").alias("_low"))
+    rivals = (seen.join(best.select("ms_id", "body", "into"), ["ms_id", "body"]).filter(F.col("other") != F.col("into"))
+              .groupBy("ms_id", "body").agg(F.max(F.col("osize") + F.col("_gain")).alias("_rival")))
+    rated = (best.join(rivals, ["ms_id", "body"], "left")
+             .select("ms_id", "body", "into", (F.col("_low") >= F.col("body")).alias("free"),
+                     F.coalesce(F.col("_most") > F.col("_rival"), F.lit(True)).alias("sure")))
+    return _before_first(rated)
+
+
+def _absorb(state: DataFrame, pick: DataFrame) -> DataFrame:
+    """The labels that are left, with the sizes of those that went into them."""
+    turn = pick.select("ms_id", "body", "into", F.lit(True).alias("_went"))
+    return (state.join(turn, ["ms_id", "body"], "left").withColumn("_stays", F.col("into").isNull())
+            .groupBy("ms_id", F.coalesce("into", "body").alias("body"))
+            .agg(F.sum("size").alias("size"), F.bool_or(F.col("face")).alias("face"),
+                 F.bool_or(F.col("pending") & F.col("_went").isNull()).alias("pending")))
+
+
+def _renamed(links: DataFrame, gone: DataFrame) -> DataFrame:
+    near = gone.select("ms_id", "body", F.col("into").alias("_b"))
+    far = gone.select("ms_id", F.col("body").alias("other"), F.col("into").alias("_o"))
+    return (links.join(near, ["ms_id", "body"], "left").join(far, ["ms_id", "other"], "left")
+            .select("ms_id", F.coalesce("_b", "body").alias("body"), F.coalesce("_o", "other").alias("other"))
+            .filter("body <> other").distinct())
 
 
 def relabel(vox: DataFrame, mapping: DataFrame) -> DataFrame:

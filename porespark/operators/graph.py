@@ -6,6 +6,7 @@ Loops run on whole tables of ``(ms_id, u, v)`` and cut lineage once per round.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from porespark.operators.grid import AXES, node_id
-from porespark.plans.lineage import cut
+from porespark.plans.lineage import checkpoint_dir, cut
 from porespark.plans.packing import PACK_ROWS
 
 TILE_EDGE = 32
@@ -143,17 +144,30 @@ def component_kinds(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 def reachable(arcs: DataFrame, start: DataFrame) -> DataFrame:
     """Nodes reached from ``start`` along ``tail -> head`` arcs, start included.
 
-    Frontier loop: each round joins only the newest nodes with the arcs.
+    Frontier loop: each round joins only the newest nodes with the arcs and appends
+    what is new to the visited nodes as a folder of its own, so the bytes written grow
+    with the nodes, not with nodes times rounds.
     """
+    spark = arcs.sparkSession
     arcs = cut(arcs.select("ms_id", "tail", "head").distinct())
-    seen = cut(start.select("ms_id", "node").distinct())
-    frontier = seen
+    first = start.select("ms_id", "node").distinct()
+    folder, schema = f"{checkpoint_dir(spark)}/visited-{uuid.uuid4().hex}", first.schema
+    rounds: list[str] = []
+
+    def visited(paths: list[str]) -> DataFrame:
+        return spark.read.schema(schema).parquet(*paths)
+
+    def append(new: DataFrame) -> DataFrame:
+        rounds.append(f"{folder}/{len(rounds):06d}")
+        new.write.parquet(rounds[-1])
+        return visited(rounds[-1:])
+
+    frontier = append(first)
     while not frontier.isEmpty():
         step = (arcs.join(frontier.withColumnRenamed("node", "tail"), ["ms_id", "tail"])
                 .select("ms_id", F.col("head").alias("node")).distinct())
-        frontier = cut(step.join(seen, ["ms_id", "node"], "left_anti"))
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        frontier = append(step.join(visited(rounds), ["ms_id", "node"], "left_anti"))
+    return visited(rounds)
 
 
 def prune_to_sink(dag: DataFrame) -> DataFrame:

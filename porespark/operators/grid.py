@@ -193,18 +193,60 @@ def dilate(vox: DataFrame, mask: Column) -> DataFrame:
 
 # --- exact Euclidean distance transform (K13) --------------------------------
 
+def envelopes(coords: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """min over b of values[b] + (coords[a] - coords[b])^2 along each row; rows ascend and may end in inf.
+
+    Every line keeps a stack of the parabolas of its lower envelope, with the place
+    from which each is lowest.  Lines take a step together, and those that pop a
+    parabola go on among themselves, so the work is linear in the line's length.
+    """
+    lines, n = coords.shape
+    best = np.full((lines, n), np.inf)
+    if not lines or not n:
+        return best
+    owner, since = np.zeros((lines, n), int), np.full((lines, n + 1), np.inf)
+    top = np.full(lines, -1)
+    lifted = values + coords * coords
+    for q in range(n):
+        row = np.flatnonzero(np.isfinite(values[:, q]))
+        at = np.full(len(row), -np.inf)
+        todo = np.flatnonzero(top[row] >= 0)
+        while len(todo):
+            r = row[todo]
+            v = owner[r, top[r]]
+            cross = (lifted[r, q] - lifted[r, v]) / (2 * (coords[r, q] - coords[r, v]))
+            hidden = cross <= since[r, top[r]]
+            at[todo] = np.where(hidden, -np.inf, cross)
+            top[r[hidden]] -= 1
+            todo = todo[hidden & (top[r] >= 0)]
+        top[row] += 1
+        owner[row, top[row]], since[row, top[row]] = q, at
+    known = np.flatnonzero(top >= 0)
+    since[known, top[known] + 1] = np.inf
+    place = np.zeros(lines, int)
+    for a in range(n):
+        todo = known[np.isfinite(coords[known, a])]
+        live = todo
+        while len(todo):
+            todo = todo[(place[todo] < top[todo]) & (since[todo, np.minimum(place[todo] + 1, n)] < coords[todo, a])]
+            place[todo] += 1
+        v = owner[live, place[live]]
+        best[live, a] = values[live, v] + (coords[live, a] - coords[live, v]) ** 2
+    return best
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def _lower_envelope(coords: pd.Series, values: pd.Series) -> pd.Series:
-    """min over b of values[b] + (coord[a]-coord[b])^2 along one grid line."""
-    out = []
-    for c, v in zip(coords, values):
-        c, v = np.asarray(c, dtype=float), np.asarray(v, dtype=float)
-        best = np.empty(len(c))
-        for start in range(0, len(c), 256):
-            gap = c[start:start + 256, None] - c[None, :]
-            best[start:start + 256] = np.min(gap * gap + v[None, :], axis=1)
-        out.append(best)
-    return pd.Series(out)
+    """``envelopes`` of a batch of grid lines in any order, each with its values in its own order."""
+    n = coords.map(len).to_numpy()
+    c, v = (np.full((len(n), int(n.max(initial=0))), np.inf) for _ in range(2))
+    inside = np.arange(c.shape[1]) < n[:, None]
+    if len(n):
+        c[inside], v[inside] = np.concatenate(coords.to_list()), np.concatenate(values.to_list())
+    order = np.argsort(c, axis=1, kind="stable")
+    found = np.empty_like(c)
+    np.put_along_axis(found, order, envelopes(np.take_along_axis(c, order, 1), np.take_along_axis(v, order, 1)), 1)
+    return pd.Series([row[:k] for row, k in zip(found, n)])
 
 
 def _envelope_along(df: DataFrame, axis: str, keep: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from porespark.config import AXIS_INDEX, NetworkConfig
 from porespark.functions.scalar import MIN_LENGTH, segment_resistance
 from porespark.operators import graph
 from porespark.operators.grid import AXES
-from porespark.operators.solve import solve_potentials
+from porespark.operators.solve import RELATIVE_TOL, solve_recorded
 
 DROP_FLOOR = 1e-12
 
@@ -53,13 +53,19 @@ def network_links(flat: DataFrame, bodies: DataFrame, delta_v: float) -> DataFra
         F.coalesce("hi", "hj").alias("fixed"))
 
 
-def network_potentials(flat: DataFrame, bodies: DataFrame, delta_v: float = 1.0,
-                       kernel_rows: int | None = None) -> DataFrame:
-    """``bodies`` with ``phi``; isolated and floating bodies sit at zero (K3, Q10)."""
-    solved = solve_potentials(network_links(flat, bodies, delta_v), kernel_rows=kernel_rows)
+def network_solution(flat: DataFrame, bodies: DataFrame, delta_v: float = 1.0,
+                     kernel_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``bodies`` with ``phi`` and the record of the solve; isolated and floating bodies sit at zero (K3, Q10)."""
+    solved, record = solve_recorded(network_links(flat, bodies, delta_v), RELATIVE_TOL, kernel_rows)
     held = F.when(F.col("is_inlet"), F.lit(float(delta_v))).when(F.col("is_outlet"), F.lit(0.0))
     return (bodies.join(solved.withColumnRenamed("node_id", "body_id"), ["ms_id", "body_id"], "left")
-            .withColumn("phi", F.coalesce(held, "phi", F.lit(0.0))))
+            .withColumn("phi", F.coalesce(held, "phi", F.lit(0.0)))), record
+
+
+def network_potentials(flat: DataFrame, bodies: DataFrame, delta_v: float = 1.0,
+                       kernel_rows: int | None = None) -> DataFrame:
+    """``bodies`` with ``phi``."""
+    return network_solution(flat, bodies, delta_v, kernel_rows)[0]
 
 
 def with_currents(flat: DataFrame, bodies: DataFrame, delta_v: float = 1.0) -> DataFrame:

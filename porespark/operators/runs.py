@@ -50,22 +50,26 @@ def resolve_reuse(requests: DataFrame) -> DataFrame:
             .withColumn("has_full", ~pointer & F.col("save_full")).drop("_any", "_full", "_t"))
 
 
-def plan_versions(wanted: DataFrame, runs: DataFrame, metrics: DataFrame) -> DataFrame:
+def plan_versions(wanted: DataFrame, runs: DataFrame, taken: DataFrame, save_full: bool = False) -> DataFrame:
     """New ``runs`` rows that bring the store up to ``wanted`` (ms_id, method, config, config_hash).
 
-    Samples whose latest version already has every wanted hash get none.  Others
-    get one new version: a pointer where an earlier real run has the hash, else
-    a real run.  Versions that only the metrics know, left by a batch that died
-    between its two writes, are never used again.
+    Samples whose latest version already has every wanted hash - and full results,
+    if those are wanted - get none.  Others get one new version: a pointer where an
+    earlier real run has the hash (and full results, if wanted), else a real run.
+    ``taken`` has ``(ms_id, version)`` of numbers that must not be used again, such
+    as those of a batch that died before its rows were written.
     """
-    known = runs.select("ms_id", "version").unionByName(metrics.select("ms_id", "version").distinct())
-    earlier = (runs.filter("status = 'real'").groupBy("ms_id", "method", "config_hash")
-               .agg(F.min("version").alias("points_to_version")))
-    todo = wanted.join(all_match_latest(runs, wanted).filter("is_noop"), "ms_id", "left_anti")
+    known = runs.select("ms_id", "version").unionByName(taken.select("ms_id", "version").distinct())
+    usable = runs.filter("status = 'real'")
+    if save_full:
+        usable = usable.filter("has_full")
+    earlier = usable.groupBy("ms_id", "method", "config_hash").agg(F.min("version").alias("points_to_version"))
+    todo = wanted.join(all_match_latest(runs, wanted, need_full=save_full).filter("is_noop"), "ms_id", "left_anti")
     return (todo.join(next_version(known), "ms_id", "left").join(earlier, ["ms_id", "method", "config_hash"], "left")
             .select("ms_id", F.coalesce("next_version", F.lit(1)).cast("long").alias("version"), "method",
                     F.when(F.col("points_to_version").isNull(), "real").otherwise("pointer").alias("status"),
-                    "points_to_version", "config_hash", F.lit(False).alias("has_full"), "config"))
+                    "points_to_version", "config_hash", (F.col("points_to_version").isNull() & F.lit(save_full)).alias("has_full"),
+                    "config"))
 
 
 def resolved(runs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from porespark.config import VoxelConfig
 from porespark.operators import graph, grid
-from porespark.operators.solve import solve_potentials
+from porespark.operators.solve import RELATIVE_TOL, solve_recorded
 
 
 def voxel_links(edges: DataFrame, nodes: DataFrame, cfg: VoxelConfig) -> DataFrame:
@@ -22,10 +22,24 @@ def voxel_links(edges: DataFrame, nodes: DataFrame, cfg: VoxelConfig) -> DataFra
     return inner.unionByName(held)
 
 
+def voxel_solution(edges: DataFrame, nodes: DataFrame, cfg: VoxelConfig, labels: DataFrame | None = None,
+                   kernel_rows: int | None = None, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` with ``phi`` and the record of the solve.  Floating parts sit at the mid potential (K2).
+
+    ``cfg.kcl_tol`` can only tighten the tolerance.  ``start`` is a first guess
+    ``(ms_id, node_id, phi)`` on the same grid (K24).
+    """
+    solved, record = solve_recorded(voxel_links(edges, nodes, cfg), min(cfg.kcl_tol, RELATIVE_TOL), kernel_rows, start)
+    return _with_potentials(nodes, solved, cfg, labels), record
+
+
 def voxel_potentials(edges: DataFrame, nodes: DataFrame, cfg: VoxelConfig,
                      labels: DataFrame | None = None, kernel_rows: int | None = None) -> DataFrame:
-    """``nodes`` with ``phi``.  Floating parts sit at the mid potential (K2)."""
-    solved = solve_potentials(voxel_links(edges, nodes, cfg), kernel_rows=kernel_rows)
+    """``nodes`` with ``phi``."""
+    return voxel_solution(edges, nodes, cfg, labels, kernel_rows)[0]
+
+
+def _with_potentials(nodes: DataFrame, solved: DataFrame, cfg: VoxelConfig, labels: DataFrame | None) -> DataFrame:
     mid = 0.5 * (cfg.inlet_value + cfg.outlet_value)
     out = nodes.join(solved, ["ms_id", "node_id"], "left")
     if labels is None:

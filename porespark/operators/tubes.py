@@ -3,14 +3,14 @@
 The flow is a relation of directed edges ``(ms_id, up, dn, flow, dphi, kind,
 edge_id, seg_len, ord, seq, phi_up, thr)`` with a virtual source and sink; kind
 0 = internal, 1 = source, 2 = sink.  ``(ord, seq)`` orders the edges that leave
-one node.  Samples within the measured bound are decomposed in grouped calls,
-larger ones by rounds of joins; path attributes are plain aggregations.
+one node.  The topological method is rounds of joins at every size.  The two greedy
+ones take samples within the measured bound in grouped calls; path attributes are
+plain aggregations.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,7 @@ from porespark.plans.packing import split_by_size
 
 SOURCE, SINK = -1, -2
 LEDGER = 9  # kind of the one bookkeeping row per sample
+UNDECOMPOSED = -1  # stuck traces in the ledger of a sample that a method did not take up
 DRAINED = 8  # kind of a row for current drained from an edge that leads nowhere
 
 STEP_COLUMNS = ["ms_id", "path_id", "step", "up", "dn", "kind", "edge_id", "i_gamma", "seg_len", "dphi"]
@@ -147,53 +148,6 @@ def _greedy(f: _Flow):
     return paths, (stuck, lost, 0.0)
 
 
-def _topological(f: _Flow):
-    """One pass from high to low potential: packets in FIFO order fill edges in order."""
-    rows = f.rows
-    level = dict(zip(rows["up"], rows["phi_up"]))
-    queue, chain, done = {}, [], []
-    dropped = unmatched = 0.0
-
-    def send(parent, e, amount):
-        chain.append((parent, e))
-        rid = len(chain) - 1
-        if f.dn[e] == SINK:
-            done.append((amount, rid))
-        else:
-            queue.setdefault(f.dn[e], deque()).append((rid, amount))
-
-    for e in f.out.get(SOURCE, ()):
-        send(-1, e, f.left[e])
-    for node in sorted((n for n in level if n != SOURCE), key=lambda n: (-level[n], n)):
-        edges = deque(f.out.get(node, ()))
-        for rid, amount in queue.pop(node, ()):
-            while amount > f.thr:
-                while edges and f.left[edges[0]] <= f.thr:
-                    edges.popleft()
-                if not edges:
-                    unmatched += amount
-                    break
-                e = edges[0]
-                part = min(amount, f.left[e])
-                send(rid, e, part)
-                amount -= part
-                f.left[e] -= part
-                if f.left[e] < f.thr:
-                    dropped += f.left[e]
-                    f.left[e] = 0.0
-                if amount < f.thr:
-                    dropped += amount
-                    amount = 0.0
-    paths = []
-    for amount, rid in done:
-        path = []
-        while rid >= 0:
-            rid, e = chain[rid]
-            path.append(e)
-        paths.append((amount, path[::-1]))
-    return paths, (0, dropped, unmatched)
-
-
 def _inlet_greedy(f: _Flow):
     """Inlet node with the largest remaining outflow, then strongest unvisited successor."""
     inlets = [f.dn[e] for e in f.out.get(SOURCE, ())]
@@ -237,11 +191,12 @@ def _inlet_greedy(f: _Flow):
         paths.append((amount, path))
 
 
-METHODS = {"greedy_fast": _greedy, "topological": _topological, "flow_decomposition": _inlet_greedy}
+WALKS = {"greedy_fast": _greedy, "flow_decomposition": _inlet_greedy}
+METHODS = (*WALKS, "topological")
 
 
 def _pack_decomposer(method: str):
-    run = METHODS[method]
+    run = WALKS[method]
 
     def decompose(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -311,20 +266,29 @@ def _greedy_rounds(dag: DataFrame) -> DataFrame:
 
 
 def _topological_rounds(dag: DataFrame) -> DataFrame:
-    """Process all ready nodes at once; FIFO matching is an overlap of two running sums."""
+    """One pass from high to low potential, all ready nodes at once (K5).
+
+    Flow moves in packets.  A node's packets, first come first served, fill its edges
+    in order: the match is an overlap of two running sums.  A packet is a row that names
+    the packet it came from; what moves between rounds has no path in it.  Paths are
+    rebuilt at the end by pointer doubling.
+    """
     edges = cut(graph.prune_to_sink(dag))
-    thr = cut(edges.select("ms_id", "thr").distinct())
+    thr = edges.select("ms_id", "thr").distinct()
     inner = edges.filter("kind <> 1")
-    packets = cut(edges.filter("kind = 1").select(
-        "ms_id", F.col("dn").alias("node"), F.col("flow").alias("amount"), F.lit(float("inf")).alias("phi_from"),
-        F.lit(SOURCE).cast("long").alias("from"), F.col("seq").cast("double").alias("at"),
-        F.array(F.struct("up", "dn", "kind", "edge_id", "seg_len", "dphi")).alias("path")))
+    wire = ["up", "dn", "kind", "edge_id", "seg_len", "dphi"]
+    first = cut(edges.filter("kind = 1").select(
+        "ms_id", *wire, F.col("flow").alias("amount"), F.lit(float("inf")).alias("phi_from"), F.lit(SOURCE).cast("long").alias("from"),
+        F.col("seq").cast("double").alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("born"), F.monotonically_increasing_id().alias("rid"),
+        F.lit(None).cast("int").alias("pborn"), F.lit(None).cast("long").alias("prid")))
+    going = ["ms_id", "node", "amount", "phi_from", "from", "at", "depth", "born", "rid"]
+    packets = first.withColumnRenamed("dn", "node").select(*going)
     heads = edges.filter("kind = 0").groupBy("ms_id", F.col("dn").alias("node")).agg(F.count(F.lit(1)).alias("wait"))
     waiting = cut(edges.filter(F.col("up") != SOURCE).select("ms_id", F.col("up").alias("node")).distinct()
                   .join(heads, ["ms_id", "node"], "left").select("ms_id", "node", F.coalesce("wait", F.lit(0)).alias("wait")))
-    found, ledgers = [], []
+    log = [first]
     while not waiting.isEmpty():
-        ready = cut(waiting.filter("wait = 0").select("ms_id", "node"))
+        ready = waiting.filter("wait = 0").select("ms_id", "node")
         if ready.isEmpty():
             raise RuntimeError("flow relation is not acyclic")
         here = packets.join(ready, ["ms_id", "node"], "left_semi")
@@ -333,27 +297,29 @@ def _topological_rounds(dag: DataFrame) -> DataFrame:
         slots = inner.join(ready.withColumnRenamed("node", "up"), ["ms_id", "up"], "left_semi")
         w = Window.partitionBy("ms_id", "up").orderBy("ord", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         slots = slots.withColumn("e_hi", F.sum("flow").over(w)).withColumn("e_lo", F.col("e_hi") - F.col("flow"))
-        both = here.join(slots.withColumnRenamed("up", "node"), ["ms_id", "node"])
+        both = (here.select("ms_id", F.col("node").alias("up"), "lo", "hi", F.col("depth"), F.col("born").alias("pborn"), F.col("rid").alias("prid"))
+                .join(slots, ["ms_id", "up"]))
         part = F.least("hi", "e_hi") - F.greatest("lo", "e_lo")
         sent = cut(both.withColumn("part", part).filter("part > thr").select(
-            "ms_id", "dn", F.col("part").alias("amount"), F.col("phi_up").alias("phi_from"), F.col("node").alias("from"),
-            F.greatest("lo", "e_lo").alias("at"), F.concat("path", F.array(F.struct(
-                F.col("node").alias("up"), "dn", "kind", "edge_id", "seg_len", "dphi"))).alias("path")))
-        found.append(sent.filter(F.col("dn") == SINK))
-        moved = sent.filter(F.col("dn") != SINK).withColumnRenamed("dn", "node")
-        packets = cut(packets.join(ready, ["ms_id", "node"], "left_anti").unionByName(moved.select(*packets.columns)))
+            "ms_id", *wire, F.col("part").alias("amount"), F.col("phi_up").alias("phi_from"), F.col("up").alias("from"),
+            F.greatest("lo", "e_lo").alias("at"), (F.col("depth") + 1).alias("depth"), F.lit(len(log)).alias("born"),
+            F.monotonically_increasing_id().alias("rid"), "pborn", "prid"))
+        log.append(sent)
+        moved = sent.filter(F.col("dn") != SINK).withColumnRenamed("dn", "node").select(*going)
+        packets = cut(packets.join(ready, ["ms_id", "node"], "left_anti").unionByName(moved))
         freed = (inner.filter("kind = 0").join(ready.withColumnRenamed("node", "up"), ["ms_id", "up"], "left_semi")
                  .groupBy("ms_id", F.col("dn").alias("node")).agg(F.count(F.lit(1)).alias("n")))
         waiting = cut(waiting.join(ready, ["ms_id", "node"], "left_anti").join(freed, ["ms_id", "node"], "left")
                       .select("ms_id", "node", (F.col("wait") - F.coalesce("n", F.lit(0))).alias("wait")))
-    done = found[0]
-    for piece in found[1:]:
-        done = done.unionByName(piece)
+    sent = log[0]
+    for piece in log[1:]:
+        sent = sent.unionByName(piece)
+    sent = cut(sent)
     # path numbers only need to be unique within a sample
-    done = cut(done.select("ms_id", "amount", "path", F.monotonically_increasing_id().alias("path_id")))
-    steps = (done.select("ms_id", "path_id", "amount", F.posexplode("path").alias("step", "p"))
-             .select("ms_id", "path_id", "step", "p.up", "p.dn", "p.kind", "p.edge_id", F.col("amount").alias("i_gamma"),
-                     "p.seg_len", "p.dphi"))
+    done = cut(sent.filter(F.col("dn") == SINK).select("ms_id", "amount", "depth", "born", "rid", F.monotonically_increasing_id().alias("path_id")))
+    steps = (_ancestors(done, sent).join(sent.select("ms_id", "born", "rid", *wire), ["ms_id", "born", "rid"])
+             .select("ms_id", "path_id", (F.col("depth") - F.col("back")).cast("int").alias("step"), "up", "dn", "kind", "edge_id",
+                     F.col("amount").alias("i_gamma"), "seg_len", "dphi"))
     injected = edges.filter("kind = 1").groupBy("ms_id").agg(F.sum("flow").alias("src"))
     out = done.groupBy("ms_id").agg(F.sum("amount").alias("got"))
     ledger = thr.join(injected, "ms_id", "left").join(out, "ms_id", "left").select(
@@ -361,6 +327,26 @@ def _topological_rounds(dag: DataFrame) -> DataFrame:
     return steps.unionByName(_ledger(ledger, F.lit(0), F.col("lost")))
 
 
+def _ancestors(done: DataFrame, sent: DataFrame) -> DataFrame:
+    """``done`` once for each packet of its path, ``back`` packets before the last.
+
+    Each round doubles the distance that a pointer spans and the part of the paths that
+    is known, so a path of n packets takes log2(n) rounds.
+    """
+    key = ["ms_id", "born", "rid"]
+    jump = sent.filter("pborn is not null").select(*key, "pborn", "prid")
+    known = done.withColumn("back", F.lit(0))
+    span = 1
+    while not jump.isEmpty():
+        older = known.join(jump, key).select("ms_id", "amount", "depth", F.col("pborn").alias("born"), F.col("prid").alias("rid"), "path_id",
+                                             (F.col("back") + span).alias("back"))
+        known = cut(known.unionByName(older))
+        far = jump.select("ms_id", F.col("born").alias("pborn"), F.col("rid").alias("prid"), F.col("pborn").alias("_b"), F.col("prid").alias("_r"))
+        jump = cut(jump.join(far, ["ms_id", "pborn", "prid"]).select(*key, F.col("_b").alias("pborn"), F.col("_r").alias("prid")))
+        span *= 2
+    return known
+
+
 def _ledger(df: DataFrame, stuck, lost) -> DataFrame:
     zero = F.lit(0).cast("long")
     return df.select("ms_id", F.lit(-1).cast("long").alias("path_id"), stuck.cast("int").alias("step"), zero.alias("up"),
@@ -388,14 +374,17 @@ def decompose(dag: DataFrame, method: str = "greedy_fast", kernel_rows: int | No
     ms_type = dag.schema["ms_id"].dataType.simpleString()
     schema = (f"ms_id {ms_type}, path_id long, step int, up long, dn long, kind int, edge_id long, "
               "i_gamma double, seg_len double, dphi double")
+    if method == "topological":
+        return cut(_topological_rounds(dag).select(*STEP_COLUMNS))
     small, large = split_by_size(dag, kernel_rows)
     parts = []
     if small is not None:
         parts.append(small.groupBy("pack").applyInPandas(_pack_decomposer(method), schema))
     if large is not None and method == "flow_decomposition":
-        raise NotImplementedError("flow_decomposition has no plan for samples beyond kernel_rows; choose another method")
-    if large is not None:
-        parts.append(_topological_rounds(large) if method == "topological" else _greedy_rounds(large))
+        # by definition one path at a time, each inlet judged anew: beyond the bound only such a sample goes without paths
+        parts.append(_ledger(large.select("ms_id").distinct(), F.lit(UNDECOMPOSED), F.lit(None).cast("double")))
+    elif large is not None:
+        parts.append(_greedy_rounds(large))
     if not parts:
         return dag.sparkSession.createDataFrame([], schema)
     return cut(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1].select(*parts[0].columns)))

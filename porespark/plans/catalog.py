@@ -464,6 +464,14 @@ def clustering_null(spark, d):
     return analysis.clustering_report(table, "is_edge_highway")
 
 
+@query("ms_id:l n_marked:l n_total_valid:l observed_mean_nn:d6 null_mean_nn:d6 null_std_nn:d6 percentile:d6 clustered:b dispersed:b")
+def clustering_draws(spark, d):
+    dist = cut(_distances(spark, d))
+    kept = cut(throats.extract_throats(dist, bodies.body_props(dist), NAIVE))
+    marked = whatif.rank_rule("volume_voxels", 30, "bottom")(kept).withColumn("c_geomean", F.lit(1.0))
+    return analysis.clustering_report(marked, "selected", n_random=20, seed=5, coords=("tx", "ty", "tz"))
+
+
 @query("property:s n_in:l n_out:l median_in:d6 median_out:d6 mean_in:d6 mean_out:d6 mannwhitney_u:d2 frac_surface_in:d6 frac_surface_out:d6")
 def body_comparison(spark, d):
     run = _naive(spark, d)
@@ -495,10 +503,26 @@ def whatif_sweep(spark, d):
     return whatif.prune_and_recompute(_images(spark, d), FULL, "bottleneck")
 
 
-@query("ms_id:l n_selected:l")
+@query("rule:s ms_id:l errored:b solve_failed:b n_throats_removed:l n_bodies_newly_isolated:l baseline_total_current:d6 "
+       "pruned_total_current:d6 delta_total_current:d6")
+def whatif_rules(spark, d):
+    rules = {"thin": whatif.rank_rule("geometric_throat_area", 20, "bottom"), "wide": whatif.rank_rule("geometric_throat_area", 30, "top"),
+             "random": whatif.random_rule(n=2, seed=3)}
+    return whatif.sweep(_images(spark, d), NAIVE, rules)
+
+
+@query("ms_id:l error:s")
+def image_checks(spark, d):
+    """Every third image lacks a voxel, every fifth has one twice."""
+    vox = _images(spark, d)
+    first = (F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 1)
+    return whatif.checked(vox.filter(~(first & (F.col("ms_id") % 3 == 0))).unionByName(vox.filter(first & (F.col("ms_id") % 5 == 0))))
+
+
+@query("ms_id:l throat_id:l")
 def random_rule(spark, d):
     rule = whatif.random_rule(match=whatif.rank_rule("c_geomean", 10, "bottom"), seed=0)
-    return rule(_table(spark, d)).groupBy("ms_id").agg(F.count_if("selected").alias("n_selected"))
+    return whatif.select_throats(_table(spark, d), rule)
 
 
 # --- throat analysis on whole lineitem -------------------------------------------------------

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-import os
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from porespark.config import canonical_json, config_hash
+from porespark.sources.npy import open_store
 
 
 def append_runs(runs: DataFrame, metrics: DataFrame, root: str) -> None:
@@ -31,30 +32,40 @@ def stored_or_empty(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
                                                 ("metrics", spark.createDataFrame([], METRIC_SCHEMA))))
 
 
+_PLACE = r"/([^/]+)/version(\d+)/([^/]+)/[^/]+$"
+
+
 def _json_files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Files of a name under ``<sample>/version<N>/<method>/``."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", "true").load(root)
-            .select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("content").cast("string").alias("text"))
-            .select(F.regexp_extract("path", r"/([^/]+)/version(\d+)/([^/]+)/[^/]+$", 1).alias("ms_id"),
-                    F.regexp_extract("path", r"/([^/]+)/version(\d+)/([^/]+)/[^/]+$", 2).alias("v"),
-                    F.regexp_extract("path", r"/([^/]+)/version(\d+)/([^/]+)/[^/]+$", 3).alias("method"), "path", "text")
+            .select(F.regexp_extract("path", _PLACE, 1).alias("ms_id"), F.regexp_extract("path", _PLACE, 2).alias("v"),
+                    F.regexp_extract("path", _PLACE, 3).alias("method"), "path", F.col("content").cast("string").alias("text"))
             .filter("v <> ''").withColumn("version", F.col("v").cast("long")).drop("v"))
 
 
+def _present(paths: list[str]) -> list[bool]:
+    """Whether files are there.  Spark lists no names that begin with an underscore, Arrow's file systems do."""
+    if not paths:
+        return []
+    store, _ = open_store(paths[0])
+    return [i.type == fs.FileType.File for i in store.get_file_info([open_store(p)[1] for p in paths])]
+
+
 def import_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """``(runs, metrics)`` from ``<sample>/version<N>/<method>/*.json`` on a shared file system.
+    """``(runs, metrics)`` from ``<sample>/version<N>/<method>/*.json``, in any store that Spark and Arrow read.
 
     A real run needs its ``_SUCCESS`` marker.  Binary result dumps are only
     noted as present, never opened.
     """
     def real(frames):
         for f in frames:
+            folders = [path.rsplit("/", 1)[0] for path in f["path"]]
+            done, full = (_present([f"{d}/{name}" for d in folders]) for name in ("_SUCCESS", "full_result.pkl"))
             rows = []
-            for ms, method, path, text, version in zip(f["ms_id"], f["method"], f["path"], f["text"], f["version"]):
-                folder = os.path.dirname(path)
-                if os.path.exists(os.path.join(folder, "_SUCCESS")):
+            for ms, method, text, version, ok, kept in zip(f["ms_id"], f["method"], f["text"], f["version"], done, full):
+                if ok:
                     cfg = json.loads(text)
-                    rows.append((ms, int(version), method, "real", None, config_hash(cfg),
-                                 os.path.exists(os.path.join(folder, "full_result.pkl")), canonical_json(cfg)))
+                    rows.append((ms, int(version), method, "real", None, config_hash(cfg), kept, canonical_json(cfg)))
             yield pd.DataFrame(rows, columns=RUN_COLUMNS)
 
     def pointer(frames):

@@ -149,3 +149,47 @@ def merge_bodies(body):
             body[body == b] = min(near[b], key=lambda t: (-(body == t).sum(), t))
         if not todo:
             return body
+
+
+def merge_sequentially(size, face, pairs):
+    """Both merge stages, label by label: ``(label -> final label, merges of the first stage, of the second)``."""
+    size, face, into = dict(size), set(face), {}
+    near = {b: set() for b in size}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+
+    def merge(gone, target):
+        size[target] += size.pop(gone)
+        if gone in face:
+            face.discard(gone)
+            face.add(target)
+        for other in near.pop(gone):
+            near[other].discard(gone)
+            if other != target:
+                near[other].add(target)
+                near[target].add(other)
+        into[gone] = target
+
+    def biggest(labels):
+        return min(labels, key=lambda b: (-size[b], b))
+
+    merged = True
+    while merged:
+        merged = False
+        for b in sorted(b for b in face if near[b] <= face):
+            if near[b]:
+                merge(b, biggest(near[b]))
+                merged = True
+    n_face = len(into)
+    while todo := sorted(b for b in size if b not in face and near[b] and near[b] <= face):
+        start = {b: set(near[b]) for b in todo}
+        for b in todo:
+            merge(b, biggest(start[b]))
+    final = {}
+    for b in [*size, *into]:
+        end = b
+        while end in into:
+            end = into[end]
+        final[b] = end
+    return final, n_face, len(into) - n_face

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 
 import numpy as np
@@ -33,17 +34,46 @@ def quadrants():
     return out
 
 
-@pytest.mark.parametrize("rows", [None, 0])
-def test_merges_match_image_relabelling(spark, labelled, rows):
-    pick = {"s0": labelled["s0"]} if rows == 0 else labelled
-    got = bodies.merge_map(brute.frame(spark, pick), 0, rows).toPandas()
-    for ms, (_, body) in pick.items():
+def test_merges_match_image_relabelling(spark, labelled):
+    got = bodies.merge_map(brute.frame(spark, labelled), 0).toPandas()
+    for ms, (_, body) in labelled.items():
         want = brute.merge_bodies(body)
         m = got[got["ms_id"] == ms].set_index("body")["merged_into"]
         for b in np.unique(body[body > 0]):
             assert set(want[body == b]) == {m[b]}
 
 
+def _random_graphs():
+    """Sizes, faces and contacts: sparse, dense, tied sizes, and hubs with many small neighbours."""
+    rng = np.random.default_rng(11)
+    for k in range(14):
+        n, p, face = int(rng.integers(3, 12)), rng.choice([0.08, 0.2, 0.5]), rng.choice([0.4, 0.8, 1.0])
+        size = rng.integers(1, 5 if k % 2 else 100, n)
+        pairs = [(a + 1, b + 1) for a in range(n) for b in range(a) if rng.random() < p]
+        yield f"g{k}", dict(zip(range(1, n + 1), size.tolist())), {b for b in range(1, n + 1) if rng.random() < face}, pairs
+    many = range(1, 61)
+    yield "faces", {**dict.fromkeys(many, 1), 400: 10_000, 401: 50}, {*many, 400, 401}, [(b, h) for b in many for h in (400, 401) if h == 400 or b % 3 == 0]
+    yield "inner", {**dict.fromkeys(many, 2), 400: 10_000, 401: 50}, {400, 401}, [(b, h) for b in many for h in (400, 401) if h == 400 or b % 3 == 0]
+
+
+def test_merges_follow_the_sequential_rule(spark, monkeypatch):
+    graphs = list(_random_graphs())
+    info = [(m, b, n, b in face) for m, size, face, _ in graphs for b, n in size.items()]
+    links = [(m, *x) for m, _, _, pairs in graphs for a, b in pairs for x in ((a, b), (b, a))]
+    rounds = []
+    for name in ("_face_round", "_short_round"):
+        real = getattr(bodies, name)
+        monkeypatch.setattr(bodies, name, lambda *x, real=real, name=name: rounds.append(name) or real(*x))
+    got = bodies.merge_graph(spark.createDataFrame(info, "ms_id string, body long, size long, face boolean"),
+                             spark.createDataFrame(links, "ms_id string, body long, other long")).collect()
+    for m, size, face, pairs in graphs:
+        mapping, n_face, n_short = brute.merge_sequentially(size, face, pairs)
+        mine = [r for r in got if r["ms_id"] == m]
+        assert {r["body"]: r["merged_into"] for r in mine} == mapping
+        assert {(r["n_face_merged"], r["n_short_merged"]) for r in mine} == {(n_face, n_short)}
+    assert len(rounds) < 24  # not one for each of the 120 labels around the hubs
+
+
 def test_strip_union_equals_raster_and_single_cube():
     n = np.array([1.0, 2.0, 2.0]) / 3
     e1 = np.array([2.0, -2.0, 1.0]) / 3
@@ -166,12 +196,38 @@ def test_nearest_neighbour_literal_and_random(spark):
     assert all(got[("b", k)] == pytest.approx(d[k].min()) for k in range(len(cloud)))
 
 
-def test_draws_equal_numpy(spark):
-    size = spark.createDataFrame([("a", 20, 5)], "ms_id string, n_total long, n_pick long")
-    rng = np.random.default_rng(7)
-    want = [sorted(int(p) + 1 for p in rng.choice(20, size=5, replace=False)) for _ in range(3)]
-    rows = analysis.draw_positions(size, 3, 7).toPandas()
-    assert [sorted(g["pos"]) for _, g in rows.groupby("draw")] == want
+def test_a_tight_cluster_fills_no_cell(spark):
+    """500 points in a cluster a millionth as wide as the distance to an outlier, some of them on a line."""
+    rng = np.random.default_rng(2)
+    cloud = np.concatenate([rng.random((400, 3)) * 1e-6, np.c_[np.linspace(0, 1e-6, 100), np.zeros((100, 2))], [[1.0, 1.0, 1.0]]])
+    df = spark.createDataFrame([("a", k, *map(float, p)) for k, p in enumerate(cloud)], "ms_id string, pid long, p0 double, p1 double, p2 double")
+    cells, placed = analysis._tree(df, ["ms_id"], ["p0", "p1", "p2"], 8)
+    sizes = placed.groupBy("cell").count().collect()
+    assert max(r["count"] for r in sizes) <= 8 and sum(r["count"] for r in sizes) == len(cloud) and len(cells) < 12
+    got = {r["pid"]: r["nn"] for r in analysis.nearest_neighbours(df, ["ms_id"], "pid", ["p0", "p1", "p2"], leaf=8).collect()}
+    d = np.sqrt(((cloud[:, None] - cloud[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert got == pytest.approx(dict(enumerate(d.min(axis=1))), rel=1e-9)
+
+
+def test_draws_are_the_first_by_digest(spark):
+    points = [("a", k) for k in range(40)] + [("b", k) for k in range(3)] + [("c", 7)]
+    sizes = [("a", 40, 12), ("b", 3, 3), ("c", 1, 0)]
+    df = spark.createDataFrame(points, "ms_id string, throat_id long")
+    got = analysis.drawn_subsets(df, spark.createDataFrame(sizes, "ms_id string, n_total long, n_pick long"), "throat_id", 30, 7).collect()
+    for ms, total, n in sizes:
+        for draw in range(30):
+            first = sorted((hashlib.md5(f"7:{draw}:{ms}:{k}".encode()).hexdigest(), k) for m, k in points if m == ms)[:n]
+            assert sorted(r["throat_id"] for r in got if (r["ms_id"], r["draw"]) == (ms, draw)) == sorted(k for _, k in first)
+
+
+def test_draws_refine_a_threshold_that_was_too_low(spark, monkeypatch):
+    """With a threshold that expects far too few, repeated rounds still give the exact choice."""
+    df = spark.range(300).select(F.lit("a").alias("ms_id"), F.col("id").alias("throat_id"))
+    size = spark.createDataFrame([("a", 300, 200)], "ms_id string, n_total long, n_pick long")
+    want = {(r["draw"], r["throat_id"]) for r in analysis.drawn_subsets(df, size, "throat_id", 2, 1).collect()}
+    monkeypatch.setattr(analysis.F, "sqrt", lambda c: F.lit(-48.0))
+    assert {(r["draw"], r["throat_id"]) for r in analysis.drawn_subsets(df, size, "throat_id", 2, 1).collect()} == want
 
 
 CHAIN = [("a", 1, 1, 2), ("a", 2, 2, 3), ("a", 3, 2, 4)]
@@ -214,3 +270,40 @@ def test_sweep_marks_failures(spark, quadrants):
     row = whatif.with_before_after(out, ["total_current"]).first()
     assert row["solve_failed"] and not row["errored"] and row["pruned_total_current"] is None
     assert row["total_current_before/after"].endswith("/failed") and row["n_bodies_newly_isolated"] > 0
+
+
+def test_sweep_runs_rules_together_and_isolates_bad_samples(spark, quadrants):
+    cfg = NetworkConfig(min_throat_size=1, area_method="naive", merge_bodies=False)
+    good = {k: quadrants[k] for k in sorted(quadrants)[:2]}
+    rules = {"thin": whatif.rank_rule("geometric_throat_area", 30, "bottom"), "all": lambda t: t.withColumn("selected", F.lit(True)),
+             "none": lambda t: t.withColumn("selected", F.lit(False))}
+    vox = brute.frame(spark, good)
+    name = sorted(good)[0]
+    torn = vox.filter(F.col("ms_id") == name).withColumn("ms_id", F.lit("torn")).filter("not (x = 1 and y = 1 and z = 1)")
+    bare = vox.filter(F.col("ms_id") == name).withColumn("ms_id", F.lit("bare")).withColumn("body", F.lit(None).cast(vox.schema["body"].dataType))
+    rows = {(r["rule"], r["ms_id"]): r for r in whatif.sweep(vox.unionByName(torn).unionByName(bare), cfg, rules).collect()}
+    assert set(rows) == {(r, m) for r in rules for m in (*good, "torn", "bare")}
+    assert {rows[r, "torn"]["error"] for r in rules} == {"voxels missing or repeated"}
+    assert {rows[r, "bare"]["error"] for r in rules} == {"voxels without a body label"}
+    for r in rules:
+        alone = {x["ms_id"]: x for x in whatif.prune_and_recompute(vox, cfg, rules[r]).collect()}
+        for m in good:
+            for key, value in alone[m].asDict().items():
+                assert rows[r, m][key] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value)
+    assert all(rows["none", m]["delta_total_current"] == pytest.approx(0, abs=1e-12) for m in good if not rows["none", m]["errored"])
+
+
+@pytest.mark.parametrize("kernel_rows", [None, 0])
+def test_a_start_vector_saves_rounds_and_changes_nothing(spark, kernel_rows):
+    chain = [("a", k, k + 1, 1.0 + k % 3, None) for k in range(12)] + [("a", 0, None, 2.0, 1.0), ("a", 12, None, 2.0, 0.0)]
+    chain += [("b", 1, 2, 1.0, None)]  # floats: nothing holds it
+    links = spark.createDataFrame(chain, "ms_id string, u long, v long, g double, fixed double")
+    cold, record = solve.solve_recorded(links, 1e-11, kernel_rows)
+    want = {(r["ms_id"], r["node_id"]): r["phi"] for r in cold.collect()}
+    start = cold.union(spark.createDataFrame([("a", 99, 5.0), ("c", 1, 5.0)], "ms_id string, node_id long, phi double"))
+    warm, again = solve.solve_recorded(links, 1e-11, kernel_rows, start)
+    assert {(r["ms_id"], r["node_id"]): r["phi"] for r in warm.collect()} == pytest.approx(want, abs=1e-9)
+    first, second = ({r["ms_id"]: r for r in x.collect()} for x in (record, again))
+    assert first["a"]["converged"] and first["a"]["iterations"] > 5 and not first["a"]["started"]
+    assert second["a"]["converged"] and second["a"]["iterations"] <= 1 and second["a"]["started"]
+    assert first["a"]["residual"] < 1e-10 and second["b"]["converged"]

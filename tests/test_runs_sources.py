@@ -3,11 +3,13 @@ import os
 
 import numpy as np
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from porespark import cli, config
-from porespark.operators import collate, runs
-from porespark.sources import npy, runstore, samples
+from porespark.operators import collate, network, runs, transport
+from porespark.plans import lineage, pipelines
+from porespark.sources import npy, results, runstore, samples
 from porespark.streaming import latest as stream
 
 
@@ -85,6 +87,41 @@ def test_npy_source_reads_slabs(spark, tree):
     assert len(got) == 120 and all(got[(m, *map(int, i))] == (v[tuple(i)], 2 * v[tuple(i)]) for m, v in vols.items() for i in np.argwhere(v >= 0))
 
 
+def shelf(root):
+    """A store of its own: ``shelf://<folder>`` shows what lies in a local folder."""
+    base = root.removeprefix("shelf://")
+    return fs.SubTreeFileSystem(base, fs.LocalFileSystem()), ""
+
+
+@pytest.mark.parametrize("orders", ["CC", "FF", "CF"])
+def test_npy_source_reads_ranges_of_any_store(spark, tmp_path, monkeypatch, orders):
+    rng = np.random.default_rng(1)
+    phase, body = rng.integers(0, 3, (5, 4, 3)), rng.integers(0, 9, (5, 4, 3)).astype(">i2")
+    os.makedirs(tmp_path / "s1")
+    os.makedirs(tmp_path / "empty")
+    (tmp_path / "note.txt").write_text("no sample")
+    for name, a, order in (("segmented", phase, orders[0]), ("body_array", body, orders[1])):
+        np.save(tmp_path / "s1" / f"{name}.npy", np.asarray(a, order=order))
+    root = f"shelf://{tmp_path}"
+    reader = npy.NpyReader({"root": root, "filesystem": f"{__name__}:shelf", "slab_voxels": "24"})
+    parts = reader.partitions()
+    assert [(p.axis, p.start, p.stop) for p in parts] == ([(2, 0, 1), (2, 1, 2), (2, 2, 3)] if orders == "FF" else [(0, 0, 2), (0, 2, 4), (0, 4, 5)])
+    rows = [r for p in parts for b in reader.read(p) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(rows) == sorted(("s1", x, y, z, int(phase[x, y, z]), int(body[x, y, z])) for x, y, z in np.ndindex(5, 4, 3))
+    if orders == "CC":  # a slab is one range, not the file
+        store, _ = shelf(root)
+        at = npy.layout(store, "s1/segmented.npy")
+        with store.open_input_file(at.path) as file:
+            data = file.read_at(2 * 12 * 8, at.offset + 2 * 12 * 8)
+        assert (np.frombuffer(data, at.dtype).reshape(2, 4, 3) == npy.read_slab(store, at, 0, 2, 4)).all()
+    df = npy.read_volumes(spark, f"file://{tmp_path}")
+    assert df.count() == 60
+    blob = (tmp_path / "s1" / "segmented.npy").read_bytes()
+    (tmp_path / "s1" / "segmented.npy").write_bytes(blob[:-8])
+    with pytest.raises(ValueError, match="shorter"):
+        list(reader.read(parts[-1]))
+
+
 def test_manifest_configs(spark, tree):
     root, _ = tree
     m = samples.manifests(spark, root, npy.read_volumes(spark, root))
@@ -160,3 +197,97 @@ def test_settings_are_known_or_refused():
     assert config.solver_config("voxel", {"axis": 1, "kcl_maxiter": 3, "segmented_file": "a.npy"}) == config.VoxelConfig(axis=1)
     with pytest.raises(ValueError):
         config.solver_config("network", {"alhpa": 0.3})
+
+
+def _blocks(root, names=("s1", "s2")):
+    """Images with a pore channel through them and quadrant bodies."""
+    rng = np.random.default_rng(5)
+    for ms in names:
+        phase = (rng.random((4, 4, 4)) < 0.75).astype(np.uint8)
+        phase[:, 2, 2] = 1
+        x, y, z = np.indices(phase.shape)
+        body = np.where(phase > 0, 1 + 4 * x + 2 * (y // 2) + z // 2, 0)
+        os.makedirs(root / ms)
+        np.save(root / ms / "segmented.npy", phase)
+        np.save(root / ms / "body_array.npy", body)
+
+
+def _rows(df):
+    df = df.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in df.dtypes])
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_full_results_are_kept_and_analysed_without_a_solve(spark, tmp_path, monkeypatch):
+    _blocks(tmp_path / "in", names := ("s1",))
+    store, args = str(tmp_path / "out"), ["--data-dir", str(tmp_path / "in"), "--out", str(tmp_path / "out")]
+    more = ["--network-config", '{"min_throat_size": 1, "merge_bodies": false, "area_method": "naive"}']
+
+    def run(*extra):
+        cli.batch(spark, cli._parser().parse_args(["batch", *args, *more, *extra]))
+        return sorted((r["ms_id"], r["version"], r["method"], r["status"], r["has_full"]) for r in runstore.load_runs(spark, store)[0].collect())
+
+    plain = run()
+    assert not any(r[4] for r in plain) and not os.path.exists(f"{store}/results")
+    kept = run("--save-full")  # same configs, but the stored runs have no tables: new real runs
+    assert kept == sorted(plain + [(ms, 2, m, "real", True) for ms in names for m in ("field", "network", "voxel")])
+    assert run("--save-full") == kept
+    values = {(r["ms_id"], r["version"], r["key"]): r["value"] for r in runstore.load_runs(spark, store)[1].filter("method = 'voxel'").collect()}
+    for ms in names:  # the second batch began with the field's potentials (warm start)
+        assert values[ms, 2, "started"] == 1 and values[ms, 1, "started"] == 0 and values[ms, 2, "converged"] == 1
+        assert values[ms, 2, "iterations"] < values[ms, 1, "iterations"] / 2
+        assert values[ms, 2, "f"] == pytest.approx(values[ms, 1, "f"], rel=1e-9)
+    fresh = pipelines.analyse(npy.read_volumes(spark, str(tmp_path / "in")), config.NetworkConfig(**json.loads(more[1])), n_random=3)
+    want = {name: _rows(df) for name, df in fresh.items()}
+
+    def refuse(*_, **__):
+        raise AssertionError("solved again")
+
+    for module in (transport, network):
+        monkeypatch.setattr(module, "solve_recorded", refuse)
+    got = cli.analyse_stored(spark, store, n_random=3)
+    assert set(got) == set(want) and {name: _rows(df) for name, df in got.items()} == want
+    assert results.pick_best(spark, store, "network", {"min_throat_size": 1}).count() == len(names)
+    with pytest.raises(ValueError):
+        cli.analyse_stored(spark, store, {"min_throat_size": 7})
+    out = str(tmp_path / "tables")
+    cli.inventory(spark, cli._parser().parse_args(["inventory", "--data-dir", store, "--out", out]))
+    counts = {r["method"]: (r["n_real"], r["n_full"]) for r in spark.read.json(f"{out}/inventory_counts.json").collect()}
+    assert counts == {m: (len(names), len(names)) for m in ("field", "network", "voxel")}
+
+
+def test_a_batch_that_dies_leaves_nothing_visible(spark, tmp_path, monkeypatch):
+    _blocks(tmp_path / "in", ("s1",))
+    store = str(tmp_path / "out")
+    args = cli._parser().parse_args(["batch", "--data-dir", str(tmp_path / "in"), "--out", store, "--save-full",
+                                     "--network-config", '{"min_throat_size": 1, "merge_bodies": false, "area_method": "naive"}'])
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(runstore, "append_runs", die)  # all result tables are written, the commit is not
+        with pytest.raises(KeyboardInterrupt):
+            cli.batch(spark, args)
+    assert os.path.isdir(f"{store}/results/network.currents")
+    assert results.pick_best(spark, store, "network").count() == 0
+    cli.batch(spark, args)
+    made = runstore.load_runs(spark, store)[0]
+    assert {(r["version"], r["has_full"]) for r in made.collect()} == {(2, True)}  # number 1 is not used again
+    picked = results.pick_best(spark, store, "network")
+    stored = spark.read.parquet(f"{store}/results/network.bodies")
+    assert stored.select("version").distinct().count() == 2
+    loaded = results.load(spark, store, "network", "bodies", picked)
+    assert loaded.count() == stored.filter("version = 2").count() and "version" not in loaded.columns
+
+
+def test_loading_prunes_buckets(spark, tmp_path):
+    root = str(tmp_path)
+    for version in (1, 9, 17):
+        table = spark.range(50).withColumn("ms_id", F.lit("a"))
+        results.save({"t": table}, "field", spark.createDataFrame([("a", version)], "ms_id string, version long"), root)
+    picked = lineage.cut(spark.createDataFrame([("a", 9)], "ms_id string, version long").withColumn("bucket", results.bucket()))
+    df = results.load(spark, root, "field", "t", picked)
+    assert df.count() == 50 and {f.split("bucket=")[1][0] for f in df.inputFiles() if "bucket=" in f} >= {"1"}
+    assert "PartitionFilters: [isnotnull(bucket" in (plan := df._jdf.queryExecution().toString()) and "(bucket#" in plan and " = 1)" in plan
+    with pytest.raises(ValueError):
+        results.save({"t": spark.range(1).withColumn("version", F.lit(1))}, "field", picked, root)

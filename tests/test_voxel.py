@@ -100,6 +100,39 @@ def test_tubes_match_brute_force(run, images, method, rows):
     assert seen
 
 
+def test_a_sample_beyond_the_bound_spoils_no_other(run):
+    dag = tubes.voxel_dag(run.currents, run.phi, run.transport, CFG)
+    sizes = {r["ms_id"]: r["count"] for r in dag.groupBy("ms_id").count().collect()}
+    big = max(sizes, key=sizes.get)
+    steps = tubes.decompose(dag, "flow_decomposition", kernel_rows=sizes[big] - 1)
+    assert {r["ms_id"] for r in steps.filter("path_id >= 0").collect()} >= {m for m in sizes if m != big and sizes[m] < sizes[big]} - {big}
+    marked = tubes.ledger(steps).filter(F.col("n_stuck") == tubes.UNDECOMPOSED).collect()
+    assert big in {r["ms_id"] for r in marked} and all(r["current_dropped"] is None for r in marked)
+
+
+def test_paths_do_not_depend_on_samples_beside_them(run):
+    dag = tubes.voxel_dag(run.currents, run.phi, run.transport, CFG)
+    whole = paths_of(tubes.decompose(dag, "topological"), run.nodes)
+    alone = paths_of(tubes.decompose(dag.filter("ms_id = 'tiny'"), "topological"), run.nodes)
+    assert sorted((round(a, 9), p) for a, p in whole["tiny"]) == sorted((round(a, 9), p) for a, p in alone["tiny"])
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 33])
+def test_envelopes_are_the_minimum_over_all_sites(n):
+    rng = np.random.default_rng(n)
+    c = np.cumsum(rng.integers(1, 4, (50, n)), axis=1).astype(float)
+    v = np.where(rng.random((50, n)) < 0.4, np.inf, rng.integers(0, 60, (50, n))).astype(float)
+    v[0], v[1] = np.inf, 0
+    c[2:9, n // 2:] = np.inf
+    v[2:9, n // 2:] = np.inf
+    got = grid.envelopes(c, v)
+    for i in range(50):
+        for a in range(n):
+            if np.isfinite(c[i, a]):
+                live = np.isfinite(v[i])
+                assert got[i, a] == ((v[i, live] + (c[i, a] - c[i, live]) ** 2).min() if live.any() else np.inf)
+
+
 def test_volume_split_covers_touched_nodes(run):
     steps, tube = pipelines.voxel_tubes(run, CFG, "topological")
     share = tube.groupBy("ms_id").agg(F.sum("v_gamma").alias("v"))
