@@ -99,16 +99,15 @@ def merge_graph(first: DataFrame, links: DataFrame) -> DataFrame:
     for stage, round_of in (("face", _face_round), ("short", _short_round)):
         while True:
             state = _with_pending(info, links, stage)
-            frozen, merged = links, False
+            frozen, before = links, state.count()
             while not state.filter("pending").isEmpty():
                 pick = cut(round_of(state, links if stage == "face" else frozen))
                 gone = pick.filter("into is not null").select("ms_id", "body", "into", F.lit(stage).alias("stage"))
                 picks = gone if picks is None else picks.unionByName(gone)
-                merged = merged or not gone.isEmpty()
                 state = cut(_absorb(state, pick))
                 links = cut(_renamed(links, gone))
             info = state.select("ms_id", "body", "size", "face")
-            if not merged:
+            if state.count() == before:
                 break
     if picks is None:
         return first.select("ms_id", "body", F.col("body").alias("merged_into"), F.lit(0).cast("long").alias("n_face_merged"),

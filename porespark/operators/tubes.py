@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from porespark.config import VoxelConfig
 from porespark.operators import graph
 from porespark.plans.lineage import cut
-from porespark.plans.ordering import with_running_sum
 from porespark.plans.packing import split_by_size
 
 SOURCE, SINK = -1, -2
@@ -287,13 +286,18 @@ def _topological_rounds(dag: DataFrame) -> DataFrame:
     waiting = cut(edges.filter(F.col("up") != SOURCE).select("ms_id", F.col("up").alias("node")).distinct()
                   .join(heads, ["ms_id", "node"], "left").select("ms_id", "node", F.coalesce("wait", F.lit(0)).alias("wait")))
     log = [first]
-    while not waiting.isEmpty():
-        ready = waiting.filter("wait = 0").select("ms_id", "node")
-        if ready.isEmpty():
+    # a running sum streams through its task, so a node that all packets pass costs time there, not memory
+    queue = (Window.partitionBy("ms_id", "node").orderBy(F.col("phi_from").desc(), F.col("from").asc(), F.col("at").asc())
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    while True:
+        left, free = waiting.agg(F.count(F.lit(1)), F.count_if(F.col("wait") == 0)).first()
+        if not left:
+            break
+        if not free:
             raise RuntimeError("flow relation is not acyclic")
-        here = packets.join(ready, ["ms_id", "node"], "left_semi")
-        here = with_running_sum(here, ["ms_id", "node"], [F.col("phi_from").desc(), F.col("from").asc(), F.col("at").asc()],
-                                "amount", "hi").withColumn("lo", F.col("hi") - F.col("amount"))
+        ready = waiting.filter("wait = 0").select("ms_id", "node")
+        here = packets.join(ready, ["ms_id", "node"], "left_semi").withColumn("hi", F.sum("amount").over(queue))
+        here = here.withColumn("lo", F.col("hi") - F.col("amount"))
         slots = inner.join(ready.withColumnRenamed("node", "up"), ["ms_id", "up"], "left_semi")
         w = Window.partitionBy("ms_id", "up").orderBy("ord", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         slots = slots.withColumn("e_hi", F.sum("flow").over(w)).withColumn("e_lo", F.col("e_hi") - F.col("flow"))

@@ -513,7 +513,7 @@ def whatif_rules(spark, d):
 
 @query("ms_id:l error:s")
 def image_checks(spark, d):
-    """Every third image lacks a voxel, every fifth has one twice."""
+    """Every third image lacks a voxel, every fifth gets it once more; with both an image is whole."""
     vox = _images(spark, d)
     first = (F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 1)
     return whatif.checked(vox.filter(~(first & (F.col("ms_id") % 3 == 0))).unionByName(vox.filter(first & (F.col("ms_id") % 5 == 0))))
