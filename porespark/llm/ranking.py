@@ -130,7 +130,8 @@ class Tree:
             toward = far - (squares + squares[other] - 2 * self._with(own, other))
             order = np.argsort(toward, kind="stable")
             half = int(np.searchsorted(toward[order], 0, side="right"))
-            half = min(max(half, len(rows) // 8), len(rows) - len(rows) // 8)   # no side of a sliver: depth stays logarithmic
+            least = max(1, len(rows) // 8)   # no side of a sliver: depth stays logarithmic
+            half = min(max(half, least), len(rows) - least)
             node.sides = (self._node(rows[order[:half]]), self._node(rows[order[half:]]))
         else:
             node.rows, node.own = rows, self.exact.take(rows)
