@@ -492,7 +492,7 @@ def test_block_max_search_is_exact():
 
 def test_queries_equal_their_sql(spark):
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in oracles.SQL.items():
         want, got = con.execute(sql), queries.QUERIES[name](spark, sf)
