@@ -25,6 +25,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def apart(df: DataFrame, *more: Column) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named by position and ``more`` beside them, and the new name of each column.
+
+    Whatever the input's columns are called, they cannot clash with an operator's own.
+    """
+    new = {c: f"_in_{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in new.items()], *more), new
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from porespark.llm.common import apart
 from porespark.plans.lineage import cut
 
 # A line goes at 0.5 % of its host's pages, on hosts of under 1,000 pages at five of them; pages that are mostly such lines stay.
@@ -57,12 +58,14 @@ def line_dedup(df: DataFrame, host: Column, text_col: str = "text", ratio: float
     host is a host.  A page that would lose more than the share ``most`` of its
     characters (line ends aside) is itself what is repeated, not its frame: it
     keeps all its lines.  ``n_chars``, where the table has it, is counted anew for
-    changed texts.  Existing columns named as the added ones are replaced.
+    changed texts.  Existing columns named as the added ones are replaced, all
+    others stay, whatever their names.
     """
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     drop = cut(boilerplate(df, host, text_col, ratio, min_pages, by_text))
-    joined = df.select(*names, host.alias("_of")).join(drop, F.col("_of").eqNullSafe(F.col("_host")), "left")
-    lines = _lines(F.col(text_col))
+    rows, new = apart(df, host.alias("_of"), F.col(text_col).alias("_text"))
+    joined = rows.join(drop, F.col("_of").eqNullSafe(F.col("_host")), "left")
+    lines = _lines(F.col("_text"))
     kept = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("_drop"), _digest(line)))
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(kept)
     joined = joined.withColumn("_kept", kept)
@@ -70,9 +73,10 @@ def line_dedup(df: DataFrame, host: Column, text_col: str = "text", ratio: float
         chars = lambda of: F.char_length(F.array_join(of, ""))
         joined = joined.withColumn("_kept", F.when(chars(F.col("_kept")) < F.lit(1 - most) * chars(lines), lines).otherwise(F.col("_kept")))
     out = (joined
-           .withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
-           .withColumn("n_dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long"))
-           .withColumn(text_col, F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col))))
+           .withColumn("_n", F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
+           .withColumn("_gone", F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long"))
+           .withColumn("_clean", F.when(F.col("_gone") > 0, F.array_join("_kept", "\n")).otherwise(F.col("_text"))))
+    changed = {text_col: F.col("_clean")}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length(F.col(text_col)).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*names, "n_lines", "n_dropped")
+        changed["n_chars"] = F.when(F.col("_gone") > 0, F.char_length("_clean").cast("long")).otherwise(F.col(new["n_chars"]))
+    return out.select(*[changed.get(c, F.col(new[c])).alias(c) for c in names], F.col("_n").alias("n_lines"), F.col("_gone").alias("n_dropped"))

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from porespark.llm.common import ranked, word_count
+from porespark.llm.common import apart, ranked, word_count
 from porespark.plans.lineage import cut
 
 BUCKET_ROWS = 50_000    # expected rows of one key interval of a source
@@ -93,8 +93,8 @@ def plan(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.
             .select("source", "source_size", "target", "whole", "cut_key", "cut_words"))
 
 
-def _prepared(df: DataFrame, id_col: str, source_col: str, size: Column, seed: str) -> DataFrame:
-    return df.select("*", F.col(source_col).alias("_source"), key_of(F.col(id_col), seed).alias("_key"), size.alias("_size"))
+def _marks(id_col: str, source_col: str, text_col: str, seed: str) -> list[Column]:
+    return [F.col(source_col).alias("_source"), key_of(F.col(id_col), seed).alias("_key"), word_count(F.col(text_col)).alias("_size")]
 
 
 def _with_plan(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -117,8 +117,7 @@ def mix(df: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, e
     source is a source, null ids share one key.  Reruns give the same rows; other
     columns are ignored.
     """
-    slim = cut(_prepared(df, id_col, source_col, word_count(F.col(text_col)), seed)
-               .select(F.col(id_col).alias("doc_id"), "_source", "_key", "_size"))
+    slim = cut(df.select(F.col(id_col).alias("doc_id"), *_marks(id_col, source_col, text_col, seed)))
     sources = cut(plan(slim.select(F.col("_source").alias("source"), F.col("_key").alias("key"), F.col("_size").alias("size")),
                        weights, share, epochs))
     return _with_plan(slim, sources).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
@@ -133,22 +132,25 @@ def mixed_documents(df: DataFrame, weights: Sequence[int] = (5, 2, 1), share: fl
     last copy holds the first words only, joined by single blanks, and its
     ``n_chars``, where the table has that column, is counted anew.  Rows that
     are not taken go.  Rows without words, null texts among them, take nothing
-    from a budget and appear as often as their key says.
+    from a budget and appear as often as their key says.  Other columns stay as
+    they are, whatever their names.
     """
-    n_chars = "n_chars" if "n_chars" in df.columns else None
-    rows = _prepared(df, id_col, source_col, word_count(F.col(text_col)), seed)
-    slim = cut(rows.select(F.col("_source").alias("source"), F.col("_key").alias("key"), F.col("_size").alias("size")))
+    marks = _marks(id_col, source_col, text_col, seed)
+    rows, new = apart(df, F.col(text_col).alias("_text"), *marks)
+    slim = cut(df.select(*marks).select(F.col("_source").alias("source"), F.col("_key").alias("key"), F.col("_size").alias("size")))
     chosen = _with_plan(rows, cut(plan(slim, weights, share, epochs)))
     at_cut = (F.col("_key") == F.col("_cut_key")) & (F.col("_extra") < F.col("_size"))
     again = F.when(F.col("_key") < F.col("_cut_key"), 1).when(at_cut & (F.col("_extra") > 0), 1).when(
         (F.col("_key") == F.col("_cut_key")) & ~at_cut, 1).otherwise(0)
-    copies = F.col("_whole") + F.coalesce(again, F.lit(0))
+    # a budget of whole epochs has no cut, so that rows without words are not repeated once more
+    rest = F.floor("_target") - F.col("_whole") * F.col("_source_size")
+    copies = F.col("_whole") + F.when(rest > 0, F.coalesce(again, F.lit(0))).otherwise(0)
     many = (chosen.withColumn("_copies", copies).filter("_copies > 0")
             .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))))
     short = F.coalesce(at_cut, F.lit(False)) & (F.col("_copy") > F.col("_whole"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(short, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_extra"), F.lit(1)).cast("int")), " ")).otherwise(F.col(text_col))
-    out = many.withColumn(text_col, text)
-    if n_chars:
-        out = out.withColumn(n_chars, F.when(short, F.char_length(F.col(text_col)).cast("long")).otherwise(F.col(n_chars)))
-    return out.select(*[out[c] for c in df.columns])
+    words = F.regexp_extract_all(F.col("_text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(short, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_extra"), F.lit(1)).cast("int")), " ")).otherwise(F.col("_text"))
+    changed = {text_col: F.col("_cut")}
+    if "n_chars" in df.columns:
+        changed["n_chars"] = F.when(short, F.char_length("_cut").cast("long")).otherwise(F.col(new["n_chars"]))
+    return many.withColumn("_cut", text).select(*[changed.get(c, F.col(new[c])).alias(c) for c in df.columns])

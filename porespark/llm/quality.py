@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from porespark.llm.common import apart
 from porespark.plans.lineage import cut
 
 TRAIN_ROWS = 20_000     # bound of the labelled sample that the classifier is fitted on
@@ -169,16 +170,15 @@ def quality_scores(df: DataFrame, labels: DataFrame, host: Column, path: Column,
 
 def good_documents(df: DataFrame, labels: DataFrame, host: Column, path: Column, train_rows: int = TRAIN_ROWS,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that the classifier keeps, unchanged.
+    """The rows of ``df`` that the classifier keeps, unchanged, whatever their columns' names.
 
     Texts are read twice and never shuffled: the second pass meets only the
     table of site rates.
     """
     model = fit(df, labels, train_rows, id_col, text_col)
-    own = lambda d: d.withColumn("_x", _features(F.col(text_col))).withColumn("_own", _own(model, F.col("_x"))).drop("_x")
-    rows = df.withColumns({"_h": host, "_p": path})
-    rates, rate = sites(own(rows.select("_h", "_p", text_col)).select(F.col("_h").alias("host"), F.col("_p").alias("path"), F.col("_own").alias("p")))
-    names = {c: f"_in_{i}" for i, c in enumerate(df.columns)}  # the input's columns cannot clash with the sites'
-    scored = own(rows).select(*[F.col(c).alias(n) for c, n in names.items()], "_h", "_p", "_own")
-    kept = _at_sites(scored, rates).filter(posterior(rate) >= F.lit(KEEP))
-    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
+    own = lambda d: d.withColumn("_x", _features(F.col("_text"))).withColumn("_own", _own(model, F.col("_x"))).drop("_x", "_text")
+    marks = [host.alias("_h"), path.alias("_p"), F.col(text_col).alias("_text")]
+    rates, rate = sites(own(df.select(*marks)).select(F.col("_h").alias("host"), F.col("_p").alias("path"), F.col("_own").alias("p")))
+    rows, new = apart(df, *marks)
+    kept = _at_sites(own(rows), rates).filter(posterior(rate) >= F.lit(KEEP))
+    return kept.select(*[F.col(n).alias(c) for c, n in new.items()])
