@@ -19,31 +19,40 @@ LINE_RATIO, LINE_PAGES, LINE_MOST = 0.005, 5, 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose posterior is good."""
+    """Keeps the documents whose posterior is good; null and empty texts are judged like any, repeated rows alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.good_documents(docs, labels, F.col("source"), F.col("lang"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that are boilerplate of their source; pages that are mostly such lines are left to the next stage."""
+    """Removes lines that are boilerplate of their source; pages that are mostly such lines are left to the next stage.
+
+    Every row stays, null texts stay null, a null source is a source.
+    """
     cleaned = lines.line_dedup(docs, F.col("source"), ratio=LINE_RATIO, min_pages=LINE_PAGES, most=LINE_MOST, by_text=True)
     return cleaned.select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates; rows that repeat an id stay together."""
+    """Keeps one document of each group of near duplicates; rows that repeat an id stay together.
+
+    Documents without an id or without words are in no group and stay.
+    """
     found = minhash.near_duplicates(docs, k=SHINGLE_WORDS, percent=PERCENT)
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws the target mix of sources, repeating and cutting documents as it asks."""
+    """Draws the target mix of sources, repeating and cutting documents as it asks.
+
+    Texts without words take nothing of a budget; a source that has no other texts goes.
+    """
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the mix into training sequences; one row per piece."""
+    """Packs the mix into training sequences; one row per piece, null and empty texts as the end id alone."""
     return packing.pack(docs, public_tokenizers.path(WORD_VOCABULARY), END_ID)
 
 
@@ -55,12 +64,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: The classifier, the signatures and the tokenizer are beyond SQL; operators have tests of their own, the chain has none.
+#: The classifier, the signatures and the tokenizer are beyond SQL: tests hold every stage of the chain against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; each is written to the shared folder and read again."""
+    """All stages in turn; each is written to the shared folder and read again.  Empty tables give no pieces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for nth, (_, stage) in enumerate(STAGES):
