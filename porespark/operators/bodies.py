@@ -18,13 +18,14 @@ def body_props(vox: DataFrame, axis: int = 0) -> DataFrame:
     the face centroid of a surface body, else the volume centroid.
     """
     last = vox.groupBy("ms_id").agg(F.max(AXES[axis]).alias("_last"))
-    tagged = vox.filter("body > 0").join(last, "ms_id")
-    face = (F.col(AXES[axis]) == 0) | (F.col(AXES[axis]) == F.col("_last"))
-    agg = tagged.groupBy("ms_id", F.col("body").alias("body_id")).agg(
-        F.count(F.lit(1)).alias("volume_voxels"), F.max("edt").alias("max_radius"),
-        *[F.avg(a).alias(f"vc{a}") for a in AXES],
-        F.count_if(face).alias("surface_area_voxels"),
-        *[F.avg(F.when(face, F.col(a))).alias(f"sc{a}") for a in AXES])
+    # sums per body and plane first: only these short tables meet the sample's extent, never its voxels
+    planes = vox.filter("body > 0").groupBy("ms_id", F.col("body").alias("body_id"), F.col(AXES[axis]).alias("_plane")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("edt").alias("_edt"), *[F.sum(F.col(a).cast("long")).alias(f"_{a}") for a in AXES])
+    face = (F.col("_plane") == 0) | (F.col("_plane") == F.col("_last"))
+    n, n_face = F.sum("_n"), F.sum(F.when(face, F.col("_n")).otherwise(0))
+    agg = planes.join(last, "ms_id").groupBy("ms_id", "body_id").agg(
+        n.alias("volume_voxels"), F.max("_edt").alias("max_radius"), *[(F.sum(f"_{a}") / n).alias(f"vc{a}") for a in AXES],
+        n_face.alias("surface_area_voxels"), *[F.try_divide(F.sum(F.when(face, F.col(f"_{a}"))), n_face).alias(f"sc{a}") for a in AXES])
     surface = F.col("surface_area_voxels") > 0
     return agg.select(
         "ms_id", "body_id", surface.cast("int").alias("nodal_state"), "volume_voxels",

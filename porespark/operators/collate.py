@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,11 @@ def by_size_class(collated: DataFrame, value: str) -> DataFrame:
     return stats.mean_sem(collated, ["size_class"], value)
 
 
+def by_group(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Rows and the mean of several columns per group, nulls left out of a mean."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(v).cast("double")).alias(v) for v in values])
+
+
 def pass_rate(collated: DataFrame) -> DataFrame:
     return collated.groupBy("size_class").agg(F.count(F.lit(1)).alias("n"),
                                               F.avg(F.col("cross_check_pass").cast("double")).alias("pass_rate"))

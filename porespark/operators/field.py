@@ -61,7 +61,7 @@ def interface_flux(vox: DataFrame, flux: DataFrame) -> DataFrame:
 
 
 def plane_total_current(metrics: DataFrame, flux: DataFrame, shape: DataFrame, axis: int = 0) -> DataFrame:
-    """``D_eff * A * dV / L``."""
+    """``D_eff * A * dV / L`` (K33), NULL for an image that carries no current: there it would be rounding."""
     span = flux.groupBy("ms_id").agg((F.max("phi") - F.min("phi")).alias("delta_v"))
     n = {a: F.col(f"n{a}") for a in AXES}
     area = F.lit(1.0)
@@ -69,4 +69,4 @@ def plane_total_current(metrics: DataFrame, flux: DataFrame, shape: DataFrame, a
         if i != axis:
             area = area * n[a]
     return (metrics.select("ms_id", "d_eff").join(span, "ms_id").join(shape, "ms_id")
-            .select("ms_id", (F.col("d_eff") * area * F.col("delta_v") / n[AXES[axis]]).alias("i_total_plane")))
+            .select("ms_id", F.when(F.col("d_eff") > 1e-8, F.col("d_eff") * area * F.col("delta_v") / n[AXES[axis]]).alias("i_total_plane")))

@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from porespark.operators.grid import AXES
 from porespark.plans.packing import spread
 
-STRIP = 16.0
+TILE = 16.0
 
 # The unit-cube corners.
 CORNERS = np.array([[i, j, k] for i in (0.0, 1.0) for j in (0.0, 1.0) for k in (0.0, 1.0)])
@@ -82,20 +82,25 @@ def _chains(hull: np.ndarray):
     return ys, left, right
 
 
-def _covered(left: np.ndarray, right: np.ndarray) -> float:
+def _covered(left: np.ndarray, right: np.ndarray, x0: float, x1: float) -> float:
+    left, right = np.maximum(left, x0), np.minimum(right, x1)
+    left, right = left[left < right], right[left < right]
+    if not len(left):
+        return 0.0
     order = np.argsort(left)
     lo, hi = left[order], np.maximum.accumulate(right[order])
     gaps = np.maximum(lo[1:] - hi[:-1], 0.0).sum()
     return float(hi[-1] - lo[0] - gaps)
 
 
-def strip_union_area(px, py, e1, e2, y0: float, y1: float) -> float:
-    """Area inside y0..y1 of the union of equal voxel shadows at (px, py).
+def strip_union_area(px, py, e1, e2, y0: float, y1: float, x0: float = -np.inf, x1: float = np.inf) -> float:
+    """Area inside y0..y1 and x0..x1 of the union of equal voxel shadows at (px, py).
 
     All shadows are translates of one convex polygon.  Between consecutive
-    ordinates where a vertex lies or two boundaries cross, the covered length
-    is linear, so the mid-point rule is exact there.
+    ordinates where a vertex lies or two boundaries cross, the sides x0 and x1
+    among them, the covered length is linear, so the mid-point rule is exact there.
     """
+    sides = np.array([s for s in (x0, x1) if np.isfinite(s)])
     hull = _hull(np.stack([CORNERS @ np.asarray(e1), CORNERS @ np.asarray(e2)], axis=1))
     ys, left, right = _chains(hull)
     # voxels stacked along the normal cast the same shadow
@@ -114,51 +119,58 @@ def strip_union_area(px, py, e1, e2, y0: float, y1: float) -> float:
 
         la, ra = ends(a + 1e-12)
         lb, rb = ends(b - 1e-12)
-        ea, eb = np.concatenate([la, ra]), np.concatenate([lb, rb])
+        ea, eb = np.concatenate([la, ra, sides]), np.concatenate([lb, rb, sides])
         da, db = ea[:, None] - ea[None, :], eb[:, None] - eb[None, :]
         cross = np.triu(da * db < 0, 1)
         t = da[cross] / (da[cross] - db[cross])
         cuts = np.unique(np.concatenate([[a], a + t * (b - a), [b]]))
         for c, d in zip(cuts[:-1], cuts[1:]):
             if d - c > 1e-13:
-                area += (d - c) * _covered(*ends(0.5 * (c + d)))
+                area += (d - c) * _covered(*ends(0.5 * (c + d)), x0, x1)
     return area
 
 
 @F.pandas_udf(DoubleType())
-def _strip_area(px: pd.Series, py: pd.Series, plane: pd.Series, strip: pd.Series) -> pd.Series:
-    seen: dict = {}  # small throats repeat a few shapes; one entry per shape and batch
+def _tile_area(px: pd.Series, py: pd.Series, plane: pd.Series) -> pd.Series:
+    seen: dict = {}  # throats repeat a few shapes; one entry per shape and batch
     out = []
-    for x, y, p, s in zip(px, py, plane, strip):
+    for x, y, p in zip(px, py, plane):
         pts = np.unique(np.round(np.stack([x, y], axis=1), 9), axis=0)
-        key = (pts.tobytes(), np.round(p, 9).tobytes(), s)
+        key = (pts.tobytes(), np.round(p, 9).tobytes())
         if key not in seen:
-            seen[key] = strip_union_area(pts[:, 0], pts[:, 1], p[3:6], p[6:9], s * STRIP, (s + 1) * STRIP)
+            seen[key] = strip_union_area(pts[:, 0], pts[:, 1], p[3:6], p[6:9], 0.0, TILE, 0.0, TILE)
         out.append(seen[key])
     return pd.Series(out, dtype=float)
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def _shadow_range(plane: pd.Series) -> pd.Series:
-    return pd.Series([[float((CORNERS @ p[6:9]).min()), float((CORNERS @ p[6:9]).max())] for p in plane])
+    """Least and greatest offset of a shadow along both in-plane axes."""
+    return pd.Series([[float(f(CORNERS @ p[a:a + 3])) for a in (3, 6) for f in (np.min, np.max)] for p in plane])
 
 
 def footprint_areas(voxels: DataFrame, planes: DataFrame, keys: list[str]) -> DataFrame:
     """Union area of the voxel shadows on each throat plane.
 
-    The plane is cut into strips; a voxel goes to the one to three strips its
-    shadow meets, and each (throat, strip) is a group bounded by the image
-    width, so a throat of any size spreads over many tasks.  Coordinates are taken
-    from the throat centre ``tx, ty, tz`` of ``planes``.
+    The plane is cut into tiles in both directions; a voxel goes to the few
+    tiles its shadow meets, and the area of a (throat, tile) is the union clipped
+    to the tile.  Such a group holds the voxels over one tile, whatever the
+    throat's extent, so the cost is linear in shadows and a throat of any size
+    spreads over many tasks.  Coordinates are taken from the throat centre
+    ``tx, ty, tz`` of ``planes``.
     """
     basis = planes.select(*keys, "plane", "tx", "ty", "tz").withColumn("_span", _shadow_range("plane"))
     pts = (voxels.select(*keys, *AXES).distinct().join(basis, keys)
-           .withColumn("px", sum(((F.col(a) - F.col(f"t{a}")) * F.element_at("plane", 4 + i) for i, a in enumerate(AXES)), F.lit(0.0)))
-           .withColumn("py", sum(((F.col(a) - F.col(f"t{a}")) * F.element_at("plane", 7 + i) for i, a in enumerate(AXES)), F.lit(STRIP / 2))))
-    lo = F.floor((F.col("py") + F.element_at("_span", 1)) / STRIP)
-    hi = F.floor((F.col("py") + F.element_at("_span", 2)) / STRIP)
-    strips = pts.select(*keys, "px", "py", "plane", F.explode(F.sequence(lo, hi)).alias("strip"))
-    grouped = spread(strips, [*keys, "strip"]).groupBy(*keys, "strip").agg(
+           .withColumn("px", sum(((F.col(a) - F.col(f"t{a}")) * F.element_at("plane", 4 + i) for i, a in enumerate(AXES)), F.lit(TILE / 2)))
+           .withColumn("py", sum(((F.col(a) - F.col(f"t{a}")) * F.element_at("plane", 7 + i) for i, a in enumerate(AXES)), F.lit(TILE / 2))))
+
+    def met(at: str, low: int):
+        return F.sequence(*[F.floor((F.col(at) + F.element_at("_span", low + k)) / TILE) for k in (0, 1)])
+    tiles = (pts.select(*keys, "px", "py", "plane", F.explode(met("px", 1)).alias("across"), met("py", 3).alias("_up"))
+             .select(*keys, "px", "py", "plane", "across", F.explode("_up").alias("up")))
+    # coordinates from the tile's corner: tiles of one pattern are alike
+    tiles = tiles.withColumn("px", F.col("px") - F.col("across") * TILE).withColumn("py", F.col("py") - F.col("up") * TILE)
+    grouped = spread(tiles, [*keys, "across", "up"]).groupBy(*keys, "across", "up").agg(
         F.collect_list(F.struct("px", "py")).alias("p"), F.first("plane").alias("plane"))
-    areas = grouped.withColumn("area", _strip_area(F.col("p.px"), F.col("p.py"), F.col("plane"), F.col("strip")))
+    areas = grouped.withColumn("area", _tile_area(F.col("p.px"), F.col("p.py"), F.col("plane")))
     return areas.groupBy(*keys).agg(F.sum("area").alias("footprint"))

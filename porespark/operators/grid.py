@@ -330,6 +330,13 @@ def mask_agreement(vox: DataFrame, phase_id: int) -> DataFrame:
         F.avg(same.cast("double")).alias("frac_agree"))
 
 
+def projection(vox: DataFrame, value: Column, axis: int = 0) -> DataFrame:
+    """Mean and maximum of ``value`` along ``axis``, one row per line of voxels."""
+    kept = [a for i, a in enumerate(AXES) if i != axis]
+    return vox.select("ms_id", *kept, value.alias("_v")).groupBy("ms_id", *kept).agg(
+        F.avg("_v").alias("mean"), F.max("_v").alias("max"))
+
+
 def plane_profile(vox: DataFrame, phase_id: int, axis: int = 0) -> DataFrame:
     """Pore fraction of each plane normal to ``axis``."""
     return vox.groupBy("ms_id", F.col(AXES[axis]).alias("plane")).agg(

@@ -99,6 +99,16 @@ def totals(currents: DataFrame, delta_v: float = 1.0) -> DataFrame:
         .withColumn("i_threshold", F.least(F.lit(1e-10) * F.abs("total_current"), F.lit(1e-10) * F.col("i_max"), F.lit(1e-10))))
 
 
+def dead_volume(bodies: DataFrame, active: DataFrame) -> DataFrame:
+    """Number, volume and share of the volume of the bodies that are not in ``active``."""
+    marked = bodies.select("ms_id", "body_id", "volume_voxels").join(
+        active.select("ms_id", "body_id").distinct().withColumn("_active", F.lit(True)), ["ms_id", "body_id"], "left")
+    gone = F.col("_active").isNull()
+    return marked.groupBy("ms_id").agg(
+        F.count_if(gone).alias("n_removed"), F.sum(F.when(gone, F.col("volume_voxels")).otherwise(0)).alias("dead_volume"),
+        F.sum("volume_voxels").alias("_all")).withColumn("dead_share", F.try_divide("dead_volume", "_all")).drop("_all")
+
+
 def local_iota(currents: DataFrame, tot: DataFrame, shape: DataFrame, cfg: NetworkConfig) -> DataFrame:
     """Per-throat conductance-reduction factors of the three segments."""
     axis = AXES[cfg.axis]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from porespark.config import NETWORK_CONFIG_DEFAULTS, NetworkConfig, VoxelConfig
 from porespark.functions import stats
-from porespark.functions.scalar import before_after, size_class
+from porespark.functions.scalar import aspect_ratio, before_after, drop_last_part, is_curved, safe_inverse, size_class, throat_equivalent_radius
 from porespark.operators import (analysis, bodies, chord, collate, field, graph, grid, network, runs, throats, transport,
                                  tubes, whatif)
 from porespark.operators.grid import AXES, node_coords
@@ -71,6 +71,11 @@ def plane_profile(spark, d):
     return grid.plane_profile(_images(spark, d), 1, 0)
 
 
+@query("ms_id:l y:l z:l mean:d6 max:d6")
+def axis_projection(spark, d):
+    return grid.projection(_distances(spark, d), F.coalesce("edt", F.lit(0.0)), 0)
+
+
 @query("ms_id:l n_inlet:l n_outlet:l touches_both:b")
 def face_counts(spark, d):
     return grid.face_counts(_images(spark, d), 1, 0)
@@ -171,6 +176,20 @@ def edge_currents(spark, d):
     return _voxel(spark, d).currents.select("ms_id", *node_coords("u"), "axis", "current")
 
 
+MODES = (("physical", "geometric_dx"), ("physical", "unit_1"), ("unit_dx", "geometric_dx"), ("topological_G1", "geometric_dx"))
+
+
+@query("ms_id:l mode:s length_mode:s sum_abs:d6")
+def conductance_modes(spark, d):
+    """Summed edge currents under every conductance formula, from one solve: potentials do not depend on it."""
+    run = _voxel(spark, d)
+    found = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(n).alias("length_mode"),
+                               F.lit(VoxelConfig(conductance_mode=m, length_mode=n, dx=0.5).conductance).alias("g")) for m, n in MODES])
+    edges = run.currents.select("ms_id", "u", "v", F.explode(found).alias("m")).select("ms_id", "u", "v", "m.*")
+    return (transport.edge_currents(edges, run.phi, F.col("g")).groupBy("ms_id", "mode", "length_mode")
+            .agg(F.sum(F.abs("current")).alias("sum_abs")))
+
+
 @query("ms_id:l kind:l n_edges:l flow:d6")
 def flow_dag(spark, d):
     run = _voxel(spark, d)
@@ -287,6 +306,15 @@ def throat_extraction(spark, d):
     return throats.extract_throats(dist, bodies.body_props(dist), NAIVE)
 
 
+@query("ms_id:l throat_id:l is_curved:b equivalent_radius:d6 aspect_ratio:d6 inverse_length:d6")
+def throat_shapes(spark, d):
+    dist = cut(_distances(spark, d))
+    out = throats.extract_throats(dist, bodies.body_props(dist), NAIVE)
+    return (out.withColumn("equivalent_radius", throat_equivalent_radius("volume_voxels", "length_cc"))
+            .select("ms_id", "throat_id", is_curved("curvature_ratio").alias("is_curved"), "equivalent_radius",
+                    aspect_ratio("length_cc", "equivalent_radius").alias("aspect_ratio"), safe_inverse("length_cc").alias("inverse_length")))
+
+
 @query("ms_id:l throat_id:l volume_voxels:l nx:d6 ny:d6 nz:d6 area_naive_projected:d6 area_vox_projection:d6 cos_theta:d6")
 def throat_areas(spark, d):
     dist = cut(_distances(spark, d))
@@ -393,6 +421,12 @@ def conducting_bodies(spark, d):
     return network.conducting_bodies(run.currents, run.totals)
 
 
+@query("ms_id:l n_removed:l dead_volume:l dead_share:d6")
+def dead_volume(spark, d):
+    run = _naive(spark, d)
+    return network.dead_volume(run.bodies, network.conducting_bodies(run.currents, run.totals))
+
+
 @query("ms_id:l n_paths:l i_decomp:d6 v_tubes:d6 mean_length:d6")
 def all_simple_paths(spark, d):
     run = _naive(spark, d)
@@ -436,6 +470,15 @@ def throat_table(spark, d):
     return pipelines.throat_table(_naive(spark, d))
 
 
+@query("ms_id:l throat_id:l i_voxel:d6 f_voxel:d6")
+def throat_voxel_flux(spark, d):
+    vox = cut(_images(spark, d))
+    run = pipelines.network_run(vox, NAIVE)
+    metrics, flux, _ = pipelines.field_metrics(vox, 1)
+    ends = run.currents.filter("i is not null and j is not null").select("ms_id", "throat_id", F.col("i").alias("body1"), F.col("j").alias("body2"))
+    return analysis.with_voxel_flux(ends, field.interface_flux(vox, flux), field.plane_total_current(metrics, flux, run.shape))
+
+
 @query("ms_id:l body_id:l volume:l r_body:d6 z_coordination:l is_surface:b pos_frac_along_flow:d6 touches_any_topn:b touches_overlap_any:b")
 def body_table(spark, d):
     run = _naive(spark, d)
@@ -608,6 +651,14 @@ def size_class_sem(spark, d):
     return collate.by_size_class(_collated(spark, d), "current_top10_frac")
 
 
+TYPE_METRICS = ("median_c", "median_c_geomean", "frac_bottleneck_class", "frac_highway_class", "current_top10_frac")
+
+
+@query("type:s n:l " + " ".join(f"{m}:d6" for m in TYPE_METRICS))
+def type_means(spark, d):
+    return collate.by_group(_collated(spark, d).withColumn("type", drop_last_part("ms_name")), ["type"], TYPE_METRICS)
+
+
 @query("size_class:s n:l r2:d6 mse:d6")
 def r2_mse(spark, d):
     named = _table(spark, d).join(derived.size_classes(spark, d), "ms_id").withColumn("size_class", size_class("ms_name"))

@@ -97,6 +97,44 @@ def test_strip_union_equals_raster_and_single_cube():
     assert area == pytest.approx(inside.sum() * 0.01 ** 2, rel=2e-3)
 
 
+def test_tiles_add_up_to_the_whole_footprint(spark):
+    """Clipped tiles against the union of whole strips, on flat, oblique and thick sheets of voxels."""
+    rng = np.random.default_rng(5)
+    sheets = {"flat": np.argwhere(np.ones((40, 37, 1), bool)), "thick": np.argwhere(rng.random((25, 20, 3)) < 0.4),
+              "sparse": rng.integers(-60, 60, (120, 3))}
+    normals = {"flat": (0.0, 0.0, 1.0), "thick": (0.2, 0.3, 0.93), "sparse": (0.6, -0.5, 0.62)}
+    rows, planes, want = [], [], {}
+    for name, at in sheets.items():
+        n = np.array(normals[name]) / np.linalg.norm(normals[name])
+        e1 = np.cross(n, (0.0, 1.0, 0.0))
+        e1 /= np.linalg.norm(e1)
+        e2, centre = np.cross(n, e1), at.mean(axis=0)
+        rows += [(name, *map(int, v)) for v in at]
+        planes.append((name, [float(v) for v in (*n, *e1, *e2)], *map(float, centre)))
+        px, py = (at - centre) @ e1, (at - centre) @ e2
+        want[name] = sum(geometry.strip_union_area(px, py, e1, e2, y, y + 7) for y in np.arange(-112.0, 112.0, 7))
+    got = geometry.footprint_areas(spark.createDataFrame(rows, "k string, x long, y long, z long"),
+                                   spark.createDataFrame(planes, "k string, plane array<double>, tx double, ty double, tz double"), ["k"])
+    assert {r["k"]: r["footprint"] for r in got.collect()} == pytest.approx(want, rel=1e-9)
+    assert want["flat"] == pytest.approx(40 * 37)
+
+
+def test_footprint_groups_do_not_grow_with_the_plane(spark, monkeypatch):
+    """A flat throat of n x n voxels is cut into groups of one tile, and equal tiles are worked out alike."""
+    held = []
+    for n in (30, 200):
+        at = spark.range(n * n).select(F.lit("a").alias("k"), (F.col("id") % n).alias("x"), F.floor(F.col("id") / n).alias("y"), F.lit(0).alias("z"))
+        plane = spark.createDataFrame([("a", [0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0], 0.0, 0.0, 0.0)],
+                                      "k string, plane array<double>, tx double, ty double, tz double")
+        sizes = []
+        monkeypatch.setattr(geometry, "_tile_area", lambda px, py, p: sizes.append(F.size(px)) or F.size(px).cast("double"))
+        most = geometry.footprint_areas(at, plane, ["k"])  # the sum over tiles of the rows in each
+        held.append(most.first()["footprint"] / n ** 2)
+        monkeypatch.undo()
+        assert geometry.footprint_areas(at, plane, ["k"]).first()["footprint"] == pytest.approx(n * n)
+    assert max(held) < 1.3  # a voxel is in little more than one tile
+
+
 def test_flat_throat_normal_and_area(spark):
     """Two slabs that touch in a 3x4 plane: normal x, footprint of both layers 12."""
     body = np.zeros((4, 3, 4), int)
