@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from porespark.operators.grid import AXES, node_id
-from porespark.plans.lineage import checkpoint_dir, cut
+from porespark.plans.lineage import checkpoint_dir, cut, even
 from porespark.plans.packing import PACK_ROWS
 
 TILE_EDGE = 32
@@ -45,10 +45,10 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = _both_ways(state)
         low = both.groupBy("ms_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (both.filter("v > u").join(low, ["ms_id", "u"])
+        large = (both.filter("v > u").join(even(low), ["ms_id", "u"])
                  .select("ms_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("ms_id", "u").agg(F.min("v").alias("m"))
-        small = (large.join(low, ["ms_id", "u"]).filter("v <> m")
+        small = (large.join(even(low), ["ms_id", "u"]).filter("v <> m")
                  .select("ms_id", F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("ms_id", "u", F.col("m").alias("v"))).distinct())
         state = cut(small)
@@ -118,13 +118,13 @@ def grid_components(pore: DataFrame, tile: int = TILE_EDGE) -> DataFrame:
             F.col("root").alias("u"))
         far = labelled.filter((F.col(axis) % tile == 0) & (F.col(axis) > 0)).select(
             "ms_id", *AXES, F.col("root").alias("v"))
-        pair = near.join(far, ["ms_id", *AXES]).select("ms_id", "u", "v").distinct()
+        pair = near.join(even(far), ["ms_id", *AXES]).select("ms_id", "u", "v").distinct()
         contacts = pair if contacts is None else contacts.unionByName(pair)
     contacts = cut(contacts)
     if contacts.isEmpty():
         return labelled.select("ms_id", "node_id", F.col("root").alias("component"))
     merged = components(contacts).select("ms_id", F.col("node").alias("root"), "component")
-    return (labelled.join(merged, ["ms_id", "root"], "left")
+    return (labelled.join(even(merged), ["ms_id", "root"], "left")
             .select("ms_id", "node_id", F.coalesce("component", "root").alias("component")))
 
 
@@ -164,9 +164,9 @@ def reachable(arcs: DataFrame, start: DataFrame) -> DataFrame:
 
     frontier = append(first)
     while not frontier.isEmpty():
-        step = (arcs.join(frontier.withColumnRenamed("node", "tail"), ["ms_id", "tail"])
+        step = (arcs.join(even(frontier.withColumnRenamed("node", "tail")), ["ms_id", "tail"])
                 .select("ms_id", F.col("head").alias("node")).distinct())
-        frontier = append(step.join(visited(rounds), ["ms_id", "node"], "left_anti"))
+        frontier = append(step.join(even(visited(rounds)), ["ms_id", "node"], "left_anti"))
     return visited(rounds)
 
 
@@ -178,7 +178,7 @@ def prune_to_sink(dag: DataFrame) -> DataFrame:
     sinks = dag.filter("kind = 2").select("ms_id", F.col("up").alias("node"))
     internal = dag.filter("kind = 0").select("ms_id", F.col("dn").alias("tail"), F.col("up").alias("head"))
     alive = reachable(internal, sinks)
-    ends = dag.filter("kind <> 2").join(alive.withColumnRenamed("node", "dn"), ["ms_id", "dn"], "left_semi")
+    ends = dag.filter("kind <> 2").join(even(alive.withColumnRenamed("node", "dn")), ["ms_id", "dn"], "left_semi")
     return ends.select(*dag.columns).unionByName(dag.filter("kind = 2"))
 
 
@@ -186,7 +186,7 @@ def through_flow(arcs: DataFrame, inlets: DataFrame, outlets: DataFrame) -> Data
     """Nodes on a directed inlet -> outlet route (K9): forward AND backward reach."""
     forward = reachable(arcs, inlets)
     backward = reachable(arcs.select("ms_id", F.col("head").alias("tail"), F.col("tail").alias("head")), outlets)
-    return forward.join(backward, ["ms_id", "node"], "left_semi")
+    return forward.join(even(backward), ["ms_id", "node"], "left_semi")
 
 
 def boundary_connected(links: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def boundary_connected(links: DataFrame, bodies: DataFrame) -> DataFrame:
     alive = cut(bodies.select("ms_id", "body_id", "is_inlet", "is_outlet").distinct())
     links = cut(links.select("ms_id", "i", "j").filter("i <> j").distinct())
     while True:
-        keep = alive.select("ms_id", "body_id")
+        keep = even(alive.select("ms_id", "body_id"))
         live = (links.join(keep.withColumnRenamed("body_id", "i"), ["ms_id", "i"], "left_semi")
                 .join(keep.withColumnRenamed("body_id", "j"), ["ms_id", "j"], "left_semi")
                 .select("ms_id", F.col("i").alias("u"), F.col("j").alias("v")))
@@ -208,10 +208,10 @@ def boundary_connected(links: DataFrame, bodies: DataFrame) -> DataFrame:
         comp = components(live).withColumnRenamed("node", "body_id")
         degree = (_both_ways(live).distinct().groupBy("ms_id", F.col("u").alias("body_id"))
                   .agg(F.count(F.lit(1)).alias("n_nbr")))
-        tagged = alive.join(comp, ["ms_id", "body_id"], "left").join(degree, ["ms_id", "body_id"], "left")
+        tagged = alive.join(even(comp), ["ms_id", "body_id"], "left").join(even(degree), ["ms_id", "body_id"], "left")
         flags = (tagged.filter("component is not null").groupBy("ms_id", "component")
                  .agg(F.bool_or("is_inlet").alias("in_c"), F.bool_or("is_outlet").alias("out_c")))
-        tagged = tagged.join(flags, ["ms_id", "component"], "left")
+        tagged = tagged.join(even(flags), ["ms_id", "component"], "left")
         n = F.coalesce("n_nbr", F.lit(0))
         to_in, to_out = F.coalesce("in_c", F.lit(False)), F.coalesce("out_c", F.lit(False))
         ok = (F.when(F.col("is_inlet"), (n >= 1) & to_out)
@@ -222,5 +222,5 @@ def boundary_connected(links: DataFrame, bodies: DataFrame) -> DataFrame:
             break
         alive = nxt
     return (bodies.select("ms_id", "body_id")
-            .join(alive.select("ms_id", "body_id", F.lit(True).alias("active")), ["ms_id", "body_id"], "left")
+            .join(even(alive.select("ms_id", "body_id", F.lit(True).alias("active"))), ["ms_id", "body_id"], "left")
             .select("ms_id", "body_id", F.coalesce("active", F.lit(False)).alias("active")))

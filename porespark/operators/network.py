@@ -10,6 +10,7 @@ from porespark.functions.scalar import MIN_LENGTH, segment_resistance
 from porespark.operators import graph
 from porespark.operators.grid import AXES
 from porespark.operators.solve import RELATIVE_TOL, solve_recorded
+from porespark.plans.lineage import even
 
 DROP_FLOOR = 1e-12
 
@@ -42,7 +43,7 @@ def with_terminals(bodies: DataFrame, shape: DataFrame, direction: str = "x") ->
 def network_links(flat: DataFrame, bodies: DataFrame, delta_v: float) -> DataFrame:
     """Links of the reduced system: held bodies leave, their throats become held links."""
     held = F.when(F.col("is_inlet"), F.lit(float(delta_v))).when(F.col("is_outlet"), F.lit(0.0))
-    end = bodies.select("ms_id", "body_id", held.alias("held"))
+    end = even(bodies.select("ms_id", "body_id", held.alias("held")))
     t = (flat.filter("i is not null and j is not null").select("ms_id", "i", "j", "g")
          .join(end.select("ms_id", F.col("body_id").alias("i"), F.col("held").alias("hi")), ["ms_id", "i"])
          .join(end.select("ms_id", F.col("body_id").alias("j"), F.col("held").alias("hj")), ["ms_id", "j"]))
@@ -58,7 +59,7 @@ def network_solution(flat: DataFrame, bodies: DataFrame, delta_v: float = 1.0,
     """``bodies`` with ``phi`` and the record of the solve; isolated and floating bodies sit at zero (K3, Q10)."""
     solved, record = solve_recorded(network_links(flat, bodies, delta_v), RELATIVE_TOL, kernel_rows)
     held = F.when(F.col("is_inlet"), F.lit(float(delta_v))).when(F.col("is_outlet"), F.lit(0.0))
-    return (bodies.join(solved.withColumnRenamed("node_id", "body_id"), ["ms_id", "body_id"], "left")
+    return (bodies.join(even(solved.withColumnRenamed("node_id", "body_id")), ["ms_id", "body_id"], "left")
             .withColumn("phi", F.coalesce(held, "phi", F.lit(0.0)))), record
 
 
@@ -74,7 +75,7 @@ def with_currents(flat: DataFrame, bodies: DataFrame, delta_v: float = 1.0) -> D
     A drop below DROP_FLOOR of the applied one is solver rounding and counts as
     zero, so a network that does not percolate carries exactly no current.
     """
-    end = bodies.select("ms_id", "body_id", "phi", "is_inlet", "is_outlet")
+    end = even(bodies.select("ms_id", "body_id", "phi", "is_inlet", "is_outlet"))
     t = flat
     for k, e in (("i", "i"), ("j", "j")):
         t = t.join(end.select("ms_id", F.col("body_id").alias(e), F.col("phi").alias(f"phi_{k}"),

@@ -9,7 +9,7 @@ from porespark.config import NetworkConfig
 from porespark.functions.scalar import RATIO_LIMIT, distance3
 from porespark.operators import geometry, grid
 from porespark.operators.grid import AXES
-from porespark.plans.lineage import cut
+from porespark.plans.lineage import cut, even
 from porespark.plans.ordering import with_position
 
 
@@ -49,7 +49,7 @@ def extract_throats(vox: DataFrame, bodies: DataFrame, cfg: NetworkConfig,
         F.count(F.lit(1)).alias("volume_voxels"), *[F.avg(a).alias(f"t{a}") for a in AXES],
         F.max("edt").alias("max_radius"), *geometry.moment_columns())
     agg = agg.filter(F.col("volume_voxels") >= cfg.min_throat_size)
-    ends = bodies.select("ms_id", "body_id", "cx", "cy", "cz", "is_surface")
+    ends = even(bodies.select("ms_id", "body_id", "cx", "cy", "cz", "is_surface"))
     for k in ("1", "2"):
         agg = agg.join(ends.select("ms_id", F.col("body_id").alias(f"b{k}"),
                                    *[F.col(f"c{a}").alias(f"c{k}{a}") for a in AXES],
@@ -130,8 +130,8 @@ def effective_geometry(throats: DataFrame, bodies: DataFrame, cfg: NetworkConfig
     and a ``warning`` (J6, J7, Q17).
     """
     t = throats.withColumn("area_t", selected_area(cfg.area_method))
-    ends = (bodies.select("ms_id", "body_id", "volume_voxels", "cx", "cy", "cz")
-            .join(coordination(t), ["ms_id", "body_id"]))
+    ends = even(bodies.select("ms_id", "body_id", "volume_voxels", "cx", "cy", "cz")
+                .join(even(coordination(t)), ["ms_id", "body_id"]))
     for k in ("1", "2"):
         side = ends.select("ms_id", F.col("body_id").alias(f"body{k}_id"), F.col("volume_voxels").alias(f"vol{k}"),
                            *[F.col(f"c{a}").alias(f"c{k}{a}") for a in AXES],
