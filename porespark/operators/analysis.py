@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from porespark.functions import stats
 from porespark.functions.scalar import classify, top_count
 from porespark.operators.grid import AXES
-from porespark.plans.lineage import cut
+from porespark.plans.lineage import cut, even
 from porespark.plans.ordering import group_quantiles, with_position, with_positions, with_running_sum
 
 
@@ -23,10 +23,10 @@ def throat_table(currents: DataFrame, bodies: DataFrame, interfaces: DataFrame,
     t = t.withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
     face = interfaces.select("ms_id", "lo", "hi", F.col("r_throat"), F.col("voxel_count").alias("a_interface_voxels"),
                              F.col("c0").alias("centroid_z"), F.col("c1").alias("centroid_y"), F.col("c2").alias("centroid_x"))
-    t = t.join(face, ["ms_id", "lo", "hi"], "left")
+    t = t.join(even(face), ["ms_id", "lo", "hi"], "left")
     degree = (t.select("ms_id", F.explode(F.array("i", "j")).alias("body_id")).groupBy("ms_id", "body_id")
               .agg(F.count(F.lit(1)).alias("z")))
-    ends = bodies.select("ms_id", "body_id", "max_radius").join(degree, ["ms_id", "body_id"])
+    ends = even(bodies.select("ms_id", "body_id", "max_radius").join(even(degree), ["ms_id", "body_id"]))
     for k, end in (("1", "i"), ("2", "j")):
         t = t.join(ends.select("ms_id", F.col("body_id").alias(end), F.col("max_radius").alias(f"r_body{k}"), F.col("z").alias(f"z_body{k}")),
                    ["ms_id", end])
@@ -199,7 +199,7 @@ def body_table(bodies: DataFrame, annotated: DataFrame, conducting: DataFrame, s
     touch = (annotated.select("ms_id", F.explode(F.array("body1", "body2")).alias("body_id"), *FLAGS)
              .groupBy("ms_id", "body_id").agg(*[F.bool_or(k).alias(v) for k, v in FLAGS.items()]))
     name = AXES[axis]
-    b = (bodies.join(conducting, ["ms_id", "body_id"]).join(touch, ["ms_id", "body_id"], "left")
+    b = (bodies.join(even(conducting), ["ms_id", "body_id"]).join(even(touch), ["ms_id", "body_id"], "left")
          .join(shape.select("ms_id", F.col(f"n{name}").alias("_n")), "ms_id"))
     flags = [F.coalesce(v, F.lit(False)).alias(v) for v in FLAGS.values()]
     b = b.select("ms_id", "body_id", F.col("volume_voxels").alias("volume"), F.col("max_radius").alias("r_body"), "z_coordination",
@@ -234,7 +234,7 @@ def _tree(sites: DataFrame, keys: list[str], p: list[str], leaf: int) -> tuple[l
     sites.  It is halved in the middle of that box, so at least two parts hold sites and
     a tight cluster is split as fast as a wide one, whatever lies far from it.
     """
-    level, cells, placed = cut(sites.select(*keys, *p, F.lit("").alias("cell"))), [], None
+    level, cells, placed = sites.select(*keys, *p, F.lit("").alias("cell")), [], None
     while True:
         box = cut(level.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"lo_{c}") for c in p],
                                                    *[F.max(c).alias(f"hi_{c}") for c in p]))
@@ -253,8 +253,10 @@ def _tree(sites: DataFrame, keys: list[str], p: list[str], leaf: int) -> tuple[l
 def nearest_neighbours(points: DataFrame, keys: list[str], point_id: str, coords: list[str], leaf: int = LEAF_POINTS) -> DataFrame:
     """Distance of every point to its nearest other point in its group.
 
-    An octree with at most ``leaf`` distinct sites in a leaf is built level by level.
-    All points then go down it together: a point keeps the cells that may hold its
+    A group of at most four times ``leaf`` points is one row of points that are compared in
+    their task, so that many small groups cost one exchange.  For the others an octree with at most
+    ``leaf`` distinct sites in a leaf is built level by level.
+    Their points then go down it together: a point keeps the cells that may hold its
     nearest neighbour - no farther than the far corner of a cell that does hold another
     point - and looks at sites in the leaves that remain.  Groups are never crossed with
     themselves; coincident points are settled by a count.  Points alone in their group
@@ -262,9 +264,45 @@ def nearest_neighbours(points: DataFrame, keys: list[str], point_id: str, coords
     """
     p = [f"p{i}" for i in range(len(coords))]
     pts = cut(points.select(*keys, F.col(point_id).alias("pid"), *[F.col(c).cast("double").alias(q) for q, c in zip(p, coords)]))
+    big = cut(pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 4 * leaf).select(*keys))
+    if big.isEmpty():
+        found = _within_rows(pts, keys, p)
+    else:
+        found = _within_rows(pts.join(big, keys, "left_anti"), keys, p).unionByName(_down_tree(cut(pts.join(big, keys, "left_semi")), keys, p, leaf))
+    return found.select(*keys, F.col("pid").alias(point_id), "nn")
+
+
+def _apart(p: list[str], a, b) -> tuple[Column, Column]:
+    """Whether two sites differ, and the square of their distance."""
+    same = F.lit(True)
+    for c in p:
+        same = same & (a(c) == b(c))
+    return ~same, sum(((a(c) - b(c)) * (a(c) - b(c)) for c in p), F.lit(0.0))
+
+
+def _within_rows(pts: DataFrame, keys: list[str], p: list[str]) -> DataFrame:
+    """Nearest other point in groups of a few points, group by group."""
+    known = pts.filter(" and ".join(f"{k} is not null" for k in keys))
+    rows = known.groupBy(*keys).agg(F.collect_list(F.struct(*p, "pid")).alias("_all"))
+    # the pairs of a group stay in its task: they are grouped by the same keys
+    pairs = (rows.select(*keys, "_all", F.posexplode("_all").alias("_at", "_a"))
+             .select(*keys, "_at", "_a", F.explode("_all").alias("_b")))
+    same, whole = F.lit(True), F.lit(True)
+    for c in p:
+        same = same & F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}"))
+        whole = whole & F.col(f"_a.{c}").isNotNull()
+    differ, d2 = _apart(p, lambda c: F.col(f"_a.{c}"), lambda c: F.col(f"_b.{c}"))
+    seen = pairs.groupBy(*keys, "_at", F.col("_a.pid").alias("pid")).agg(
+        F.count_if(same).alias("_n"), F.count_if(differ).alias("_others"), F.count_if(whole).alias("_whole"), F.min(F.when(differ, d2)).alias("_d2"))
+    single = F.col("_n") == 1
+    return (seen.filter((single & (F.col("_others") > 0)) | (~single & (F.col("_whole") > 0)))
+            .select(*keys, "pid", F.when(single, F.sqrt("_d2")).otherwise(0.0).alias("nn")))
+
+
+def _down_tree(pts: DataFrame, keys: list[str], p: list[str], leaf: int) -> DataFrame:
+    """Nearest other point by way of the octree."""
     sites = cut(pts.groupBy(*keys, *p).agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("sid")))
     cells, placed = _tree(sites, keys, p, leaf)
-    placed = cut(placed)
     gaps = {c: F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0)) for c in p}
     least = sum((g * g for g in gaps.values()), F.lit(0.0))
     far = {c: F.greatest(F.abs(F.col(f"lo_{c}") - F.col(c)), F.abs(F.col(c) - F.col(f"hi_{c}"))) for c in p}
@@ -284,14 +322,11 @@ def nearest_neighbours(points: DataFrame, keys: list[str], point_id: str, coords
         front = met.filter(F.col("n") > leaf).select(*keys, *p, "sid", F.col("cell").alias("parent"), "reach")
     left = leaves.withColumn("reach", F.min("reach").over(own)).filter(F.col("least") <= F.col("reach") * (1 + 1e-9))
     sought = placed.select(*keys, "cell", *[F.col(c).alias(f"q{c}") for c in p])
-    same = F.lit(True)
-    for c in p:
-        same = same & (F.col(c) == F.col(f"q{c}"))
-    d2 = sum(((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in p), F.lit(0.0))
-    found = (left.join(sought, [*keys, "cell"]).filter(~same).groupBy(*keys, "sid").agg(F.sqrt(F.min(d2)).alias("nn"))
+    differ, d2 = _apart(p, F.col, lambda c: F.col(f"q{c}"))
+    found = (left.join(sought, [*keys, "cell"]).filter(differ).groupBy(*keys, "sid").agg(F.sqrt(F.min(d2)).alias("nn"))
              .withColumnRenamed("sid", "pid"))
     twins = pts.join(sites.filter("n > 1").select(*keys, *p), [*keys, *p], "left_semi").select(*keys, "pid", F.lit(0.0).alias("nn"))
-    return found.unionByName(twins).select(*keys, F.col("pid").alias(point_id), "nn")
+    return found.unionByName(twins)
 
 
 def drawn_subsets(points: DataFrame, sizes: DataFrame, point_id: str, n_draws: int = 1, seed: int = 0) -> DataFrame:
@@ -304,14 +339,16 @@ def drawn_subsets(points: DataFrame, sizes: DataFrame, point_id: str, n_draws: i
     depends on seed, draw and ids alone, no task sees a whole sample.
     """
     text = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("ms_id").cast("string"), F.col(point_id).cast("string")))
-    share = F.conv(F.substring("_h", 1, 13), 16, 10).cast("double") / float(1 << 52)
+    share = F.conv(F.substring("_hex", 1, 13), 16, 10).cast("double") / float(1 << 52)
     some = F.col("n_pick") + 4 * F.sqrt(F.col("n_pick")) + 4
     pending = cut(sizes.filter("n_pick > 0").select("ms_id", F.least("n_pick", "n_total").alias("n_pick"), "n_total", (some / F.col("n_total")).alias("_top"),
                                                     F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw")))
     slim = points.select("ms_id", point_id)
     out = None
     while True:
-        tried = slim.join(pending, "ms_id").withColumn("_h", text).filter(share < F.col("_top"))
+        # digests as bytes keep their order in half the room
+        tried = (slim.join(pending, "ms_id").withColumn("_hex", text).filter(share < F.col("_top"))
+                 .select("ms_id", "draw", point_id, "n_pick", F.unhex("_hex").alias("_h")))
         placed = with_position(tried, ["ms_id", "draw"], [F.col("_h").asc(), F.col(point_id).asc()], "_pos").filter(F.col("_pos") <= F.col("n_pick"))
         placed = cut(placed.select("ms_id", "draw", point_id))
         found = placed.groupBy("ms_id", "draw").agg(F.count(F.lit(1)).alias("_n"))
