@@ -9,6 +9,7 @@ tasks and only per-partition totals are combined.  Both give the same rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,12 +18,25 @@ from pyspark.sql import functions as F
 from porespark.plans.lineage import cut
 
 WINDOW_ROWS = 2_000_000
+TASK_ROWS = 250_000    # rows of a task that sorts for windows, unless one group has more
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group (two-stage aggregate, one number back)."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return int(row["n"] or 0)
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Row counts of the largest group and of all (two-stage aggregate, two numbers back)."""
+    row = df.groupBy(*keys).count().agg(F.max("count").alias("n"), F.sum("count").alias("all")).first()
+    return int(row["n"] or 0), int(row["all"] or 0)
+
+
+def _tasks(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """``df`` hashed by ``keys`` to tasks of about TASK_ROWS rows, ahead of windows.
+
+    Adaptive coalescing and a fixed shuffle width go by compressed bytes or not by the
+    input at all; the sorts of several windows in one task then grow with the input.
+    """
+    if rows <= TASK_ROWS:
+        return df
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(width, math.ceil(rows / TASK_ROWS)), *keys)
 
 
 def _spread(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -38,9 +52,10 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                   pos: str = "pos", window_rows: int | None = None) -> DataFrame:
     """1-based row number of each row in its group.  ``order`` must be total."""
     limit = WINDOW_ROWS if window_rows is None else window_rows
-    if largest_group(df, keys) <= limit:
+    top, rows = group_sizes(df, keys)
+    if top <= limit:
         w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(pos, F.row_number().over(w).cast("long"))
+        return _tasks(df, keys, rows).withColumn(pos, F.row_number().over(w).cast("long"))
     tagged = _spread(df, keys, order)
     pieces = (tagged.groupBy("_part", *keys)
               .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")))
@@ -56,7 +71,9 @@ def with_positions(df: DataFrame, keys: Sequence[str], orders: dict[str, Sequenc
                    window_rows: int | None = None) -> DataFrame:
     """Several positions at once; one size check, one exchange on the window path."""
     limit = WINDOW_ROWS if window_rows is None else window_rows
-    if largest_group(df, keys) <= limit:
+    top, rows = group_sizes(df, keys)
+    if top <= limit:
+        df = _tasks(df, keys, rows)
         for name, order in orders.items():
             df = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
         return df
@@ -69,10 +86,11 @@ def with_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
                      value: str, out: str, window_rows: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` in each group under a total order."""
     limit = WINDOW_ROWS if window_rows is None else window_rows
-    if largest_group(df, keys) <= limit:
+    top, rows = group_sizes(df, keys)
+    if top <= limit:
         w = (Window.partitionBy(*keys).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.withColumn(out, F.sum(value).over(w))
+        return _tasks(df, keys, rows).withColumn(out, F.sum(value).over(w))
     tagged = _spread(df, keys, order)
     local = (Window.partitionBy("_part", *keys).orderBy("_row")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -90,10 +108,11 @@ def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, tie: Seque
                       out: str, window_rows: int | None = None) -> DataFrame:
     """Tie-averaged ascending rank of a non-null ``value`` in each group."""
     limit = WINDOW_ROWS if window_rows is None else window_rows
-    if largest_group(df, keys) <= limit:
+    top, rows = group_sizes(df, keys)
+    if top <= limit:
         w = Window.partitionBy(*keys).orderBy(value)
         same = Window.partitionBy(*keys, value)
-        return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2.0)
+        return _tasks(df, keys, rows).withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2.0)
     placed = with_position(df, keys, [F.col(value), *[F.col(t) for t in tie]], "_pos", limit)
     ranks = placed.groupBy(*keys, value).agg(F.avg("_pos").alias(out))
     return placed.drop("_pos").join(ranks, [*keys, value])
@@ -104,8 +123,9 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     """Exact linear-interpolated quantiles of the non-null values, one row per group."""
     limit = WINDOW_ROWS if window_rows is None else window_rows
     df = df.filter(F.col(value).isNotNull())
-    if largest_group(df, keys) <= limit:
-        return df.groupBy(*keys).agg(
+    top, rows = group_sizes(df, keys)
+    if top <= limit:
+        return _tasks(df, keys, rows).groupBy(*keys).agg(
             *[F.percentile(F.col(value), F.lit(p)).alias(name) for name, p in probs.items()])
     placed = with_position(df, keys, [F.col(value), *[F.col(t) for t in tie]], "_pos", limit)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
