@@ -121,6 +121,7 @@ def _sketch(k: int, seed: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "digest", "keys"])
+        _HASHES.clear()  # the worker goes on to other stages
 
     return run
 
@@ -139,6 +140,7 @@ def _confirm(k: int, percent: int):
                 both = len(np.intersect1d(base, other, assume_unique=True))
                 good[i] = 100 * both >= percent * (len(base) + len(other) - both)
             yield pairs.loc[good, ["a", "b"]]
+        _HASHES.clear()
 
     return run
 

@@ -100,11 +100,10 @@ class JsonIds:
         self.library.no_truncation()
         self.library.no_padding()
         self.library.encode_special_tokens = plain
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
         self.added = [] if plain else [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.merge = self.library.model.tokenize
-        pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+        # the two steps tell their definitions; the file's vocabulary is not parsed once more beside the library's
+        pre, norm = (json.loads(part.__getstate__()) if part else {} for part in (self.library.pre_tokenizer, self.library.normalizer))
         steps, kinds = pre.get("pretokenizers", []), [n.get("type") for n in norm.get("normalizers", [])]
         self.kind = "other"
         if (pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm):

@@ -308,3 +308,18 @@ def test_steps_are_full_across_tasks(spark):
         full = packing.STEP_WINDOWS * max(1, 2048 // tier)
         mine = [r["n"] for r in sorted(steps, key=lambda r: r["step_id"]) if r["tier"] == tier]
         assert all(n == full for n in mine[:-1]) and 0 < mine[-1] <= full
+
+
+def test_workers_keep_no_more_than_they_need(monkeypatch):
+    import pyarrow as pa
+    import public_tokenizers
+    from porespark.llm import minhash, vocab
+
+    def parsed(*_):
+        raise AssertionError("the whole file is parsed beside the library")
+    monkeypatch.setattr(vocab.json, "load", parsed)
+    assert vocab.JsonIds(public_tokenizers.path("word_bpe_49k.json")).kind == "word"
+    assert vocab.JsonIds(public_tokenizers.path("byte_bpe_50k.json")).kind == "byte"
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b c d e f"])], names=["doc_id", "text"])
+    assert [b.num_rows for b in minhash._sketch(4, 7)(iter([batch]))] == [1]
+    assert not minhash._HASHES
