@@ -90,12 +90,9 @@ def network_dag(currents: DataFrame, bodies: DataFrame, tot: DataFrame) -> DataF
 class _Flow:
     """Out-edge lists of one sample, pruned to edges whose head reaches the sink."""
 
-    def __init__(self, part: pd.DataFrame):
-        part = part.sort_values(["up", "ord", "seq"], kind="mergesort")
-        self.rows = part
-        self.up, self.dn = part["up"].tolist(), part["dn"].tolist()
-        self.left = part["flow"].tolist()
-        self.thr = float(part["thr"].iloc[0])
+    def __init__(self, up: list, dn: list, flow: list, thr: float):
+        """Edges come sorted by tail, ord and seq."""
+        self.up, self.dn, self.left, self.thr = up, dn, flow, thr
         self.drained = []
         into = {}
         for e, head in enumerate(self.dn):
@@ -198,27 +195,37 @@ def _pack_decomposer(method: str):
     run = WALKS[method]
 
     def decompose(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for ms, part in pdf.groupby("ms_id", sort=False):
-            flow = _Flow(part)
+        # one sort and one output for the pack; samples are slices of its lists
+        which, names = pd.factorize(pdf["ms_id"])
+        order = np.lexsort((pdf["seq"], pdf["ord"], pdf["up"], which))
+        order = order[which[order] >= 0]
+        rows, which = pdf.iloc[order], which[order]
+        up, dn, left = rows["up"].tolist(), rows["dn"].tolist(), rows["flow"].tolist()
+        thr, bounds = rows["thr"].to_numpy(float), np.searchsorted(which, np.arange(len(names) + 1)).tolist()
+        taken, numbers, lens, amounts, gone, gone_amounts, places, ledgers = [], [], [], [], [], [], [], []
+        for lo, hi in zip(bounds, bounds[1:]):
+            flow = _Flow(up[lo:hi], dn[lo:hi], left[lo:hi], float(thr[lo]))
             paths, ledger = run(flow)
-            lens = np.array([len(p) for _, p in paths], dtype=int)
-            flat = np.array([e for _, p in paths for e in p], dtype=int)
-            rows = flow.rows.iloc[flat]
-            out.append(pd.DataFrame({
-                "ms_id": ms, "path_id": np.repeat(np.arange(len(paths)), lens),
-                "step": np.concatenate([np.arange(n) for n in lens]) if len(lens) else np.array([], dtype=int),
-                "up": rows["up"].to_numpy(), "dn": rows["dn"].to_numpy(), "kind": rows["kind"].to_numpy(),
-                "edge_id": rows["edge_id"].to_numpy(), "i_gamma": np.repeat([a for a, _ in paths], lens).astype(float),
-                "seg_len": rows["seg_len"].to_numpy(), "dphi": rows["dphi"].to_numpy()}))
-            gone = flow.rows.iloc[[e for e, _ in flow.drained]]
-            out.append(pd.DataFrame({
-                "ms_id": ms, "path_id": -1, "step": np.arange(len(gone)), "up": gone["up"].to_numpy(), "dn": gone["dn"].to_numpy(),
-                "kind": DRAINED, "edge_id": gone["edge_id"].to_numpy(), "i_gamma": [float(a) for _, a in flow.drained],
-                "seg_len": gone["seg_len"].to_numpy(), "dphi": gone["dphi"].to_numpy()}))
-            out.append(pd.DataFrame({"ms_id": [ms], "path_id": [-1], "step": [ledger[0]], "up": [0], "dn": [0], "kind": [LEDGER],
-                                     "edge_id": [-1], "i_gamma": [float(ledger[1])], "seg_len": [0.0], "dphi": [float(ledger[2])]}))
-        return pd.concat(out)[STEP_COLUMNS]
+            for number, (amount, path) in enumerate(paths):
+                taken.extend([lo + e for e in path])
+                numbers.append(number)
+                lens.append(len(path))
+                amounts.append(amount)
+            gone.extend([lo + e for e, _ in flow.drained])
+            gone_amounts.extend([a for _, a in flow.drained])
+            places.extend(range(len(flow.drained)))
+            ledgers.append(ledger)
+        lens = np.array(lens, dtype=int)
+        steps = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+
+        def picked(at: list, path_id, step, amount, **columns) -> pd.DataFrame:
+            found = rows.iloc[np.array(at, dtype=int)][["ms_id", "up", "dn", "kind", "edge_id", "seg_len", "dphi"]].reset_index(drop=True)
+            return found.assign(path_id=path_id, step=step, i_gamma=np.array(amount, dtype=float), **columns)[STEP_COLUMNS]
+        out = [picked(taken, np.repeat(np.array(numbers, dtype=int), lens), steps, np.repeat(np.array(amounts, dtype=float), lens)),
+               picked(gone, -1, np.array(places, dtype=int), gone_amounts, kind=DRAINED),
+               pd.DataFrame({"ms_id": names, "path_id": -1, "step": [n for n, _, _ in ledgers], "up": 0, "dn": 0, "kind": LEDGER, "edge_id": -1,
+                             "i_gamma": [float(lost) for _, lost, _ in ledgers], "seg_len": 0.0, "dphi": [float(rest) for _, _, rest in ledgers]})]
+        return pd.concat([part for part in out if len(part)], ignore_index=True)[STEP_COLUMNS] if ledgers else out[0]
     return decompose
 
 

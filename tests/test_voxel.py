@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,27 @@ def test_chord_metrics_when_configured(spark, images):
     rows = pipelines.voxel_metrics(brute.frame(spark, {"r0": images["r0"], "cuboid": images["cuboid"]}), cfg).collect()
     assert {r["ms_id"] for r in rows} >= {"cuboid"}
     assert all(r["tau_sq_c_chord"] >= r["tau_sq_c"] - 1e-12 for r in rows)
+
+
+def test_greedy_walks_of_a_pack_make_one_table(monkeypatch):
+    """Samples of a pack get the paths they get alone, without tables of their own."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for ms in range(40):
+        for n, (up, dn) in enumerate([(tubes.SOURCE, 1), (tubes.SOURCE, 2), (1, 3), (1, 4), (2, 4), (3, 5), (4, 5), (4, 6), (5, tubes.SINK), (6, tubes.SINK)]):
+            kind = 1 if up == tubes.SOURCE else 2 if dn == tubes.SINK else 0
+            rows.append((ms, up, dn, float(rng.integers(1, 9)), 0.1, kind, n, 1.0, 6 * kind, n, 1.0, 1e-9))
+    pack = pd.DataFrame(rows, columns=tubes.DAG_COLUMNS).sample(frac=1, random_state=0)
+    real, parts = pd.concat, []
+    monkeypatch.setattr(tubes.pd, "concat", lambda found, **x: parts.append(len(found)) or real(found, **x))
+    for method in tubes.WALKS:
+        walk = tubes._pack_decomposer(method)
+        parts.clear()
+        whole = walk(pack)
+        assert parts[0] <= 3
+        by = ["path_id", "kind", "step", "up", "dn"]
+        for ms, part in pack.groupby("ms_id"):
+            mine = whole[whole["ms_id"] == ms].sort_values(by).reset_index(drop=True)
+            pd.testing.assert_frame_equal(mine, walk(part).sort_values(by).reset_index(drop=True), check_dtype=False)
+            assert (mine["kind"] == tubes.LEDGER).sum() == 1
+    assert whole["path_id"].max() > 0
