@@ -130,9 +130,9 @@ def merge_graph(first: DataFrame, links: DataFrame) -> DataFrame:
 
 def _with_pending(info: DataFrame, links: DataFrame, stage: str) -> DataFrame:
     """``info`` with the labels that a pass will take up: those with neighbours, all of them on a face."""
-    inner = links.join(info.filter("not face").select("ms_id", F.col("body").alias("other")), ["ms_id", "other"], "left_semi")
-    near = (links.select("ms_id", "body").distinct().join(inner.select("ms_id", "body").distinct(), ["ms_id", "body"], "left_anti")
-            .withColumn("alone", F.lit(True)))
+    far = info.select("ms_id", F.col("body").alias("other"), F.col("face").alias("_oface"))
+    near = (links.join(far, ["ms_id", "other"], "left").groupBy("ms_id", "body")
+            .agg(F.bool_and(F.coalesce("_oface", F.lit(True))).alias("alone")))
     kind = F.col("face") if stage == "face" else ~F.col("face")
     return cut(info.join(near, ["ms_id", "body"], "left")
                .select("ms_id", "body", "size", "face", (F.coalesce("alone", F.lit(False)) & kind).alias("pending")))
@@ -166,12 +166,13 @@ def _face_round(state: DataFrame, links: DataFrame) -> DataFrame:
     larger than any other by more than all pending sizes, no order of merges lets
     another win.  So a hub with many small neighbours takes one round.
     """
-    far = state.filter("pending").select("ms_id", F.col("body").alias("other"), F.col("body").alias("_p"))
-    # lowest pending label within one contact of every label, then within two
-    at_one = (links.join(far, ["ms_id", "other"]).select("ms_id", "body", "_p")
-              .unionByName(state.filter("pending").select("ms_id", "body", F.col("body").alias("_p")))
-              .groupBy("ms_id", "body").agg(F.min("_p").alias("_p")))
-    at_two = (links.join(at_one.withColumnRenamed("body", "other"), ["ms_id", "other"]).groupBy("ms_id", "body").agg(F.min("_p").alias("_low")))
+    # only contacts of pending labels count: lowest pending label within one contact of a neighbour, then within two
+    options = cut(_options(state, links))
+    pending = state.filter("pending").select("ms_id", "body")
+    at_one = (options.select("ms_id", "other", F.col("body").alias("_p"))
+              .unionByName(pending.select("ms_id", F.col("body").alias("other"), F.col("body").alias("_p")))
+              .groupBy("ms_id", "other").agg(F.min("_p").alias("_p")))
+    at_two = options.select("ms_id", "body", "other").join(at_one, ["ms_id", "other"]).groupBy("ms_id", "body").agg(F.min("_p").alias("_low"))
     top = state.filter("face").groupBy("ms_id").agg(
         F.max_by("body", F.struct("size", -F.col("body"))).alias("_top"), F.max("size").alias("_most"),
         F.sum(F.when(F.col("pending"), F.col("size"))).alias("_all"))
@@ -181,8 +182,7 @@ def _face_round(state: DataFrame, links: DataFrame) -> DataFrame:
     others = F.col("_all") - F.when(F.col("_leaves"), F.col("_most")).otherwise(0)  # what may go into another than the largest
     clear = (top.join(second, "ms_id", "left").join(gone_top, ["ms_id", "_top"], "left")
              .filter(F.col("_most") > F.coalesce("_next", F.lit(0)) + others).select("ms_id", "_top", "_leaves"))
-    best = _options(state, links).groupBy("ms_id", "body").agg(_largest().alias("into"))
-    pending = state.filter("pending").select("ms_id", "body")
+    best = options.groupBy("ms_id", "body").agg(_largest().alias("into"))
     rated = (pending.join(best, ["ms_id", "body"], "left").join(at_two, ["ms_id", "body"], "left")
              .join(clear, "ms_id", "left")
              .select("ms_id", "body", "into", (F.coalesce("_low", "body") >= F.col("body")).alias("free"),
@@ -198,7 +198,7 @@ def _short_round(state: DataFrame, links: DataFrame) -> DataFrame:
     it, or if it and all lower pending labels of its sample are sure: their largest
     target stays ahead of each other one even if all labels around that go into it.
     """
-    options = _options(state, links)
+    options = cut(_options(state, links))
     around = options.groupBy("ms_id", "other").agg(F.min("body").alias("_first"), F.sum("own").alias("_gain"))
     seen = options.join(around, ["ms_id", "other"])
     best = seen.groupBy("ms_id", "body").agg(_largest().alias("into"), F.max("osize").alias("_most"), F.min("_first").alias("_low"))

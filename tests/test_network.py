@@ -10,6 +10,7 @@ import brute
 from porespark.config import NetworkConfig
 from porespark.operators import analysis, bodies, geometry, graph, grid, network, solve, throats, tubes, whatif
 from porespark.plans import pipelines
+from porespark.plans.lineage import cut
 
 
 @pytest.fixture(scope="module")
@@ -74,6 +75,26 @@ def test_merges_follow_the_sequential_rule(spark, monkeypatch):
     assert len(rounds) < 24  # not one for each of the 120 labels around the hubs
 
 
+def test_a_round_of_merges_reads_the_contacts_once(spark):
+    """What a label sees within two contacts comes from the contacts of pending labels, not from joins of all contacts."""
+    graphs = list(_random_graphs())
+    info = spark.createDataFrame([(m, b, n, b in face) for m, size, face, _ in graphs for b, n in size.items()],
+                                 "ms_id string, body long, size long, face boolean")
+    links = cut(spark.createDataFrame([(m, *x) for m, _, _, pairs in graphs for a, b in pairs for x in ((a, b), (b, a))],
+                                      "ms_id string, body long, other long").distinct())
+    for stage, round_of in (("face", bodies._face_round), ("short", bodies._short_round)):
+        state = bodies._with_pending(info, links, stage)
+        pick = round_of(state, links)
+        assert not set(pick.inputFiles()) & set(links.inputFiles())
+        near = {}
+        for m, b, o in links.collect():
+            near.setdefault((m, b), set()).add(o)
+        face = {(r["ms_id"], r["body"]): r["face"] for r in info.collect()}
+        want = {k for k, others in near.items() if face[k] == (stage == "face") and all(face[k[0], o] for o in others)}
+        assert {(r["ms_id"], r["body"]) for r in state.filter("pending").collect()} == want
+        assert want and {(r["ms_id"], r["body"]) for r in pick.collect()} <= want
+
+
 def test_strip_union_equals_raster_and_single_cube():
     n = np.array([1.0, 2.0, 2.0]) / 3
     e1 = np.array([2.0, -2.0, 1.0]) / 3
