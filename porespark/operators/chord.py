@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from porespark.config import VoxelConfig
 from porespark.operators import grid
 from porespark.operators.grid import AXES, node_coords
+from porespark.plans.lineage import cut, even
+
+
+# what tells one bend of a sample from another, whatever path takes it
+BEND = ["code1", "code2", "a", "b", *AXES]
 
 
 def path_runs(steps: DataFrame) -> DataFrame:
@@ -60,19 +65,23 @@ def box_test(bend: DataFrame, pore: DataFrame, vox_shape: DataFrame, sat: DataFr
         start = F.col(name) - F.ceil("a").cast("int") * _along("code1", i)
         end = F.col(name) + F.ceil("b").cast("int") * _along("code2", i)
         lo[name], hi[name] = F.least(start, end), F.greatest(start, end)
-    boxes = bend.join(vox_shape, "ms_id")
+    # many paths take the same bend: its box is counted once for all of them
+    places = bend.filter((F.col("a") > 0) & (F.col("b") > 0) & (F.col("gain") > 0)).select("ms_id", *BEND).distinct()
+    boxes = places.join(vox_shape, "ms_id")
     boxes = boxes.select("*", *[lo[a].alias(f"lo_{a}") for a in AXES], *[hi[a].alias(f"hi_{a}") for a in AXES])
     inside, volume = F.lit(True), F.lit(1)
     for a in AXES:
         inside = inside & (F.col(f"lo_{a}") >= 0) & (F.col(f"hi_{a}") < F.col(f"n{a}"))
         volume = volume * (F.col(f"hi_{a}") - F.col(f"lo_{a}") + 1)
-    live = boxes.filter((F.col("a") > 0) & (F.col("b") > 0) & (F.col("gain") > 0))
-    counted = grid.box_counts(live.filter(inside), sat, ["path_id", "run"])
-    keys = ["ms_id", "path_id", "run"]
-    out = boxes.join(counted, keys, "left")
+    # a box's corners have the axes' names, so the place of the bend goes by others
+    held = {a: f"at_{a}" for a in AXES}
+    named = [held.get(c, c) for c in BEND] + ["volume"]
+    counted = grid.box_counts(boxes.filter(inside).withColumn("volume", volume).withColumnsRenamed(held), sat, named)
+    fits = counted.select("ms_id", *[F.col(held.get(c, c)).alias(c) for c in BEND], (F.col("n_inside") == F.col("volume")).alias("fits"))
+    out = bend.join(even(fits), ["ms_id", *BEND], "left")
     candidate = (F.col("a") > 0) & (F.col("b") > 0) & (F.col("gain") > 0)
-    fits = F.coalesce(inside & (F.col("n_inside") == volume), F.lit(False))
-    return out.select(*keys, "gain", (candidate & fits).alias("accepted"), (candidate & ~fits).alias("rejected"))
+    fits = F.coalesce("fits", F.lit(False))
+    return out.select("ms_id", "path_id", "run", "gain", (candidate & fits).alias("accepted"), (candidate & ~fits).alias("rejected"))
 
 
 def sample_test(bend: DataFrame, pore: DataFrame, samples_per_dx: int) -> DataFrame:
@@ -80,26 +89,31 @@ def sample_test(bend: DataFrame, pore: DataFrame, samples_per_dx: int) -> DataFr
 
     The number of samples is bounded by the bend radius.
     """
-    keys = ["ms_id", "path_id", "run"]
-    live = bend.filter((F.col("a") > 0) & (F.col("b") > 0))
+    keys = ["ms_id", *BEND]
+    # many paths take the same bend: its chord is sampled once for all of them
+    live = bend.filter((F.col("a") > 0) & (F.col("b") > 0)).select(*keys, "chord").distinct()
     ends = []
     for i, name in enumerate(AXES):
         ends += [(F.col(name) - F.col("a") * _along("code1", i)).alias(f"s{name}"),
                  (F.col("a") * _along("code1", i) + F.col("b") * _along("code2", i)).alias(f"d{name}")]
     ns = F.greatest(F.lit(2), (F.ceil(F.col("chord") * samples_per_dx) + 1).cast("int"))
-    pts = live.select(*keys, *ends, ns.alias("ns")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)))
+    held = {a: f"at_{a}" for a in AXES}
+    place = ["ms_id", *[held.get(c, c) for c in BEND]]
+    pts = live.select("ms_id", *[F.col(c).alias(held.get(c, c)) for c in BEND], *ends, ns.alias("ns")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)))
     t = F.when(F.col("k") == F.col("ns") - 1, 1.0).otherwise(F.col("k") * (1.0 / (F.col("ns") - 1)))
-    hit = pts.select(*keys, *[F.floor(F.col(f"s{a}") + t * F.col(f"d{a}") + 0.5).cast("int").alias(a) for a in AXES]).distinct()
+    hit = pts.select(*place, *[F.floor(F.col(f"s{a}") + t * F.col(f"d{a}") + 0.5).cast("int").alias(a) for a in AXES]).distinct()
     ok = (hit.join(pore.select("ms_id", *AXES, F.lit(True).alias("in_pore")), ["ms_id", *AXES], "left")
-          .groupBy(*keys).agg(F.bool_and(F.coalesce("in_pore", F.lit(False))).alias("clear")))
-    out = live.join(ok, keys)
+          .groupBy(*place).agg(F.bool_and(F.coalesce("in_pore", F.lit(False))).alias("clear")))
+    clear = ok.select("ms_id", *[F.col(held.get(c, c)).alias(c) for c in BEND], "clear")
+    out = bend.join(even(clear), keys, "left")
     good = F.col("clear") & (F.col("gain") > 0)
-    return out.select(*keys, "gain", good.alias("accepted"), (~good).alias("rejected"))
+    # a bend without arms is neither
+    return out.select("ms_id", "path_id", "run", "gain", F.coalesce(good, F.lit(False)).alias("accepted"), F.coalesce(~good, F.lit(False)).alias("rejected"))
 
 
 def corrected_lengths(steps: DataFrame, tubes: DataFrame, nodes: DataFrame, cfg: VoxelConfig, test: str = "box") -> DataFrame:
     """Tubes with ``l_gamma_chord`` and bend counts; ``test`` is box, sampler or none."""
-    bend = bends(steps, cfg.bend_radius_vox)
+    bend = cut(bends(steps, cfg.bend_radius_vox))
     if test == "none" or not cfg.require_chord_inside_phase:
         live = (F.col("a") > 0) & (F.col("b") > 0) & (F.col("gain") > 0)
         judged = bend.select("ms_id", "path_id", "run", "gain", live.alias("accepted"), F.lit(False).alias("rejected"))
@@ -108,11 +122,11 @@ def corrected_lengths(steps: DataFrame, tubes: DataFrame, nodes: DataFrame, cfg:
         judged = box_test(bend, nodes, *_dense_sat(nodes))
     else:
         judged = sample_test(bend, nodes, cfg.chord_samples_per_dx)
-    n_bends = bend.groupBy("ms_id", "path_id").agg(F.count(F.lit(1)).alias("n_bends"))
+    # every bend has a row, judged or not
     agg = judged.groupBy("ms_id", "path_id").agg(
-        F.sum(F.when(F.col("accepted"), F.col("gain") * cfg.dx).otherwise(0.0)).alias("length_removed"),
+        F.count(F.lit(1)).alias("n_bends"), F.sum(F.when(F.col("accepted"), F.col("gain") * cfg.dx).otherwise(0.0)).alias("length_removed"),
         F.count_if("accepted").alias("n_accepted"), F.count_if("rejected").alias("n_rejected"))
-    out = tubes.join(n_bends, ["ms_id", "path_id"], "left").join(agg, ["ms_id", "path_id"], "left")
+    out = tubes.join(agg, ["ms_id", "path_id"], "left")
     for c, zero in (("n_bends", 0), ("length_removed", 0.0), ("n_accepted", 0), ("n_rejected", 0)):
         out = out.withColumn(c, F.coalesce(c, F.lit(zero)))
     return (out.withColumn("l_gamma_chord", F.col("l_gamma_raw") - F.col("length_removed"))

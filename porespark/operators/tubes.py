@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from porespark.config import VoxelConfig
 from porespark.operators import graph
-from porespark.plans.lineage import cut
+from porespark.plans.lineage import cut, even
 from porespark.plans.packing import split_by_size
 
 SOURCE, SINK = -1, -2
@@ -281,47 +281,38 @@ def _topological_rounds(dag: DataFrame) -> DataFrame:
     """
     edges = cut(graph.prune_to_sink(dag))
     thr = edges.select("ms_id", "thr").distinct()
-    inner = edges.filter("kind <> 1")
+    level, last = _levels(edges)
+    head = level.select("ms_id", F.col("node").alias("dn"), F.col("level").alias("next"))
     wire = ["up", "dn", "kind", "edge_id", "seg_len", "dphi"]
-    first = cut(edges.filter("kind = 1").select(
+    # what does not change from round to round is made once: the share of its node's flow that an edge takes, and when
+    w = Window.partitionBy("ms_id", "up").orderBy("ord", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slots = (edges.filter("kind <> 1").withColumn("e_hi", F.sum("flow").over(w)).withColumn("e_lo", F.col("e_hi") - F.col("flow"))
+             .join(even(level.withColumnRenamed("node", "up")), ["ms_id", "up"]).join(even(head), ["ms_id", "dn"], "left")
+             .select("ms_id", *wire, "thr", "phi_up", "e_lo", "e_hi", "next", "level"))
+    slots = cut(slots.sortWithinPartitions("level"))
+    first = cut(edges.filter("kind = 1").join(even(head), ["ms_id", "dn"], "left").select(
         "ms_id", *wire, F.col("flow").alias("amount"), F.lit(float("inf")).alias("phi_from"), F.lit(SOURCE).cast("long").alias("from"),
         F.col("seq").cast("double").alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("born"), F.monotonically_increasing_id().alias("rid"),
-        F.lit(None).cast("int").alias("pborn"), F.lit(None).cast("long").alias("prid")))
-    going = ["ms_id", "node", "amount", "phi_from", "from", "at", "depth", "born", "rid"]
+        F.lit(None).cast("int").alias("pborn"), F.lit(None).cast("long").alias("prid"), "next"))
+    going = ["ms_id", "node", "amount", "phi_from", "from", "at", "depth", "born", "rid", "next"]
     packets = first.withColumnRenamed("dn", "node").select(*going)
-    heads = edges.filter("kind = 0").groupBy("ms_id", F.col("dn").alias("node")).agg(F.count(F.lit(1)).alias("wait"))
-    waiting = cut(edges.filter(F.col("up") != SOURCE).select("ms_id", F.col("up").alias("node")).distinct()
-                  .join(heads, ["ms_id", "node"], "left").select("ms_id", "node", F.coalesce("wait", F.lit(0)).alias("wait")))
     log = [first]
     # a running sum streams through its task, so a node that all packets pass costs time there, not memory
     queue = (Window.partitionBy("ms_id", "node").orderBy(F.col("phi_from").desc(), F.col("from").asc(), F.col("at").asc())
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    while True:
-        left, free = waiting.agg(F.count(F.lit(1)), F.count_if(F.col("wait") == 0)).first()
-        if not left:
-            break
-        if not free:
-            raise RuntimeError("flow relation is not acyclic")
-        ready = waiting.filter("wait = 0").select("ms_id", "node")
-        here = packets.join(ready, ["ms_id", "node"], "left_semi").withColumn("hi", F.sum("amount").over(queue))
+    for now in range(last + 1):
+        here = packets.filter(F.col("next") == now).withColumn("hi", F.sum("amount").over(queue))
         here = here.withColumn("lo", F.col("hi") - F.col("amount"))
-        slots = inner.join(ready.withColumnRenamed("node", "up"), ["ms_id", "up"], "left_semi")
-        w = Window.partitionBy("ms_id", "up").orderBy("ord", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        slots = slots.withColumn("e_hi", F.sum("flow").over(w)).withColumn("e_lo", F.col("e_hi") - F.col("flow"))
         both = (here.select("ms_id", F.col("node").alias("up"), "lo", "hi", F.col("depth"), F.col("born").alias("pborn"), F.col("rid").alias("prid"))
-                .join(slots, ["ms_id", "up"]))
+                .join(slots.filter(F.col("level") == now).drop("level"), ["ms_id", "up"]))
         part = F.least("hi", "e_hi") - F.greatest("lo", "e_lo")
         sent = cut(both.withColumn("part", part).filter("part > thr").select(
             "ms_id", *wire, F.col("part").alias("amount"), F.col("phi_up").alias("phi_from"), F.col("up").alias("from"),
             F.greatest("lo", "e_lo").alias("at"), (F.col("depth") + 1).alias("depth"), F.lit(len(log)).alias("born"),
-            F.monotonically_increasing_id().alias("rid"), "pborn", "prid"))
+            F.monotonically_increasing_id().alias("rid"), "pborn", "prid", "next"))
         log.append(sent)
         moved = sent.filter(F.col("dn") != SINK).withColumnRenamed("dn", "node").select(*going)
-        packets = cut(packets.join(ready, ["ms_id", "node"], "left_anti").unionByName(moved))
-        freed = (inner.filter("kind = 0").join(ready.withColumnRenamed("node", "up"), ["ms_id", "up"], "left_semi")
-                 .groupBy("ms_id", F.col("dn").alias("node")).agg(F.count(F.lit(1)).alias("n")))
-        waiting = cut(waiting.join(ready, ["ms_id", "node"], "left_anti").join(freed, ["ms_id", "node"], "left")
-                      .select("ms_id", "node", (F.col("wait") - F.coalesce("n", F.lit(0))).alias("wait")))
+        packets = cut(packets.filter(F.col("next") > now).unionByName(moved))
     sent = log[0]
     for piece in log[1:]:
         sent = sent.unionByName(piece)
@@ -338,6 +329,34 @@ def _topological_rounds(dag: DataFrame) -> DataFrame:
     return steps.unionByName(_ledger(ledger, F.lit(0), F.col("lost")))
 
 
+def _levels(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``(ms_id, node, level)``, the round in which all flow into a node is known, and the last round.
+
+    Only node pairs and counts take part in this loop, no flow; rows leave it with their nodes.
+    """
+    arcs = cut(edges.filter("kind = 0").select("ms_id", "up", "dn"))
+    heads = arcs.groupBy("ms_id", F.col("dn").alias("node")).agg(F.count(F.lit(1)).alias("wait"))
+    waiting = cut(edges.filter(F.col("up") != SOURCE).select("ms_id", F.col("up").alias("node")).distinct()
+                  .join(even(heads), ["ms_id", "node"], "left").select("ms_id", "node", F.coalesce("wait", F.lit(0)).alias("wait")))
+    found = []
+    while True:
+        left, free = waiting.agg(F.count(F.lit(1)), F.count_if(F.col("wait") == 0)).first()
+        if found and not left:
+            break
+        if left and not free:
+            raise RuntimeError("flow relation is not acyclic")
+        ready = waiting.filter("wait = 0").select("ms_id", "node")
+        found.append(ready.withColumn("level", F.lit(len(found))))
+        freed = (arcs.join(ready.withColumnRenamed("node", "up"), ["ms_id", "up"], "left_semi")
+                 .groupBy("ms_id", F.col("dn").alias("node")).agg(F.count(F.lit(1)).alias("n")))
+        waiting = cut(waiting.filter("wait > 0").join(freed, ["ms_id", "node"], "left")
+                      .select("ms_id", "node", (F.col("wait") - F.coalesce("n", F.lit(0))).alias("wait")))
+    level = found[0]
+    for piece in found[1:]:
+        level = level.unionByName(piece)
+    return cut(level), len(found) - 1
+
+
 def _ancestors(done: DataFrame, sent: DataFrame) -> DataFrame:
     """``done`` once for each packet of its path, ``back`` packets before the last.
 

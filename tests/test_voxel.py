@@ -203,6 +203,24 @@ def test_chord_metrics_when_configured(spark, images):
     assert all(r["tau_sq_c_chord"] >= r["tau_sq_c"] - 1e-12 for r in rows)
 
 
+def test_a_bend_of_many_paths_is_looked_up_once(spark, monkeypatch):
+    """Paths that share a bend share its box and its samples; those without bends keep their length."""
+    vox = brute.frame(spark, {"b": (np.ones((8, 6, 1), int), None)})
+    nodes = grid.nodes(vox, 1)
+    bent = [(x, 0, 0) for x in range(7)] + [(6, y, 0) for y in range(1, 5)]
+    rows = [("b", path, k, a, b, 0, 0, 1.0, 1.0, 0.1) for path, pos in [*((p, bent) for p in range(20)), (20, bent[:7])]
+            for ids in [[(x << 42) + (y << 21) + z for x, y, z in pos]] for k, (a, b) in enumerate(zip(ids, ids[1:]))]
+    steps = spark.createDataFrame(rows, "ms_id string, path_id long, step int, up long, dn long, kind int, edge_id long, i_gamma double, seg_len double, dphi double")
+    tube = spark.createDataFrame([("b", p, 10.0, 8.0, 1.0) for p in range(21)], "ms_id string, path_id long, l_gamma_raw double, l_sample double, v_gamma double")
+    boxes, real = [], grid.box_counts
+    monkeypatch.setattr(grid, "box_counts", lambda found, *x: boxes.append(found.count()) or real(found, *x))
+    for test in ("box", "sampler", "none"):
+        got = {r["path_id"]: (r["n_bends"], r["n_accepted"], r["n_rejected"], round(r["length_removed"], 9))
+               for r in chord.corrected_lengths(steps, tube, nodes, CFG, test).collect()}
+        assert got == {**dict.fromkeys(range(20), (1, 1, 0, round(6 - np.sqrt(18), 9))), 20: (0, 0, 0, 0.0)}
+    assert boxes == [1]
+
+
 def test_greedy_walks_of_a_pack_make_one_table(monkeypatch):
     """Samples of a pack get the paths they get alone, without tables of their own."""
     rng = np.random.default_rng(5)
