@@ -11,11 +11,15 @@ plain aggregations.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from porespark.config import VoxelConfig
 from porespark.operators import graph
@@ -434,20 +438,96 @@ def stuck_volume(steps: DataFrame, iota: DataFrame) -> DataFrame:
     return gone.join(size, ["ms_id", "edge_id"]).groupBy("ms_id").agg(F.sum(v).alias("v_stuck_total"))
 
 
-def all_simple_paths(dag: DataFrame, tot: DataFrame) -> DataFrame:
-    """Every inlet -> outlet path with full-mixing weights (K7), as path steps.
+_PATH_ARCS = ["ms_id", "up", "dn", "flow", "dphi", "kind", "edge_id", "seg_len"]
+_PATH_ITEM = ["up", "dn", "edge_id", "seg_len", "dphi"]
+PATH_CELLS = 1 << 20    # steps of the paths that a task extends at one time
+TASK_STEPS = 1 << 24    # steps that a task makes or holds before the rounds take over
+
+
+def _path_walker(task_steps: int, carry: list[str]):
+    """Paths of whole samples, all paths of one length extended together.
 
-    Frontier join; the number of rows is the number of paths, which the
-    definition makes exponential.
+    A chunk of paths holds ``PATH_CELLS`` steps at most; chunks wait on a stack, so longer
+    paths come first and memory stays bounded.  Paths that are left when a task has made
+    ``task_steps`` steps, or holds as many, are returned as they are, not ``done``.
     """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        t = pa.Table.from_batches(rows).combine_chunks()
+        up, dn, kind = (t[c].to_numpy() for c in ("up", "dn", "kind"))
+        sample = t["ms_id"].combine_chunks().dictionary_encode().indices.to_numpy().astype("int64")
+        names, node = np.unique(np.concatenate([up, dn]), return_inverse=True)
+        known, node = np.unique(np.tile(sample, 2) * len(names) + node, return_inverse=True)
+        tail, head = node[:len(up)], node[len(up):]
+        inlet, outlet = np.zeros(len(known), bool), np.zeros(len(known), bool)
+        inlet[head[kind == 1]], outlet[tail[kind == 2]] = True, True
+        arcs = np.flatnonzero(kind == 0)
+        arcs = arcs[np.argsort(tail[arcs], kind="stable")]
+        t, tail, head = t.take(pa.array(arcs)).combine_chunks(), tail[arcs], head[arcs]
+        flow, degree = t["flow"].to_numpy(), np.bincount(tail, minlength=len(known))
+        start = np.cumsum(degree) - degree
+        share = flow / np.bincount(tail, flow, len(known))[tail]
+        task, made, held, serial = TaskContext.get().partitionId() << 36, 0, 0, 0
+        stack: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def push(paths: np.ndarray, current: np.ndarray) -> None:
+            nonlocal held
+            at = max(1, PATH_CELLS // paths.shape[1])
+            stack.extend((paths[k:k + at], current[k:k + at]) for k in range(0, len(paths), at))
+            held += paths.size
+
+        def steps(paths: np.ndarray, current: np.ndarray, done: bool) -> pa.RecordBatch:
+            nonlocal serial
+            n, length = paths.shape
+            item = t.select(["ms_id", *carry]).take(pa.array(paths.ravel())).combine_chunks()
+            ids = (task + serial + np.arange(n)) << 1
+            serial += n
+            columns = {"path_id": np.repeat(ids, length), "step": np.tile(np.arange(length, dtype="int32"), n),
+                       "i_gamma": np.repeat(current, length), "done": np.full(n * length, done)}
+            return pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in item.columns], *map(pa.array, columns.values())],
+                                              names=["ms_id", *carry, *columns])
+
+        first = np.flatnonzero(inlet[tail])
+        push(first[:, None], flow[first])
+        while stack:
+            paths, current = stack.pop()
+            held -= paths.size
+            if made > task_steps or held > task_steps:
+                yield steps(paths, current, False)
+                continue
+            at = head[paths[:, -1]]
+            ended = outlet[at]
+            if ended.any():
+                made += int(ended.sum()) * paths.shape[1]
+                yield steps(paths[ended], current[ended], True)
+            n = degree[at]
+            # rows are extended in runs that stay near PATH_CELLS, whatever the nodes' degrees
+            run_of = np.cumsum(n) * (paths.shape[1] + 1) // PATH_CELLS
+            for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(run_of)) + 1):
+                times = n[part]
+                row = np.repeat(part, times)
+                if len(row):
+                    arc = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + start[at[row]]
+                    made += len(row)
+                    push(np.column_stack([paths[row], arc]), current[row] * share[arc])
+
+    return run
+
+
+def _path_rounds(dag: DataFrame, carry: list[str], begun: DataFrame | None = None) -> DataFrame:
+    """The same by rounds of joins, from the inlets or from paths that are ``begun``."""
     arcs = cut(dag.filter("kind = 0"))
     total = arcs.groupBy("ms_id", "up").agg(F.sum("flow").alias("out_flow"))
     arcs = cut(arcs.join(total, ["ms_id", "up"]).withColumn("share", F.col("flow") / F.col("out_flow")))
-    item = F.struct("up", "dn", "edge_id", "seg_len", "dphi")
-    inlets = dag.filter("kind = 1").select("ms_id", F.col("dn").alias("up"))
+    item = F.struct(*carry)
     outlets = cut(dag.filter("kind = 2").select("ms_id", F.col("up").alias("dn")))
-    at = cut(arcs.join(inlets, ["ms_id", "up"], "left_semi").select(
-        "ms_id", "dn", F.col("flow").alias("i_gamma"), F.array(item).alias("path")))
+    if begun is None:
+        inlets = dag.filter("kind = 1").select("ms_id", F.col("dn").alias("up"))
+        begun = arcs.join(inlets, ["ms_id", "up"], "left_semi").select(
+            "ms_id", "dn", F.col("flow").alias("i_gamma"), F.array(item).alias("path"))
+    at = cut(begun)
     found = []
     while not at.isEmpty():
         found.append(at.join(outlets, ["ms_id", "dn"], "left_semi").select("ms_id", "i_gamma", "path"))
@@ -459,9 +539,47 @@ def all_simple_paths(dag: DataFrame, tot: DataFrame) -> DataFrame:
     done = found[0]
     for piece in found[1:]:
         done = done.unionByName(piece)
-    done = cut(done.withColumn("path_id", F.monotonically_increasing_id()))
+    # odd, so that they cannot meet those of the walkers
+    done = cut(done.withColumn("path_id", F.shiftleft(F.monotonically_increasing_id(), 1) + 1))
     return done.select("ms_id", "path_id", "i_gamma", F.posexplode("path").alias("step", "p")).select(
-        "ms_id", "path_id", "step", "p.up", "p.dn", F.lit(0).alias("kind"), "p.edge_id", "i_gamma", "p.seg_len", "p.dphi")
+        "ms_id", "path_id", "step", *[f"p.{c}" for c in carry], "i_gamma")
+
+
+def all_simple_paths(dag: DataFrame, tot: DataFrame, kernel_rows: int | None = None, task_steps: int | None = None,
+                     terms: DataFrame | None = None) -> DataFrame:
+    """Every inlet -> outlet path with full-mixing weights (K7), as path steps.
+
+    The number of rows is the number of paths, which the definition makes exponential.
+    Samples within the measured bound are walked whole, in bounded packs; what a walker
+    leaves and larger samples go on as rounds of joins.  ``terms``, such as
+    ``throat_terms``, holds one row per edge, whose columns the steps then carry: edges
+    are joined here, not their many steps later.
+    """
+    dag, more = dag.select(*_PATH_ARCS).dropna(subset=["ms_id", "up", "dn"]), []
+    if terms is not None:
+        more = [c for c in terms.columns if c not in ("ms_id", "edge_id")]
+        dag = dag.join(even(terms), ["ms_id", "edge_id"], "left")
+    dag, carry = cut(dag), [*_PATH_ITEM, *more]
+    small, large = split_by_size(dag, kernel_rows)
+    parts = []
+    if small is not None:
+        schema = StructType([dag.schema[c] for c in ("ms_id", *carry)]).add("path_id", "long").add("step", "integer").add(
+            "i_gamma", "double").add("done", "boolean")
+        walked = cut(small.mapInArrow(_path_walker(TASK_STEPS if task_steps is None else task_steps, carry), schema))
+        parts.append(walked.filter("done").drop("done"))
+        left = walked.filter("not done")
+        if not left.isEmpty():
+            begun = left.groupBy("ms_id", "path_id").agg(
+                F.max_by("dn", "step").alias("dn"), F.max("i_gamma").alias("i_gamma"),
+                F.array_sort(F.collect_list(F.struct("step", F.struct(*carry).alias("p")))).alias("path"))
+            parts.append(_path_rounds(dag.join(left.select("ms_id").distinct(), "ms_id", "left_semi"), carry,
+                                      begun.select("ms_id", "dn", "i_gamma", F.col("path.p").alias("path"))))
+    if large is not None or not parts:
+        parts.append(_path_rounds(dag if large is None else large, carry))
+    out = parts[0]
+    for piece in parts[1:]:
+        out = out.unionByName(piece)
+    return out.withColumn("kind", F.lit(0)).select(*STEP_COLUMNS, *more)
 
 
 # --- path attributes -----------------------------------------------------------------
@@ -508,28 +626,31 @@ def voxel_summary(tubes: DataFrame, transport: DataFrame, cfg: VoxelConfig) -> D
             .drop("_vt", "_ic"))
 
 
-def network_tubes(steps: DataFrame, iota: DataFrame) -> DataFrame:
-    """Throat paths with volume shares, length, iota^2, tortuosity and constriction."""
-    attr = iota.select(
-        "ms_id", F.col("throat_id").cast("long").alias("edge_id"), "current", "i_threshold", "v_total", "v_body1", "throat_volume",
-        "v_body2", "l_body1", "l_throat", "l_body2", "iota1", "iota_t", "iota2", "phi_i", "phi_j", "phi_1t", "phi_2t",
-        "delta_s", "total_current")
-    s = steps.filter("kind = 0").select("ms_id", "path_id", "edge_id", "i_gamma").join(attr, ["ms_id", "edge_id"])
-    size = F.abs("current")
-    share = F.when(size > F.col("i_threshold"), F.col("i_gamma") / size * F.col("v_total")).otherwise(0.0)
-
+def throat_terms(iota: DataFrame) -> DataFrame:
+    """What a throat adds to a path through it, by ``edge_id``: ``size`` is null below the threshold, ``mix`` where the factors do not count."""
     def shape(drop, length):
         ln = F.greatest(F.col(length), F.lit(1e-8))
         return F.when(F.abs(drop) > 1e-30, ln * ln / F.nullif(F.abs(drop), F.lit(0.0))).otherwise(0.0)
     counted = F.col("phi_1t").isNotNull() & (F.col("v_total") >= 1e-30)
-    local = F.try_divide(F.col("share") * (F.col("v_body1") * F.col("iota1") + F.col("throat_volume") * F.col("iota_t")
-                                           + F.col("v_body2") * F.col("iota2")), F.col("v_total"))
+    mix = (F.col("v_body1") * F.col("iota1") + F.col("throat_volume") * F.col("iota_t") + F.col("v_body2") * F.col("iota2"))
     c_terms = (shape(F.col("phi_i") - F.col("phi_1t"), "l_body1") + shape(F.col("phi_1t") - F.col("phi_2t"), "l_throat")
                + shape(F.col("phi_2t") - F.col("phi_j"), "l_body2"))
+    size = F.abs("current")
+    return iota.select(
+        "ms_id", F.col("throat_id").cast("long").alias("edge_id"), F.when(size > F.col("i_threshold"), size).alias("size"), "v_total",
+        F.when(counted, mix).alias("mix"), F.when(counted, c_terms).otherwise(0.0).alias("c_terms"), "delta_s", "total_current")
+
+
+def network_tubes(steps: DataFrame, iota: DataFrame) -> DataFrame:
+    """Throat paths with volume shares, length, iota^2, tortuosity and constriction."""
+    s = steps.filter("kind = 0")
+    if "c_terms" not in steps.columns:  # else the steps carry their throats' terms
+        s = s.select("ms_id", "path_id", "edge_id", "i_gamma", "seg_len").join(throat_terms(iota), ["ms_id", "edge_id"])
+    share = F.coalesce(F.col("i_gamma") / F.col("size") * F.col("v_total"), F.lit(0.0))
+    local = F.coalesce(F.try_divide(F.col("share") * F.col("mix"), F.col("v_total")), F.lit(0.0))
     return (s.withColumn("share", share).groupBy("ms_id", "path_id").agg(
         F.max("i_gamma").alias("i_gamma"), F.count(F.lit(1)).alias("n_path_throats"), F.sum("share").alias("v_gamma"),
-        F.sum(F.col("l_body1") + F.col("l_throat") + F.col("l_body2")).alias("l_gamma"),
-        F.sum(F.when(counted, local).otherwise(0.0)).alias("_iota"), F.sum(F.when(counted, c_terms).otherwise(0.0)).alias("_c"),
+        F.sum("seg_len").alias("l_gamma"), F.sum(local).alias("_iota"), F.sum("c_terms").alias("_c"),
         F.max("delta_s").alias("delta_s"), F.max("total_current").alias("total_current"))
         .withColumn("f_gamma", F.when(F.col("total_current") > 1e-30, F.col("i_gamma") / F.nullif("total_current", F.lit(0.0))).otherwise(0.0))
         .withColumn("iota_sq_gamma", F.when(F.col("v_gamma") > 1e-30, F.col("_iota") / F.nullif("v_gamma", F.lit(0.0))).otherwise(0.0))

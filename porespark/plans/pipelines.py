@@ -99,7 +99,8 @@ def solve_network(vox: DataFrame, body: DataFrame, throat: DataFrame, shape: Dat
     solved = cut(solved)
     currents = cut(network.with_currents(flat, solved, cfg.delta_v))
     tot = cut(network.totals(currents, cfg.delta_v))
-    iota = cut(network.local_iota(currents, tot, shape, cfg))
+    # not stored: a projection of stored tables, of which each reader needs a few columns
+    iota = network.local_iota(currents, tot, shape, cfg)
     volume = shape.select("ms_id", (F.col("nx") * F.col("ny") * F.col("nz")).cast("double").alias("v_domain"))
     return NetworkRun(vox, solved, throat, flat, currents, tot, iota, network.global_iota(iota, volume), shape, record)
 
@@ -116,7 +117,7 @@ def network_run(vox: DataFrame, cfg: NetworkConfig, kernel_rows: int | None = No
 def network_tubes(run: NetworkRun, method: str, kernel_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     dag = tubes.network_dag(run.currents, run.bodies, run.totals)
     if method == "all_simple_paths":
-        steps = tubes.all_simple_paths(dag, run.totals)
+        steps = tubes.all_simple_paths(dag, run.totals, kernel_rows, terms=tubes.throat_terms(run.iota))
     else:
         steps = tubes.decompose(dag, method, kernel_rows)
     return steps, cut(tubes.network_tubes(steps, run.iota))

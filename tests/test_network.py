@@ -366,3 +366,64 @@ def test_a_start_vector_saves_rounds_and_changes_nothing(spark, kernel_rows):
     assert first["a"]["converged"] and first["a"]["iterations"] > 5 and not first["a"]["started"]
     assert second["a"]["converged"] and second["a"]["iterations"] <= 1 and second["a"]["started"]
     assert first["a"]["residual"] < 1e-10 and second["b"]["converged"]
+
+
+def _all_paths(arcs, inlets, outlets):
+    """Edges and weight of every path, one after another."""
+    out = {}
+    for up, _, flow, _ in arcs:
+        out[up] = out.get(up, 0.0) + flow
+    found, todo = [], [([e], f) for e, (u, _, f, _) in enumerate(arcs) if u in inlets]
+    while todo:
+        path, weight = todo.pop()
+        at = arcs[path[-1]][1]
+        if at in outlets:
+            found.append((tuple(arcs[e][3] for e in path), round(weight, 9)))
+        todo += [(path + [e], weight * f / out[u]) for e, (u, _, f, _) in enumerate(arcs) if u == at]
+    return sorted(found)
+
+
+def _path_dag(spark, samples):
+    rows = []
+    for ms, (arcs, inlets, outlets) in samples.items():
+        rows += [(ms, u, v, f, 0.5, 0, e, 1.0 + e) for u, v, f, e in arcs]
+        rows += [(ms, -1, n, 1.0, 0.0, 1, -1, 0.0) for n in inlets] + [(ms, n, -2, 1.0, 0.0, 2, -1, 0.0) for n in outlets]
+    return spark.createDataFrame(rows, "ms_id string, up long, dn long, flow double, dphi double, kind int, edge_id long, seg_len double")
+
+
+@pytest.mark.parametrize("kernel_rows, task_steps", [(None, None), (None, 0), (None, 40), (0, None), (60, 25)])
+def test_simple_paths_of_walkers_and_rounds(spark, kernel_rows, task_steps):
+    rng = np.random.default_rng(4)
+    samples = {"none": ([(1, 2, 1.0, 7)], [1], [])}
+    for k in range(6):
+        n = 5 + k
+        arcs = [(int(a), int(b), float(rng.uniform(0.5, 2)), 100 + i) for i, (a, b) in enumerate(
+            p for p in ((a, b) for a in range(n) for b in range(a + 1, n)) if rng.random() < 0.6)]
+        # node 2 is an inlet that paths may also pass, the last but one an outlet that they may leave again
+        samples[f"s{k}"] = (arcs, [0, 2], [n - 2, n - 1])
+    samples["twin"] = ([(1, 2, 1.0, 1), (1, 2, 3.0, 2), (2, 3, 1.0, 3)], [1, 1], [3, 3])
+    dag = _path_dag(spark, samples)
+    terms = spark.createDataFrame([(ms, a[3], 2.0 * a[3]) for ms, s in samples.items() for a in s[0]], "ms_id string, edge_id long, twice double")
+    got = tubes.all_simple_paths(dag, None, kernel_rows, task_steps, terms).collect()
+    paths = {}
+    for r in got:
+        paths.setdefault((r["ms_id"], r["path_id"]), {})[r["step"]] = r
+        assert r["twice"] == 2.0 * r["edge_id"] and r["seg_len"] == 1.0 + r["edge_id"] and r["kind"] == 0 and r["path_id"] >= 0
+    found = {ms: [] for ms in samples}
+    for (ms, _), steps in paths.items():
+        assert sorted(steps) == list(range(len(steps)))
+        assert all(steps[k]["dn"] == steps[k + 1]["up"] for k in range(len(steps) - 1))
+        found[ms].append((tuple(steps[k]["edge_id"] for k in range(len(steps))), round(steps[0]["i_gamma"], 9)))
+    assert {ms: sorted(p) for ms, p in found.items()} == {ms: _all_paths(*s) for ms, s in samples.items()}
+
+
+def test_simple_paths_take_no_job_per_step(spark):
+    """Long paths of small samples used to take a round of jobs a step."""
+    jobs = []
+    for n in (3, 12):
+        dag = _path_dag(spark, {"a": ([(k, k + 1, 1.0, k) for k in range(n)], [0], [n])})
+        spark.sparkContext.setJobGroup(f"paths of {n}", "test")
+        assert tubes.all_simple_paths(dag, None).count() == n
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"paths of {n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
