@@ -20,16 +20,18 @@ def throat_table(currents: DataFrame, bodies: DataFrame, interfaces: DataFrame,
     ``r_*`` are radii, ``res_*`` are resistances.
     """
     t = currents.filter("i is not null and j is not null").withColumnRenamed("r_throat", "res_throat")
-    t = t.withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
     face = interfaces.select("ms_id", "lo", "hi", F.col("r_throat"), F.col("voxel_count").alias("a_interface_voxels"),
                              F.col("c0").alias("centroid_z"), F.col("c1").alias("centroid_y"), F.col("c2").alias("centroid_x"))
-    t = t.join(even(face), ["ms_id", "lo", "hi"], "left")
     degree = (t.select("ms_id", F.explode(F.array("i", "j")).alias("body_id")).groupBy("ms_id", "body_id")
               .agg(F.count(F.lit(1)).alias("z")))
     ends = even(bodies.select("ms_id", "body_id", "max_radius").join(even(degree), ["ms_id", "body_id"]))
+    # the pairs of bodies meet faces and ends on their own; the wide rows are then exchanged once, not three times
+    pairs = t.select("ms_id", "i", "j").distinct().withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
+    pairs = pairs.join(even(face), ["ms_id", "lo", "hi"], "left").drop("lo", "hi")
     for k, end in (("1", "i"), ("2", "j")):
-        t = t.join(ends.select("ms_id", F.col("body_id").alias(end), F.col("max_radius").alias(f"r_body{k}"), F.col("z").alias(f"z_body{k}")),
-                   ["ms_id", end])
+        pairs = pairs.join(ends.select("ms_id", F.col("body_id").alias(end), F.col("max_radius").alias(f"r_body{k}"), F.col("z").alias(f"z_body{k}")),
+                           ["ms_id", end])
+    t = t.join(even(pairs), ["ms_id", "i", "j"])
     t = t.join(tot.select("ms_id", "total_current"), "ms_id")
     sq = F.col("current") * F.col("current")
     return shares_and_class(t.select(

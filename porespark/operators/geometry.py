@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -24,24 +25,25 @@ def moment_columns() -> list:
             + [F.sum((F.col(a).cast("long") * F.col(b)).cast("decimal(20,0)")).alias(f"s{a}{b}") for a, b in pairs])
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def plane_basis(n: pd.Series, m: pd.DataFrame) -> pd.Series:
+@F.arrow_udf(ArrayType(DoubleType()))
+def plane_basis(n: pa.Array, m: pa.Array) -> pa.Array:
     """Unit normal and two in-plane axes (nine numbers) from moment sums.
 
     ``m`` holds n*S_ab - S_a*S_b for ab = xx, xy, xz, yy, yz, zz: n^2 times the
     covariance, whose smallest eigenvector is the normal.  Fewer than three
     points give (0, 0, 1).
     """
-    xx, xy, xz, yy, yz, zz = m.to_numpy(float).T
+    xx, xy, xz, yy, yz, zz = (x.to_numpy(zero_copy_only=False) for x in m.flatten())
     cov = np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2)
     normal = np.linalg.eigh(cov)[1][:, :, 0]
-    normal[n.to_numpy() < 3] = (0.0, 0.0, 1.0)
+    normal[n.to_numpy(zero_copy_only=False) < 3] = (0.0, 0.0, 1.0)
     ref = np.where(np.abs(normal[:, :1]) < 0.9, [[1.0, 0.0, 0.0]], [[0.0, 1.0, 0.0]])
     e1 = ref - (ref * normal).sum(1, keepdims=True) * normal
     e1 /= np.linalg.norm(e1, axis=1, keepdims=True)
     e2 = np.cross(normal, e1)
     e2 /= np.linalg.norm(e2, axis=1, keepdims=True)
-    return pd.Series(list(np.concatenate([normal, e1, e2], axis=1)))
+    found = np.concatenate([normal, e1, e2], axis=1)
+    return pa.ListArray.from_arrays(np.arange(0, found.size + 1, 9, dtype="int32"), found.ravel())
 
 
 def with_plane(throats: DataFrame, count: str = "volume_voxels") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -235,18 +235,17 @@ def envelopes(coords: np.ndarray, values: np.ndarray) -> np.ndarray:
     return best
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _lower_envelope(coords: pd.Series, values: pd.Series) -> pd.Series:
+@F.arrow_udf(ArrayType(DoubleType()))
+def _lower_envelope(coords: pa.Array, values: pa.Array) -> pa.Array:
     """``envelopes`` of a batch of grid lines in any order, each with its values in its own order."""
-    n = coords.map(len).to_numpy()
+    n = coords.value_lengths().to_numpy(zero_copy_only=False)
     c, v = (np.full((len(n), int(n.max(initial=0))), np.inf) for _ in range(2))
     inside = np.arange(c.shape[1]) < n[:, None]
-    if len(n):
-        c[inside], v[inside] = np.concatenate(coords.to_list()), np.concatenate(values.to_list())
+    c[inside], v[inside] = (x.flatten().to_numpy(zero_copy_only=False) for x in (coords, values))
     order = np.argsort(c, axis=1, kind="stable")
     found = np.empty_like(c)
     np.put_along_axis(found, order, envelopes(np.take_along_axis(c, order, 1), np.take_along_axis(v, order, 1)), 1)
-    return pd.Series([row[:k] for row, k in zip(found, n)])
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype("int32"), found[inside])
 
 
 def _envelope_along(df: DataFrame, axis: str, keep: Sequence[str]) -> DataFrame:

@@ -427,3 +427,15 @@ def test_simple_paths_take_no_job_per_step(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"paths of {n}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1]
+
+
+def test_wide_throat_rows_are_stored_once_and_keep_their_copies(spark, quadrants, monkeypatch):
+    stored = []
+    monkeypatch.setattr(pipelines, "cut", lambda df, cut=pipelines.cut: stored.append(df.columns) or cut(df))
+    run = pipelines.network_run(brute.frame(spark, quadrants), NetworkConfig(min_throat_size=1))
+    assert not any("iota1" in c for c in stored)  # a copy of every throat's row beside its currents
+    face = grid.interfaces(run.vox)
+    once = analysis.throat_table(run.currents, run.bodies, face, run.totals)
+    # rows that are there twice stay twice
+    twice = analysis.throat_table(run.currents.unionByName(run.currents), run.bodies, face, run.totals)
+    assert twice.count() == 2 * once.count() > 0
