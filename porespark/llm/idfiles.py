@@ -4,11 +4,14 @@
 binary)`` - ids as 32-bit little-endian integers - and writes one file per task, in the
 order of its rows.  A file is a run of segments of whole documents:
 
-    magic 4s | documents u32 | ids u64 | blocks u32 | vocabulary u32 | index bytes u32 | index crc32 u32
-    index: zlib of null marks u1, document ids i64, lengths u64, ids of the vocabulary by falling frequency u32
+    magic 4s | documents u32 | ids u64 | symbols u64 | blocks u32 | vocabulary u32 | index bytes u32 | index crc32 u32
+    index: zlib of null marks u1, document ids i64, lengths u64, symbols of the vocabulary by falling frequency as u32
+    pairs: an id, and 0 or the id that follows it plus 1
     per block: payload bytes u32, payload crc32 u32
     payloads (see idcoder)
 
+A symbol is an id or a pair of ids that often stand side by side in the segment, so that
+the coder, whose time goes by the number of symbols, takes both in one step.
 Integers are little-endian.  A task writes under a name of its own and the job lists
 the files of the tasks that count, with the number of ids before each, in one small
 manifest when all are written; readers go by the manifest, so a lost or repeated task
@@ -35,9 +38,13 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from porespark.llm import idcoder
 from porespark.llm.vocab import JsonIds, as_bytes, kept
 
-SEGMENT_IDS = 1 << 22      # ids of a segment, unless one document alone has more
-_HEAD = "<4sIQIIII"
-_MAGIC = b"TIDS"
+SEGMENT_IDS = 1 << 23      # ids of a segment, unless one document alone has more
+PAIRS, PAIR_TIMES = 12_000, 32   # most pairs of a segment, fewest places of one
+_DENSE = 1 << 22           # values below are counted in a table
+_SLICE = 1 << 18
+_PAIRED = 1 << 10          # pairs are of the segment's most frequent ids
+_HEAD = "<4sIQQIIII"
+_MAGIC = b"TID2"
 _MANIFEST = "manifest.json"
 
 
@@ -47,16 +54,76 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def by_frequency(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, the most frequent first, and the place of each value of ``x`` among them."""
+    if len(x) and int(x.max()) >= _DENSE:
+        used, x = np.unique(x, return_inverse=True)
+        values, x = by_frequency(x)
+        return used[values], x
+    times = np.zeros(int(x.max(initial=0)) + 1, "int64")
+    for i in range(0, len(x), 8 * _SLICE):
+        times += np.bincount(x[i:i + 8 * _SLICE], minlength=len(times))
+    values = np.argsort(-times, kind="stable")[:np.count_nonzero(times)]
+    place = np.zeros(len(times), "int32")
+    place[values] = np.arange(len(values), dtype="int32")
+    return values, place[x]
+
+
+def _keys(x: np.ndarray, n: int, side: int) -> np.ndarray:
+    """A number for each two neighbours, ``side * side`` if one is no frequent id."""
+    key = x[:-1] * np.int32(side) + x[1:]
+    if n > side:
+        key[(x[:-1] >= side) | (x[1:] >= side)] = side * side
+    return key
+
+
+def _paired(x: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """``x`` with the symbols of pairs (-1: none); where pairs overlap, every other one of the run is taken."""
+    at = np.flatnonzero(symbol >= 0)
+    nth = np.arange(len(at))
+    opens = np.ones(len(at), bool)
+    opens[1:] = at[1:] - at[:-1] != 1
+    at = at[(nth - np.maximum.accumulate(np.where(opens, nth, 0))) & 1 == 0]
+    out, stays = x.copy(), np.ones(len(x), bool)
+    out[at] = symbol[at]
+    stays[at + 1] = False
+    return out[stays]
+
+
+def with_pairs(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols for numbers below ``n`` that are numbered by falling frequency, and the numbers of each pair.
+
+    Symbol ``n + k`` stands for pair ``k``.  No pair is taken across slices of ``_SLICE`` numbers.
+    """
+    side = min(n, _PAIRED)
+    times = np.zeros(side * side + 1, "int64")
+    for i in range(0, len(x), 8 * _SLICE):
+        times += np.bincount(_keys(x[i:i + 8 * _SLICE], n, side), minlength=len(times))
+    often = np.flatnonzero(times[:-1] >= PAIR_TIMES)
+    most = min(PAIRS, idcoder.MOST_IDS - n)
+    if most < len(often):
+        often = often[np.argsort(-times[often], kind="stable")[:max(0, most)]]
+    of = np.full(len(times), -1, "int32")
+    of[often] = np.arange(n, n + len(often), dtype="int32")
+    slices = [x[i:i + _SLICE] for i in range(0, len(x), _SLICE)]
+    symbols = [_paired(part, of[_keys(part, n, side)]) for part in slices]
+    return np.concatenate(symbols or [x]), np.stack([often // side, often % side], axis=1)
+
+
 def pack_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """A segment's bytes."""
-    used, times = np.unique(ids, return_counts=True)
-    by_rank = used[np.argsort(-times, kind="stable")].astype("<u4")
-    rank = np.zeros(int(used[-1]) + 1 if len(used) else 1, "int64")
-    rank[by_rank] = np.arange(len(by_rank))
-    payloads = idcoder.encode(rank[ids], max(1, len(by_rank)))
+    first, x = by_frequency(ids)
+    first = first.astype("<u4")
+    x, pairs = with_pairs(x, len(first))
+    values, x = by_frequency(x)
+    vocabulary = np.zeros((len(first) + len(pairs), 2), "<u4")
+    vocabulary[:len(first), 0] = first
+    vocabulary[len(first):, 0], vocabulary[len(first):, 1] = first[pairs[:, 0]], first[pairs[:, 1]] + 1
+    vocabulary = vocabulary[values]
+    payloads = idcoder.encode(x, max(1, len(vocabulary)))
     index = zlib.compress(np.array([d is None for d in doc_ids], "u1").tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes()
-                          + lengths.astype("<u8").tobytes() + by_rank.tobytes(), 1)
-    head = struct.pack(_HEAD, _MAGIC, len(doc_ids), len(ids), len(payloads), len(by_rank), len(index), zlib.crc32(index))
+                          + lengths.astype("<u8").tobytes() + vocabulary.tobytes(), 1)
+    head = struct.pack(_HEAD, _MAGIC, len(doc_ids), len(ids), len(x), len(payloads), len(vocabulary), len(index), zlib.crc32(index))
     table = b"".join(struct.pack("<II", len(p), idcoder.checksum(p)) for p in payloads)
     return b"".join([head, index, table, *payloads])
 
@@ -66,7 +133,7 @@ def read_segment(file) -> tuple[list[int | None], np.ndarray, np.ndarray] | None
     head = file.read(struct.calcsize(_HEAD))
     if not head:
         return None
-    magic, n_docs, n_ids, n_blocks, n_vocabulary, n_index, crc = struct.unpack(_HEAD, head)
+    magic, n_docs, n_ids, n_symbols, n_blocks, n_vocabulary, n_index, crc = struct.unpack(_HEAD, head)
     index = file.read(n_index)
     if magic != _MAGIC or zlib.crc32(index) != crc:
         raise ValueError("damaged token-id file: index")
@@ -74,14 +141,23 @@ def read_segment(file) -> tuple[list[int | None], np.ndarray, np.ndarray] | None
     null = np.frombuffer(plain, "u1", n_docs)
     doc_ids = [None if x else d for x, d in zip(null.tolist(), np.frombuffer(plain, "<i8", n_docs, n_docs).tolist())]
     lengths = np.frombuffer(plain, "<u8", n_docs, 9 * n_docs).astype("int64")
-    by_rank = np.frombuffer(plain, "<u4", n_vocabulary, 17 * n_docs)
+    vocabulary = np.frombuffer(plain, "<u4", 2 * n_vocabulary, 17 * n_docs)
     table = np.frombuffer(file.read(8 * n_blocks), "<u4").reshape(-1, 2)
     payloads = []
     for size, crc in table.tolist():
         payloads.append(file.read(size))
         if idcoder.checksum(payloads[-1]) != crc:
             raise ValueError("damaged token-id file: block")
-    return doc_ids, lengths, by_rank[idcoder.decode(payloads, n_ids, max(1, n_vocabulary))]
+    symbols = idcoder.decode(payloads, n_symbols, max(1, n_vocabulary))
+    # both ids of a symbol side by side; what is no id goes
+    both = vocabulary.reshape(-1, 2).take(symbols, axis=0)
+    real = np.ones(both.shape, bool)
+    np.not_equal(both[:, 1], 0, out=real[:, 1])
+    both[:, 1] -= 1
+    ids = both[real]
+    if len(ids) != n_ids:
+        raise ValueError("damaged token-id file: ids")
+    return doc_ids, lengths, ids
 
 
 @dataclass
@@ -108,7 +184,8 @@ class _Writer(DataSourceArrowWriter):
                 nonlocal doc_ids, blobs, held, n_docs, n_ids
                 if doc_ids:
                     lengths = np.array([len(b) // 4 for b in blobs], "int64")
-                    file.write(pack_segment(doc_ids, lengths, np.frombuffer(b"".join(blobs), "<u4")))
+                    ids, blobs = np.frombuffer(b"".join(blobs), "<u4"), []
+                    file.write(pack_segment(doc_ids, lengths, ids))
                     n_docs, n_ids = n_docs + len(doc_ids), n_ids + int(lengths.sum())
                 doc_ids, blobs, held = [], [], 0
 

@@ -33,7 +33,7 @@ _RARE_BLANK = re.compile("[\x0b\x0c\x85\xa0  -     　]")
 _SPACE = "\\t-\\r \x85\xa0  -     　"
 _BLANK_LED = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _BLANKS_LED = re.compile(" *[^ ]+| +")
-_PYTHON_SPACE = re.compile("[\x1c-\x1f]")
+_PYTHON_SPACE = "\x1c\x1d\x1e\x1f"
 
 # Splitting patterns of the tokenizers known here (fixed values of their definitions).
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -139,7 +139,7 @@ class JsonIds:
             return self.whole(text) if text else b""
         if self.kind == "byte":
             return b"".join(map(self.unit.__getitem__, _BLANK_LED.findall(text)))
-        if _PYTHON_SPACE.search(text):
+        if any(c in text for c in _PYTHON_SPACE):
             return self.whole(text)
         if text.isascii() or not _ODD.search(text):
             text = text.lower()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import math
 import os
 import random
@@ -247,6 +248,22 @@ def test_blocks_are_independent():
         idcoder.encode(x, idcoder.MOST_IDS + 1)
 
 
+@pytest.mark.parametrize("kind", ["words", "runs", "wide", "large"])
+def test_pairs_that_stand_often_are_coded_in_one_step(kind, monkeypatch):
+    monkeypatch.setattr(idfiles, "_SLICE", 1000, raising=False)
+    steps, encode = [], idcoder.encode
+    monkeypatch.setattr(idcoder, "encode", lambda x, n, *more: steps.append(len(x)) or encode(x, n, *more))
+    rng = np.random.default_rng(3)
+    words = [rng.integers(0, 200, k) for k in rng.integers(1, 5, 100)]
+    x = np.concatenate([words[i] for i in rng.integers(0, 100, 8000)])
+    x = {"words": x, "runs": np.repeat([7, 3, 7], [2500, 1001, 4000]), "large": x + (1 << 31),
+         "wide": np.concatenate([x, rng.integers(0, 40000, 3000)])}[kind].astype("<u4")
+    blob = idfiles.pack_segment([1, None], np.array([5, len(x) - 5]), x)
+    docs, lengths, back = idfiles.read_segment(io.BytesIO(blob))
+    assert docs == [1, None] and lengths.tolist() == [5, len(x) - 5] and (back == x).all()
+    assert steps[0] < 0.8 * len(x)
+
+
 def test_id_files_of_hard_texts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(idfiles, "SEGMENT_IDS", 50)
     texts = [t for t in ODD] + mixtures(40, 5)
