@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -267,9 +269,11 @@ def nearest_neighbours(points: DataFrame, keys: list[str], point_id: str, coords
     p = [f"p{i}" for i in range(len(coords))]
     pts = cut(points.select(*keys, F.col(point_id).alias("pid"), *[F.col(c).cast("double").alias(q) for q, c in zip(p, coords)]))
     big = cut(pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 4 * leaf).select(*keys))
-    if big.isEmpty():
+    n = big.count()
+    if not n:
         found = _within_rows(pts, keys, p)
     else:
+        big = _few(big, n)
         found = _within_rows(pts.join(big, keys, "left_anti"), keys, p).unionByName(_down_tree(cut(pts.join(big, keys, "left_semi")), keys, p, leaf))
     return found.select(*keys, F.col("pid").alias(point_id), "nn")
 
@@ -331,6 +335,16 @@ def _down_tree(pts: DataFrame, keys: list[str], p: list[str], leaf: int) -> Data
     return found.unionByName(twins)
 
 
+FEW_ROWS = 50_000      # rows of a side that may be broadcast, whatever its table takes on disk
+TASK_POINTS = 50_000   # points of a sample that may meet their draws in one task
+TASK_DIGESTS = 4_000_000
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as a side of a join: the planner goes by file sizes, and repeated values take far more room in memory than in a file."""
+    return df if rows <= FEW_ROWS else even(df)
+
+
 def drawn_subsets(points: DataFrame, sizes: DataFrame, point_id: str, n_draws: int = 1, seed: int = 0) -> DataFrame:
     """``(ms_id, draw, point_id)``: ``n_pick`` points per sample and draw, without replacement.
 
@@ -338,28 +352,42 @@ def drawn_subsets(points: DataFrame, sizes: DataFrame, point_id: str, n_draws: i
     order of the MD5 digest of ``seed:draw:ms_id:id``.  Only points whose digest is below
     a threshold, at which a few more than ``n_pick`` are expected, are shuffled and
     ranked; a draw that gets too few is repeated with twice the threshold.  The choice
-    depends on seed, draw and ids alone, no task sees a whole sample.
+    depends on seed, draw and ids alone, no task sees a whole sample of many points.
+    What is pending is a row per sample, whose draws are told apart behind the join.
     """
     text = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("ms_id").cast("string"), F.col(point_id).cast("string")))
     share = F.conv(F.substring("_hex", 1, 13), 16, 10).cast("double") / float(1 << 52)
     some = F.col("n_pick") + 4 * F.sqrt(F.col("n_pick")) + 4
+    draws = F.coalesce("draws", F.sequence(F.lit(0), F.lit(n_draws - 1)))  # no list: all of them
     pending = cut(sizes.filter("n_pick > 0").select("ms_id", F.least("n_pick", "n_total").alias("n_pick"), "n_total", (some / F.col("n_total")).alias("_top"),
-                                                    F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw")))
+                                                    F.lit(None).cast("array<int>").alias("draws")))
     slim = points.select("ms_id", point_id)
     out = None
     while True:
+        zero, many = F.lit(0), F.col("n_total") > TASK_POINTS
+        n, work, top = pending.agg(F.coalesce(F.sum(F.size(draws)), zero), F.coalesce(F.sum(F.size(draws) * F.col("n_total")), zero),
+                                   F.coalesce(F.max("n_total"), zero)).first()
+        if n <= FEW_ROWS:
+            met = slim.join(pending, "ms_id")
+        else:  # tasks by digests: points are few bytes; samples of many points are few, and their points stay where they are
+            width = max(int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / TASK_DIGESTS))
+            met = slim.repartition(width, "ms_id").join(even(pending.filter(~many)), "ms_id")
+            met = met if top <= TASK_POINTS else met.unionByName(slim.join(pending.filter(many), "ms_id"))
         # digests as bytes keep their order in half the room
-        tried = (slim.join(pending, "ms_id").withColumn("_hex", text).filter(share < F.col("_top"))
+        tried = (met.select("ms_id", point_id, "n_pick", "_top", F.explode(draws).alias("draw")).withColumn("_hex", text).filter(share < F.col("_top"))
                  .select("ms_id", "draw", point_id, "n_pick", F.unhex("_hex").alias("_h")))
         placed = with_position(tried, ["ms_id", "draw"], [F.col("_h").asc(), F.col(point_id).asc()], "_pos").filter(F.col("_pos") <= F.col("n_pick"))
-        placed = cut(placed.select("ms_id", "draw", point_id))
-        found = placed.groupBy("ms_id", "draw").agg(F.count(F.lit(1)).alias("_n"))
-        short = cut(pending.join(found, ["ms_id", "draw"], "left").filter((F.coalesce("_n", F.lit(0)) < F.col("n_pick")) & (F.col("_top") <= 1))
-                    .select("ms_id", "n_pick", "n_total", (F.col("_top") * 2).alias("_top"), "draw"))
-        done = short.isEmpty()
-        kept = placed if done else placed.join(short.select("ms_id", "draw"), ["ms_id", "draw"], "left_anti")
+        placed = cut(placed.select("ms_id", "draw", point_id, "n_pick"))
+        full = (placed.groupBy("ms_id", "draw").agg(F.count(F.lit(1)).alias("_n"), F.max("n_pick").alias("n_pick")).filter("_n >= n_pick")
+                .groupBy("ms_id").agg(F.collect_list("draw").alias("_full")))
+        rest = F.array_except(draws, F.coalesce("_full", F.array().cast("array<int>")))
+        short = cut(pending.filter("_top <= 1").join(even(full), "ms_id", "left").withColumn("draws", rest).filter(F.size("draws") > 0)
+                    .select("ms_id", "n_pick", "n_total", (F.col("_top") * 2).alias("_top"), "draws"))
+        n = short.agg(F.coalesce(F.sum(F.size("draws")), zero)).first()[0]
+        placed = placed.drop("n_pick")
+        kept = placed if not n else placed.join(_few(short.select("ms_id", F.explode("draws").alias("draw")), n), ["ms_id", "draw"], "left_anti")
         out = kept if out is None else out.unionByName(kept)
-        if done:
+        if not n:
             return out
         pending = short
 
@@ -371,9 +399,9 @@ def clustering_report(annotated: DataFrame, flag: str, n_random: int = 200, seed
     valid = cut(annotated.filter("c_geomean is not null").select("ms_id", "throat_id", F.col(flag).alias("marked"), *coords))
     sizes = valid.groupBy("ms_id").agg(F.count(F.lit(1)).alias("n_total"), F.count_if("marked").alias("n_pick"))
     tested = cut(sizes.filter("n_pick >= 3"))
-    marked = valid.filter("marked").join(tested.select("ms_id"), "ms_id", "left_semi")
+    marked = valid.filter("marked").join(_few(tested.select("ms_id"), tested.count()), "ms_id", "left_semi")
     seen = (nearest_neighbours(marked, ["ms_id"], "throat_id", coords).groupBy("ms_id").agg(F.avg("nn").alias("observed")))
-    drawn = drawn_subsets(valid, tested, "throat_id", n_random, seed).join(valid.select("ms_id", "throat_id", *coords), ["ms_id", "throat_id"])
+    drawn = drawn_subsets(valid, tested, "throat_id", n_random, seed).join(even(valid.select("ms_id", "throat_id", *coords)), ["ms_id", "throat_id"])
     null = (nearest_neighbours(drawn, ["ms_id", "draw"], "throat_id", coords).groupBy("ms_id", "draw").agg(F.avg("nn").alias("m")))
     # means that differ by rounding only are equal
     below = F.col("m") < F.col("observed") * (1 - 1e-12)

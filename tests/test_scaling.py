@@ -1,5 +1,6 @@
 """Plans whose bytes on the driver, task memory or shuffles must not grow with the input."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -81,3 +82,21 @@ def test_small_groups_are_compared_in_their_task(spark, monkeypatch, leaf):
     assert found == pytest.approx(want)
     if leaf == 16:
         assert len(stored) == 2  # the points and the list of larger groups
+
+
+@pytest.mark.parametrize("points", [4, 50_000])
+def test_draws_are_no_rows_of_a_broadcast(spark, monkeypatch, points):
+    """What is broadcast has a row per sample at most, whatever the number of draws, and the choice stays the same."""
+    df = spark.createDataFrame([(g, i) for g in range(30) for i in range(3 + g % 5)] + [(None, 1)], "ms_id long, throat_id long")
+    sizes = df.groupBy("ms_id").agg(F.count(F.lit(1)).alias("n_total")).withColumn("n_pick", F.col("n_total") - 2)
+    want = sorted((g, d, i) for g in range(30) for d in range(40)
+                  for _, i in sorted((hashlib.md5(f"2:{d}:{g}:{i}".encode()).hexdigest(), i) for i in range(3 + g % 5))[:1 + g % 5])
+    assert sorted(map(tuple, analysis.drawn_subsets(df, sizes, "throat_id", 40, 2).collect())) == want
+    stored, cut = [], analysis.cut
+    monkeypatch.setattr(analysis, "cut", lambda df: stored.append(df) or cut(df))
+    monkeypatch.setattr(analysis, "FEW_ROWS", 20, raising=False)
+    monkeypatch.setattr(analysis, "TASK_POINTS", points, raising=False)
+    assert sorted(map(tuple, analysis.drawn_subsets(df, sizes, "throat_id", 40, 2).collect())) == want
+    assert stored[0].count() == 30  # pending: a row per sample, not one per draw
+    plan = stored[1]._jdf.queryExecution().executedPlan().toString()
+    assert ("Broadcast" in plan) == (points == 4)  # only for samples of many points, which are few
