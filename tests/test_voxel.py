@@ -1,12 +1,13 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from porespark.config import VoxelConfig
 from porespark.operators import chord, graph, grid, solve, transport, tubes
-from porespark.plans import pipelines
+from porespark.plans import packing, pipelines
 
 CFG = VoxelConfig(phase_id=1)
 
@@ -243,3 +244,50 @@ def test_greedy_walks_of_a_pack_make_one_table(monkeypatch):
             pd.testing.assert_frame_equal(mine, walk(part).sort_values(by).reset_index(drop=True), check_dtype=False)
             assert (mine["kind"] == tubes.LEDGER).sum() == 1
     assert whole["path_id"].max() > 0
+
+
+def _tangle(seed, n=14):
+    """A flow that is not conserved, so that walks get stuck; one node leads nowhere, inlets come twice."""
+    rng = np.random.default_rng(seed)
+    edges = [(a, b, 0) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.35] + [(1, 50, 0), (0, 3, 0), (0, 3, 0)]
+    edges += [(tubes.SOURCE, a, 1) for a in (0, 1, 2, 2)] + [(a, tubes.SINK, 2) for a in (n - 1, n - 2)]
+    return [(seed, up, dn, float(rng.integers(1, 30)) / 8, 0.1, kind, k, 1.0, 6 * kind + k % 2, k, 1.0, 0.3) for k, (up, dn, kind) in enumerate(edges)]
+
+
+def _as_walked(steps):
+    """Paths as sets of steps, numbers of paths and drained edges left out."""
+    paths, other = {}, []
+    for r in steps:
+        if r["path_id"] >= 0:
+            paths.setdefault((r["ms_id"], r["path_id"]), []).append((r["step"], r["up"], r["dn"], r["kind"], r["edge_id"], r["i_gamma"], r["seg_len"], r["dphi"]))
+        else:
+            other.append(tuple(r[c] for c in tubes.STEP_COLUMNS))
+    return {k: sorted(v) for k, v in paths.items()}, sorted(other)
+
+
+def test_samples_of_any_size_are_walked_like_small_ones(spark, monkeypatch):
+    rows = [r for seed in range(25) for r in _tangle(seed)] + [(30, 1, 2, 1.0, 0.1, 0, 0, 1.0, 0, 0, 1.0, 0.3)]
+    dag = spark.createDataFrame(rows, "ms_id long, up long, dn long, flow double, dphi double, kind int, edge_id long, seg_len double, ord int, seq long, phi_up double, thr double")
+    want = tubes._pack_decomposer("flow_decomposition")(pd.DataFrame(rows, columns=tubes.DAG_COLUMNS)).to_dict("records")
+    paths, other = _as_walked(want)
+    assert len({k for k, _ in paths}) == 25 and any(r[5] == tubes.DRAINED for r in other)
+    monkeypatch.setattr(packing, "KERNEL_ROWS", 0)
+    assert _as_walked(tubes.decompose(dag, "flow_decomposition").collect()) == (paths, other)
+    monkeypatch.setattr(packing, "KERNEL_ROWS", 40)  # some in packs, some alone
+    assert _as_walked(tubes.decompose(dag, "flow_decomposition").collect()) == (paths, other)
+
+
+@pytest.mark.parametrize("block, most, size", [(1, 1, 3), (2, 50, 1000), (7, 10_000, 11)])
+def test_a_stored_walk_does_not_depend_on_its_blocks(block, most, size):
+    rows = [r for seed in range(8) for r in _tangle(seed)]
+    table = pd.DataFrame(rows, columns=tubes.DAG_COLUMNS).rename(columns={"flow": "left"}).sort_values(["ms_id", "up", "ord", "seq"])
+    table["edge"] = table["edge_id"]
+    for _ in range(20):  # without the edges that lead nowhere
+        live = {(r.ms_id, r.up) for r in table.itertuples()} | {(ms, tubes.SINK) for ms in range(8)}
+        table = table[[(r.ms_id, r.dn) in live for r in table.itertuples()]]
+    batches = pa.Table.from_pandas(table, preserve_index=False).to_batches(size)
+    schema = pa.schema([("ms_id", "int64"), ("path_id", "int64"), ("step", "int32"), ("kind", "int32"), ("edge", "int64"), ("i_gamma", "float64")])
+    got = [r for b in tubes._stored_walker(schema, block, most)(iter(batches)) for r in b.to_pylist()]
+    want = tubes._pack_decomposer("flow_decomposition")(pd.DataFrame(rows, columns=tubes.DAG_COLUMNS)).rename(columns={"edge_id": "edge"})
+    key = lambda r: (r["ms_id"], r["path_id"], r["kind"], r["step"], r["edge"], r["i_gamma"])
+    assert sorted(map(key, got)) == sorted(map(key, want.to_dict("records")))
